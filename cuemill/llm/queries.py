@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common as C
+from . import common as C, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,34 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import read_media, store_as_media
+
+    return read_media(store_as_media(C.table(spark, sf_dir, "documents"))).drop("codec", "duration_ms")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(C.table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict
+
+    docs = C.table(spark, sf_dir, "documents")
+    held_out = C.crc_mod("doc_id", 5) == 0
+    langs, prototypes = fit(docs.filter(~held_out).select("text", "lang"))
+    return predict(docs, langs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op8_source_mix": op8_source_mix,
+    "op9_iso_media": op9_iso_media,
+    "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+}
