@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C, quality_rules
 
@@ -39,8 +39,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, langs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_crf import fit, score
+
+    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    held_out = C.crc_mod("doc_id", 3) == 1
+    model = fit(docs.filter(~held_out).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_crf": op2_quality_crf,
     "op8_source_mix": op8_source_mix,
     "op9_iso_media": op9_iso_media,
     "op10_language_id": op10_language_id,
