@@ -49,9 +49,24 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import encode_store, read_store
+
+    folder = C.scratch_path(spark, "shards")
+    return read_store(encode_store(C.table(spark, sf_dir, "documents"), folder), folder)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    return encode_decode(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_crf": op2_quality_crf,
+    "op3_token_store": op3_token_store,
+    "op5_bpe": op5_bpe,
     "op8_source_mix": op8_source_mix,
     "op9_iso_media": op9_iso_media,
     "op10_language_id": op10_language_id,
