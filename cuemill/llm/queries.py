@@ -62,11 +62,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(C.table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest
+
+    return digest(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_crf": op2_quality_crf,
     "op3_token_store": op3_token_store,
     "op5_bpe": op5_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_iso_media": op9_iso_media,
     "op10_language_id": op10_language_id,
