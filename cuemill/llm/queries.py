@@ -44,7 +44,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
     held_out = C.crc_mod("doc_id", 3) == 1
-    model = fit(docs.filter(~held_out).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id"))
+    model = fit(docs, labels.filter(~held_out))
     scored = score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -68,11 +68,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(C.table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(C.table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_crf": op2_quality_crf,
     "op3_token_store": op3_token_store,
     "op5_bpe": op5_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_iso_media": op9_iso_media,
