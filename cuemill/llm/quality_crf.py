@@ -220,10 +220,15 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most ``max_rows`` rows of ``doc_id, text, quality`` with a quality of 0 or 1, chosen by a hash of the id."""
-    rows = labelled.filter("quality IN (0, 1)").select("doc_id", "text", "quality")
-    rows = rows.orderBy(C.doc_hash("crf", "doc_id"), "doc_id", "quality").limit(max_rows).collect()
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on the texts of at most ``max_rows`` rows of ``doc_id, quality`` with a quality of 0 or 1.
+
+    They are the ones with the smallest hash of their id; so few ids are
+    broadcast to ``docs`` (``doc_id, text``), whose texts stay where they are.
+    """
+    some = labels.filter("quality IN (0, 1)").select("doc_id", "quality").orderBy(C.doc_hash("crf", "doc_id"), "doc_id", "quality").limit(max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
     return fit_texts([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64))
 
 

@@ -74,12 +74,23 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import fit, score_corpus
+
+    docs = C.table(spark, sf_dir, "documents")
+    held_out = C.crc_mod("doc_id", 7) == 2
+    model = fit(docs.filter(~held_out))
+    scored = score_corpus(docs.withColumn("train", F.coalesce(~held_out, F.lit(False))), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_crf": op2_quality_crf,
     "op3_token_store": op3_token_store,
     "op5_bpe": op5_bpe,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_attention_lm": op6_attention_lm,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_iso_media": op9_iso_media,
