@@ -1,8 +1,8 @@
 """DataFrame operators on small tables."""
 
 import random
+from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,7 +163,7 @@ def test_settings(spark):
 
 
 def test_event_batches(spark):
-    ts = [pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s) for s in (0, 0.3, 0.6, 1.2, 5)]
+    ts = [datetime(2024, 1, 1) + timedelta(seconds=s) for s in (0, 0.3, 0.6, 1.2, 5)]
     df = spark.createDataFrame([("k", t, i) for i, t in enumerate(ts)], "k string, ts timestamp, i int")
     assert sorted(r["i"] for r in E.without_repeats(df, ["k"], "ts").collect()) == [0, 3, 4]
     assert len(E.throttled(df, ["k"], "ts", 1.0).first()["kept"]) == 3
