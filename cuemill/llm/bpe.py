@@ -71,16 +71,21 @@ class ChunkCoder:
         self.chunks: dict[bytes, tuple[bytes, Piece, bytes] | None] = {}
         self.words: dict[bytes, Piece] = {}
         self.encoded = self.reused = 0
+        # What each id adds to the strings of a stretch: the decoder joins tokens with a space.
+        decode = self.ids.tokenizer.decode_batch([[i] for i in range(self.ids.size)], skip_special_tokens=False)
+        self.numbers = [f" {i}".encode() for i in range(self.ids.size)]
+        self.tokens = [f" {t}".encode() for t in decode]
 
     def _learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > KEEP_WORDS:
             self.words, new = {}, list(words)
         if new:
-            arrays = [a.tolist() for a in self.ids.encode(new)]
-            texts = self.ids.tokenizer.decode_batch(arrays, skip_special_tokens=False)
-            for w, a, t in zip(new, arrays, texts, strict=True):
-                self.words[w] = (len(a), f" {' '.join(map(str, a))}".encode(), f" {t}".encode()) if a else _NONE
+            self.ids.learn(set(new))
+            known, code, number, token = self.ids.known, self.ids.dtype.char, self.numbers.__getitem__, self.tokens.__getitem__
+            for w in new:
+                a = memoryview(known[w]).cast(code).tolist()
+                self.words[w] = (len(a), b"".join(map(number, a)), b"".join(map(token, a)))
 
     def _join(self, pieces: list[Piece]) -> Piece:
         return sum(map(itemgetter(0), pieces)), b"".join(map(itemgetter(1), pieces)), b"".join(map(itemgetter(2), pieces))

@@ -29,7 +29,7 @@ from math import exp, sqrt
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common as C
 from .components import connected_components
@@ -44,7 +44,7 @@ BUCKET_ENTRIES, PIECE = 600_000, 2 << 20
 #: Rows of the candidates' key table up to which it is broadcast (16 bytes each); beyond, a shuffled join is used.
 BROADCAST_ROWS = 500_000
 #: Sets of a block when a large group is compared.
-BLOCK = 512
+BLOCK = 2048
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
@@ -161,14 +161,18 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def fold(a: bytes, size: int) -> bytes:
+    """A sketch brought to ``size`` bytes, half onto half."""
+    x = np.frombuffer(a, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """Bits in which two sketches differ, the longer one folded: never more than the tokens in which the sets differ."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(np.frombuffer(fold(a, size), np.uint8) ^ np.frombuffer(fold(b, size), np.uint8)).sum())
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -322,25 +326,47 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
 
 
-def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b, shared`` of one large group but different components, blocks of a group against each other, that sketches don't rule out."""
+def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``a, b, shared`` of one large group but different components that sketches don't rule out.
+
+    With ``nearest``, each set is looked at in its two largest groups alone, and
+    gives the one pair of least distance: enough to join most components before
+    all that is left is compared. Groups are compared block by block, each pair
+    of blocks in a task of its own.
+    """
     m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y")
-    m = m.join(open_keys.select("key", "size"), "key").join(nodes.select("node", "n", "sketch"), "node")
-    # Blocks by a hash of the set; every pair of blocks is a task of its own.
+    m = m.join(open_keys.select("key", "size"), "key")
+    if nearest:
+        m = m.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "key"))).filter("_r <= 2").drop("_r")
+    m = m.join(nodes.select("node", "n", "sketch"), "node")
     m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def task(x: pd.DataFrame) -> pd.DataFrame:
-        rows, far = x[x["block"] == x["i"]], x[x["block"] == x["j"]]
-        out = []
-        for a, ca, na, sa in zip(rows["node"], rows["component"], rows["n"], rows["sketch"], strict=True):
-            some = far[(far["component"] != ca) & (far["node"] > a if x["i"].iat[0] == x["j"].iat[0] else True) & (4 * np.minimum(far["n"], na) >= 3 * np.maximum(far["n"], na))]
-            out += [(min(a, b), max(a, b), 1) for b, nb, sb in zip(some["node"], some["n"], some["sketch"], strict=True) if 7 * sketch_distance(sa, sb) <= na + nb]
-        return pd.DataFrame(out, columns=["a", "b", "shared"])
-
-    return m.groupBy("key", "i", "j").applyInPandas(task, "a long, b long, shared long").distinct()
+        node, component, n = (x[c].to_numpy(np.int64) for c in ("node", "component", "n"))
+        shortest = min(map(len, x["sketch"]))
+        folded = np.array([np.frombuffer(fold(s, shortest), np.uint64) for s in x["sketch"]])
+        rows, far = (np.flatnonzero(x["block"] == x[c].iat[0]) for c in ("i", "j"))
+        out, best = [np.zeros((0, 2), np.int64)], (np.full(len(far), np.inf), np.zeros(len(far), np.int64))
+        for a in rows:
+            share = np.bitwise_count(folded[far] ^ folded[a]).sum(axis=1, dtype=np.int64) / (n[far] + n[a])
+            ok = (component[far] != component[a]) & (4 * np.minimum(n[far], n[a]) >= 3 * np.maximum(n[far], n[a])) & (7 * share <= 1 + 1e-9)
+            if nearest:
+                share[~ok] = np.inf
+                better = share < best[0]
+                best[0][better], best[1][better] = share[better], node[a]
+                ok = ok & (np.arange(len(far)) == share.argmin())
+            out.append(np.column_stack([node[far[ok]], np.full(int(ok.sum()), node[a])]))
+        if nearest and len(rows):
+            found = np.isfinite(best[0])
+            out.append(np.column_stack([node[far[found]], best[1][found]]))
+        every = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
+
+    found = m.groupBy("key", "i", "j").applyInPandas(task, "a long, b long").distinct()
+    return _by_sketch(found.withColumn("shared", F.lit(1).cast("long")), nodes)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -379,10 +405,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = C.materialize(links.union(more), "jaccard-links")
     labels = C.materialize(connected_components(links), "jaccard-labels")
     if not members.isEmpty():
-        far = C.materialize(_large_groups(members, labels, nodes), "jaccard-far")
-        if not far.isEmpty():
-            links = C.materialize(links.union(_verify(far, texts_of(far))), "jaccard-links")
-            labels = C.materialize(connected_components(links), "jaccard-labels")
+        for nearest in (True, True, False):
+            far = C.materialize(_large_groups(members, labels, nodes, nearest), "jaccard-far")
+            if far.isEmpty():
+                continue
+            new = C.materialize(_verify(far, texts_of(far)), "jaccard-links")
+            if not new.isEmpty():
+                links = links.union(new)
+                labels = C.materialize(connected_components(links), "jaccard-labels")
 
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -75,12 +75,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .attention_lm import fit, score_corpus
+    from .attention_lm import score_corpus
 
     docs = C.table(spark, sf_dir, "documents")
     held_out = C.crc_mod("doc_id", 7) == 2
-    model = fit(docs.filter(~held_out))
-    scored = score_corpus(docs.withColumn("train", F.coalesce(~held_out, F.lit(False))), model)
+    scored = score_corpus(docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(False)).alias("train")))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
