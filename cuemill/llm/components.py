@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as C
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every end of an edge ``a, b`` (longs): the least node of its component.
 
     Alternating large-star and small-star steps hang every node on the least
     one near it until only stars are left; each step takes a minimum by node
-    (summed up before the shuffle) and joins it back. Loops and repeated edges
-    do no harm; no edges, no rows.
+    (summed up before the shuffle) and joins it back. It ends when a round
+    changes nothing. Loops and repeated edges do no harm; no edges, no rows.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = C.materialize(now, "edges"), None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
