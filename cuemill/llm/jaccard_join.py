@@ -332,7 +332,7 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
     With ``nearest``, each set is looked at in its two largest groups alone, and
     gives the one pair of least distance: enough to join most components before
     all that is left is compared. Groups are compared block by block, each pair
-    of blocks in a task of its own.
+    of blocks in a task of its own; a block may have no members left to look at.
     """
     m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y")
@@ -346,9 +346,11 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
 
     def task(x: pd.DataFrame) -> pd.DataFrame:
         node, component, n = (x[c].to_numpy(np.int64) for c in ("node", "component", "n"))
+        rows, far = (np.flatnonzero(x["block"] == x[c].iat[0]) for c in ("i", "j"))
+        if not len(rows) or not len(far):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         shortest = min(map(len, x["sketch"]))
         folded = np.array([np.frombuffer(fold(s, shortest), np.uint64) for s in x["sketch"]])
-        rows, far = (np.flatnonzero(x["block"] == x[c].iat[0]) for c in ("i", "j"))
         out, best = [np.zeros((0, 2), np.int64)], (np.full(len(far), np.inf), np.zeros(len(far), np.int64))
         for a in rows:
             share = np.bitwise_count(folded[far] ^ folded[a]).sum(axis=1, dtype=np.int64) / (n[far] + n[a])
@@ -359,7 +361,7 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
                 best[0][better], best[1][better] = share[better], node[a]
                 ok = ok & (np.arange(len(far)) == share.argmin())
             out.append(np.column_stack([node[far[ok]], np.full(int(ok.sum()), node[a])]))
-        if nearest and len(rows):
+        if nearest:
             found = np.isfinite(best[0])
             out.append(np.column_stack([node[far[found]], best[1][found]]))
         every = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)

@@ -178,6 +178,24 @@ def test_jaccard_join(spark, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_large_groups_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common_part, docs = [word() for _ in range(84)], []
+    for _ in range(24):
+        own = [word() for _ in range(20)]
+        docs.append(common_part + own)
+        docs += [common_part + own[:-1] + [word()] for _ in range(2)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert jaccard_join._index(df).filter("kind = 2").count() > 16
+    want = jaccard_join.brute_force(docs)
+    assert len({c for _, c in want.values()}) > 4
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == want
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (10, 11), (11, 12), (12, 10), (7, 7), (20, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
