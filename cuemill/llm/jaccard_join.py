@@ -371,15 +371,8 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
     return _by_sketch(found.withColumn("shared", F.lit(1).cast("long")), nodes)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``doc_id, text``.
-
-    ``component_id`` is the least ``doc_id`` that links lead to, the row's own
-    included; rows with equal sets are linked. A text without words (or null)
-    has an empty set and links with nothing; a null ``doc_id`` takes part but is
-    never the least; repeated rows stay; other columns are ignored; an empty
-    table gives an empty result.
-    """
+def _labelled(docs: DataFrame) -> DataFrame:
+    """What ``near_duplicates`` gives, and ``component``: the component's number, which ids play no part in; null without words."""
     docs = docs.select("doc_id", "text")
     index = _index(docs)
     rows = index.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("text_hash"), "sketch")
@@ -418,18 +411,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
+    named = named.join(least, "component").select("node", "component", "component_id")
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``doc_id, text``.
+
+    ``component_id`` is the least ``doc_id`` that links lead to, the row's own
+    included; rows with equal sets are linked. A text without words (or null)
+    has an empty set and links with nothing; a null ``doc_id`` takes part but is
+    never the least; repeated rows stay; other columns are ignored; an empty
+    table gives an empty result.
+    """
+    return _labelled(docs).drop("component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the least ``doc_id``; all without words stay."""
-    found = near_duplicates(docs)
-    lead = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id", "text_hash").distinct()
-    lead = lead.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    """One row of ``docs`` for each component; all rows without words stay.
+
+    It is the row with the least ``doc_id``, a null one if there is no other,
+    then the least text hash; of rows alike in both, the least as JSON.
+    """
+    found = C.materialize(_labelled(docs), "jaccard-found")
+    rows = found.filter("n_shingles > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    lead = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")).alias("m"))
+    lead = lead.select(F.col("m.doc_id").alias("_doc"), F.col("m.text_hash").alias("_hash"), F.col("m.copies").alias("_copies"))
+    bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.lit(1).cast("long").alias("_copies")).distinct()
+    lead = C.materialize(lead.union(bare), "jaccard-lead")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
-    return docs.join(lead, same, "left_semi")
+    once = docs.join(lead.filter("_copies = 1"), same, "left_semi")
+    repeated = lead.filter("_copies > 1")
+    if repeated.isEmpty():
+        return once
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = docs.join(repeated, same).groupBy("_doc", "_hash").agg(F.min_by(whole, F.to_json(whole)).alias("m"))
+    return once.unionByName(least.select("m.*"))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

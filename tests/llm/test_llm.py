@@ -178,6 +178,30 @@ def test_jaccard_join(spark, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_keeps_one(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    near = lambda t: t + " more"
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (1, a), (2, near(a)), (3, b), (3, near(b)), (None, b), (None, c), (None, c), (None, d), (None, near(d)), (4, d), (5, e), (5, f), (None, e)]
+    rows += [(6, None), (6, None), (None, " "), (None, " "), (7, "")]
+    df = spark.createDataFrame([(*r, len(r[1] or "") + k) for k, r in enumerate(rows)], "doc_id long, text string, extra long").repartition(3)
+    # All pairs, on the numbers of the rows: ids play no part in what links.
+    groups = jaccard_join.brute_force([(k, t) for k, (_, t) in enumerate(rows)])
+    members = {}
+    for k, (n, lead) in groups.items():
+        members.setdefault(lead if n else ("bare", k), []).append(rows[k])
+    got = jaccard_join.keep_one(df)
+    assert got.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(got) == len(members)
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for m in members.values():
+        best = {r for r in m if order(r) == min(map(order, m))}
+        assert len(m) == 1 or sum(r in m for r in got) == 1
+        assert best & set(got)
+
+
 def test_jaccard_large_groups_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     rng = random.Random(10)
