@@ -2,8 +2,10 @@
 
 The counts give the base score. The model is a factored one: attention over
 the ids before a token gives the probability of the token's class, and counts
-over the whole corpus that of the token within its class. Weights are fitted
-in numpy on a bounded sample; counts are gathered from every training row.
+over the whole corpus that of the token within its class. Counts, the profiles that
+make the classes and the weights are all learned from every training row: the
+weights start from a fit on a few rows, then each task goes through its windows
+and the tasks' weights are averaged.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ from .subwords import DEFAULT, word_ids
 
 #: Classes of subwords, width of the model, ids of a context window, and ids by which two windows overlap.
 CLASSES, WIDTH, CONTEXT, OVERLAP = 64, 16, 32, 6
-#: Training rows that weights are fitted on, at most, and windows drawn from them for each step.
+#: Training rows that the start of the weights is fitted on, at most, and windows drawn from them for each step.
 FIT_ROWS, STEPS, BATCH, RATE = 1000, 800, 64, 0.01
-#: Windows and bytes of text that are scored at once, and bytes of text of a block.
-SCORED, SCORED_BYTES, BLOCK_BYTES = 1024, 1 << 20, 8 << 20
+#: Windows of a step of the pass over all training rows, its rate, and ids that are cut into windows and shuffled at once.
+TRAINED, TRAIN_RATE, TRAIN_IDS = 128, 0.003, 500_000
+#: Windows and bytes of ids that are scored at once, and bytes of text of a block.
+SCORED, SCORED_BYTES, BLOCK_BYTES = 128, 1 << 20, 8 << 20
+#: Ids of a part of the tables that tasks' sums are added up in, and slots in which they are added up first.
+PART, SLOTS = 1024, 32
 LOG10 = np.float64(1 / np.log(10))
 
 
@@ -80,25 +86,40 @@ def _parts(texts: pd.Series, size: int = 2 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
-def classes(counts: np.ndarray, rows: list[np.ndarray], k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+def marks(counts: np.ndarray, k: int = CLASSES) -> tuple[int, np.ndarray]:
+    """How many ids have a class of their own, and for each id the one it has (others share the next number)."""
+    alone = min(k // 2, len(counts) - 1)
+    mark = np.full(len(counts), alone)
+    mark[np.argsort(-counts, kind="stable")[:alone]] = np.arange(alone)
+    return alone, mark
+
+
+def neighbours(rows: list[np.ndarray], mark: np.ndarray, alone: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the flat table (id, mark before or after it) and how often each is met in ``rows``."""
+    wide = 2 * (alone + 1)
+    found = [np.zeros(0, np.int64)]
+    for r in rows:
+        r = r.astype(np.int64)
+        found += [r[1:] * wide + mark[r[:-1]], r[:-1] * wide + alone + 1 + mark[r[1:]]]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+def classes(counts: np.ndarray, rows: list[np.ndarray], k: int = CLASSES, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Class of each id and its log probability in it (with one count more for every id).
 
     The most frequent half of the classes hold an id each. The other ids are
     told apart by the frequent ids that stand before and after them in
-    ``rows``: they are halved by the first principal component of these
+    ``rows`` (or as ``near`` counts them): they are halved by the first principal component of these
     profiles, by equal mass, again and again.
     """
     order = np.argsort(-counts, kind="stable")
     group = np.zeros(len(counts), np.int64)
-    alone = min(k // 2, len(counts) - 1)
+    alone, mark = marks(counts, k)
     group[order[:alone]] = np.arange(alone)
     rest = order[alone:]
-    mark = np.full(len(counts), alone)
-    mark[order[:alone]] = np.arange(alone)
-    near = np.zeros((len(counts), 2 * (alone + 1)))
-    for r in rows:
-        np.add.at(near, (r[1:], mark[r[:-1]]), 1)
-        np.add.at(near, (r[:-1], alone + 1 + mark[r[1:]]), 1)
+    if near is None:
+        at, many = neighbours(rows, mark, alone)
+        near = np.bincount(at, many, minlength=len(counts) * 2 * (alone + 1)).reshape(len(counts), -1)
     near = np.sqrt((near + 0.01) / (near + 0.01).sum(axis=1, keepdims=True))
     mass, parts = counts[rest] + 1.0, [np.arange(len(rest))]
     while len(parts) < k - alone:
@@ -158,7 +179,8 @@ def step(w: dict[str, np.ndarray], ids: np.ndarray, live: np.ndarray, target: np
     g = np.exp(lp)
     np.put_along_axis(g, at[..., None], np.take_along_axis(g, at[..., None], 2) - 1, 2)
     g = (g * use[..., None] / n).astype(np.float32)
-    out = {"o": np.einsum("nti,ntk->ik", z, g), "b": g.sum((0, 1))}
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    out = {"o": flat(z).T @ flat(g), "b": g.sum((0, 1))}
     gz = g @ w["o"].T
     gx, gy = gz[..., :d], gz[..., d:] * (1 - z[..., d:] ** 2)
     gs = gy @ v.transpose(0, 2, 1)
@@ -166,7 +188,7 @@ def step(w: dict[str, np.ndarray], ids: np.ndarray, live: np.ndarray, target: np
     gs = s * (gs - (gs * s).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(d))
     gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
     for name, grad in (("q", gq), ("k", gk), ("v", gv)):
-        out[name] = np.einsum("nti,ntj->ij", x, grad)
+        out[name] = flat(x).T @ flat(grad)
         gx = gx + grad @ w[name].T
     out["place"] = np.zeros_like(w["place"])
     out["place"][: ids.shape[1]] = gx.sum(axis=0)
@@ -214,6 +236,36 @@ def fit_weights(rows: list[np.ndarray], group: np.ndarray, size: int) -> dict[st
     return w
 
 
+def train_rows(w: dict[str, np.ndarray], batches: Iterator[list[np.ndarray]], group: np.ndarray, size: int, seed: int) -> tuple[int, np.ndarray]:
+    """Adam on every window of sequences of ids, once each; changes ``w``. Returns how many windows there were and how often each id was an input.
+
+    Windows stand end to end, so that each id is aimed at once.
+    """
+    rng, seen, many, t = np.random.default_rng(seed), np.zeros(size + 2, np.int64), 0, 0
+    first_moment, second = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
+    for rows in batches:
+        flat = np.concatenate([x for r in rows for x in ([size + 1], r.astype(np.int64), [size])])
+        lengths = np.array([len(r) + 1 for r in rows])
+        begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        seq, first = windows(lengths, CONTEXT, 0)
+        order = rng.permutation(len(seq))
+        many += len(seq)
+        for a in range(0, len(order), TRAINED):
+            some = order[a : a + TRAINED]
+            ids, live = _grid(flat, begin, lengths, seq[some], first[some], CONTEXT)
+            follow, _ = _grid(flat, begin + 1, lengths, seq[some], first[some], CONTEXT)
+            _, grads = step(w, ids, live, np.where(live, group[np.where(live, follow, size)], -1))
+            t += 1
+            met, often = np.unique(ids[live], return_counts=True)
+            seen[met] += often
+            for k, g in grads.items():
+                at = met if k == "embed" else slice(None)
+                first_moment[k][at] += 0.1 * (g[at] - first_moment[k][at])
+                second[k][at] += 0.01 * (g[at] ** 2 - second[k][at])
+                w[k][at] -= (TRAIN_RATE * (first_moment[k][at] / (1 - 0.9**t)) / (np.sqrt(second[k][at] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    return many, seen
+
+
 def score_rows(model: Model, rows: list[np.ndarray], size: int) -> np.ndarray:
     """log10 probability of each sequence of ids, its end included.
 
@@ -320,33 +372,148 @@ def base_scores(tables: DataFrame, words: DataFrame, counted: DataFrame, n_train
     return joined.mapInPandas(task, "_doc long, _hash long, n_tokens long, n_known long, train_tokens long, base_score double")
 
 
-def model_scores(docs: DataFrame, model: Model, tokenizer: str = DEFAULT) -> DataFrame:
-    """``doc_id, text_hash, score`` of every row: the log10 probability of its whole text."""
+def id_table(docs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
+    """``doc_id, text_hash, train, ids`` of every row, written: each text's ids as little-endian bytes."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = word_ids(tokenizer)
         for batch in batches:
-            got = [score_rows(model, table.encode(part), table.size) for part in _parts(batch["text"], SCORED_BYTES)]
+            ids = [x.tobytes() for part in _parts(batch["text"], SCORED_BYTES) for x in table.encode(part)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "train": batch["train"], "ids": ids})
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "train")
+    return C.materialize(rows.mapInPandas(task, "doc_id long, text_hash long, train boolean, ids binary"), "lm-ids")
+
+
+def _pieces(ids: Iterator[pd.DataFrame], dtype: np.dtype, many: int = TRAIN_IDS) -> Iterator[list[np.ndarray]]:
+    """Sequences of ids, of about ``many`` ids together."""
+    held, n = [], 0
+    for batch in ids:
+        for blob in batch["ids"]:
+            held.append(np.frombuffer(blob, dtype))
+            n += len(held[-1]) + 1
+            if n >= many:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _packed(part: int, at: np.ndarray, values: np.ndarray) -> tuple[int, int, bytes]:
+    """Rows of ``values`` (m, width) that stand at ``at`` in a part."""
+    blob = struct.pack("<QQ", len(at), values.shape[1]) + at.astype("<u4").tobytes() + values.astype("<f8").tobytes()
+    return part, TaskContext.get().partitionId() % SLOTS, zstandard.ZstdCompressor(level=1).compress(blob)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
+    n, width = struct.unpack_from("<QQ", blob)
+    return np.frombuffer(blob, "<u4", n, 16).astype(np.int64), np.frombuffer(blob, "<f8", n * width, 16 + 4 * n).reshape(n, width)
+
+
+def _summed(packed: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sums of what tasks sent for each part, added up by slots and then over these."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((0, 0))
+        for blob in group["blob"]:
+            at, values = _unpacked(blob)
+            if len(at) and at.max() >= len(total):
+                total = np.concatenate([total.reshape(len(total), values.shape[1]), np.zeros((int(at.max()) + 1 - len(total), values.shape[1]))])
+            total[at] += values
+        some = np.flatnonzero(total.any(axis=1))
+        return pd.DataFrame([_packed(int(group["part"].iat[0]), some, total[some])], columns=["part", "slot", "blob"])
+
+    schema = "part int, slot int, blob binary"
+    by_slot = packed.groupBy("part", "slot").applyInPandas(add, schema)
+    for r in by_slot.groupBy("part").applyInPandas(add, schema).toLocalIterator():
+        yield r["part"], *_unpacked(r["blob"])
+
+
+def profiles(ids: DataFrame, counts: np.ndarray, dtype: np.dtype, k: int = CLASSES) -> np.ndarray:
+    """How often each id has each frequent one (or another) before and after it, over all rows of ``ids``."""
+    alone, mark = marks(counts, k)
+    wide = 2 * (alone + 1)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(counts) * wide, np.int32)
+        for rows in _pieces(batches, dtype):
+            at, many = neighbours(rows, mark, alone)
+            total[at] += many.astype(np.int32)
+        out = []
+        for part in range(0, len(counts), PART):
+            mine = total[part * wide : (part + PART) * wide]
+            at = np.flatnonzero(mine)
+            if len(at):
+                out.append(_packed(part, at, mine[at, None]))
+        yield pd.DataFrame(out, columns=["part", "slot", "blob"])
+
+    near = np.zeros(len(counts) * wide)
+    for part, at, values in _summed(ids.select("ids").mapInPandas(task, "part int, slot int, blob binary")):
+        near[part * wide + at] = values[:, 0]
+    return near.reshape(len(counts), wide)
+
+
+def train_on_all(ids: DataFrame, start: dict[str, np.ndarray], group: np.ndarray, size: int, dtype: np.dtype) -> dict[str, np.ndarray]:
+    """Weights after a pass over all rows of ``ids``: each task starts from ``start`` and their weights are averaged.
+
+    A task counts by its windows, and for an id's embedding by how often it met
+    the id; what no task met stays as it was.
+    """
+    dense = [k for k in start if k != "embed"]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = {k: x.copy() for k, x in start.items()}
+        many, seen = train_rows(w, _pieces(batches, dtype), group, size, TaskContext.get().partitionId())
+        out = []
+        if many:
+            flat = np.concatenate([[1.0], *[w[k].ravel() for k in dense]])
+            out.append(_packed(-1, np.zeros(1, np.int64), many * flat[None].astype(np.float64)))
+        for part in range(0, size + 2, PART):
+            at = np.flatnonzero(seen[part : part + PART])
+            if len(at):
+                n = seen[part + at, None].astype(np.float64)
+                out.append(_packed(part, at, np.concatenate([n, n * w["embed"][part + at]], axis=1)))
+        yield pd.DataFrame(out, columns=["part", "slot", "blob"])
+
+    out = {k: x.copy() for k, x in start.items()}
+    for part, at, values in _summed(ids.select("ids").mapInPandas(task, "part int, slot int, blob binary")):
+        mean = (values[:, 1:] / values[:, :1]).astype(np.float32)
+        if part >= 0:
+            out["embed"][part + at] = mean
+            continue
+        cut = np.cumsum([0] + [start[k].size for k in dense])
+        for k, a, b in zip(dense, cut[:-1], cut[1:], strict=True):
+            out[k] = mean[0, a:b].reshape(start[k].shape)
+    return out
+
+
+def model_scores(ids: DataFrame, model: Model, size: int, dtype: np.dtype) -> DataFrame:
+    """``doc_id, text_hash, score`` of every row of ``ids``: the log10 probability of its whole text."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [score_rows(model, part, size) for part in _pieces(iter([batch]), dtype, SCORED_BYTES // 4)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "score": np.concatenate([*got, np.zeros(0)])})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(task, "doc_id long, text_hash long, score double")
+    return ids.select("doc_id", "text_hash", "ids").mapInPandas(task, "doc_id long, text_hash long, score double")
 
 
-def fit(train: DataFrame, counts: np.ndarray, tokenizer: str = DEFAULT, fit_rows: int = FIT_ROWS) -> Model:
-    """Classes from ``counts`` of all ids, weights from the ``fit_rows`` rows of ``doc_id, text`` with the smallest hash of their id."""
+def fit(ids: DataFrame, counts: np.ndarray, tokenizer: str = DEFAULT, fit_rows: int = FIT_ROWS) -> Model:
+    """Classes and weights from all rows of ``ids``; weights start from the ``fit_rows`` rows with the smallest hash of their id."""
     table = word_ids(tokenizer)
-    chosen = train.select("doc_id", C.doc_hash("lm", "doc_id").alias("_h")).orderBy("_h", "doc_id").limit(fit_rows).select("doc_id").distinct()
-    some = train.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(C.doc_hash("lm", "doc_id"), "text").limit(fit_rows)
-    rows = table.encode([(r["text"] or "").encode("utf-8", "surrogatepass") for r in some.collect()])
-    group, within = classes(counts, rows)
-    return Model(group, within, fit_weights(rows, group, table.size))
+    group, within = classes(counts, [], near=profiles(ids, counts, table.dtype))
+    chosen = ids.select("doc_id", C.doc_hash("lm", "doc_id").alias("_h")).orderBy("_h", "doc_id").limit(fit_rows).select("doc_id").distinct()
+    some = ids.select("doc_id", "ids", "text_hash").join(F.broadcast(chosen), "doc_id").orderBy(C.doc_hash("lm", "doc_id"), "text_hash").limit(fit_rows)
+    rows = [np.frombuffer(r["ids"], table.dtype) for r in some.collect()]
+    return Model(group, within, train_on_all(ids, fit_weights(rows, group, table.size), group, table.size, table.dtype))
 
 
 def score_corpus(docs: DataFrame, tokenizer: str = DEFAULT, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``doc_id, text, train``.
 
-    Counts are learned from all rows marked ``train``, attention weights from
-    ``fit_rows`` of them. The end of a text is a token too, one in each row. A
+    Counts, classes and attention weights are learned from all rows marked
+    ``train``; the weights start from ``fit_rows`` of them. The end of a text is a token too, one in each row. A
     null text counts as empty and has the end alone; repeated rows are scored
     and counted each; without training rows every count is 0.
     """
@@ -354,8 +521,9 @@ def score_corpus(docs: DataFrame, tokenizer: str = DEFAULT, fit_rows: int = FIT_
     n_train, n_words = (int(x) for x in tables.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first())
     words = tables.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counted = C.materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    model = fit(docs.filter("train"), subword_counts(counted, n_train, word_ids(tokenizer).size, tokenizer), tokenizer, fit_rows)
+    ids, table = id_table(docs, tokenizer), word_ids(tokenizer)
+    model = fit(ids.filter("train"), subword_counts(counted, n_train, table.size, tokenizer), tokenizer, fit_rows)
     base = base_scores(tables, words, counted, n_train, n_train + n_words).dropDuplicates(["_doc", "_hash"])
-    scored = model_scores(docs, model, tokenizer)
+    scored = model_scores(ids, model, table.size, table.dtype)
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
     return scored.join(base, same).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")

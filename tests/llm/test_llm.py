@@ -383,6 +383,40 @@ def test_attention_probabilities_sum_to_one():
     assert np.allclose(np.bincount(group, np.exp(within), minlength=4)[np.unique(group)], 1)
 
 
+def test_language_model_learns_from_all_rows(spark):
+    rng = random.Random(12)
+    cycle, texts = "one two three four five six seven eight".split(), []
+    for _ in range(60):
+        k = rng.randrange(8)
+        texts.append((cycle[k:] + cycle[:k]) * 6)
+    scores = []
+    for make in (list, sorted):
+        rows = [(i, " ".join(make(t)), True) for i, t in enumerate(texts)] + [(100, " ".join(cycle * 4), False)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(2)
+        scores += [r["score"] for r in attention_lm.score_corpus(df, fit_rows=0).filter("doc_id = 100").collect()]
+    # The words and their counts are the same, and no row is drawn for the start.
+    assert scores[0] > scores[1] + 0.01
+    table = subwords.word_ids()
+    encoded = table.encode([" ".join(t).encode() for t in texts])
+    ids = spark.createDataFrame([(bytearray(x.tobytes()),) for x in encoded], "ids binary").repartition(3)
+    counts = np.bincount(np.concatenate(encoded), minlength=table.size + 1)
+    at, many = attention_lm.neighbours(encoded, attention_lm.marks(counts)[1], attention_lm.marks(counts)[0])
+    near = attention_lm.profiles(ids, counts, table.dtype)
+    assert np.array_equal(np.flatnonzero(near), at) and np.array_equal(near.ravel()[at], many)
+    group, _ = attention_lm.classes(counts, [], near=near)
+    start = attention_lm.new_weights(table.size)
+    got = attention_lm.train_on_all(ids, start, group, table.size, table.dtype)
+    parts, shares = [[np.frombuffer(r["ids"], table.dtype) for r in part] for part in ids.rdd.glom().collect()], []
+    for p, rows in enumerate(parts):
+        w = {k: x.copy() for k, x in start.items()}
+        shares.append((w, *attention_lm.train_rows(w, iter([rows] if rows else []), group, table.size, p)))
+    for k in start:
+        n = [many if k != "embed" else seen[:, None] for _, many, seen in shares]
+        total = np.maximum(sum(n), 1)
+        want = np.where(np.asarray(sum(n)) > 0, sum(w[k] * x for (w, *_), x in zip(shares, n, strict=True)) / total, start[k])
+        assert np.allclose(got[k], want, atol=1e-4)
+
+
 def test_language_model_scores(corpus, empty):
     known = corpus.withColumn("train", F.col("doc_id") % 3 != 2)
     got = {r["doc_id"]: r for r in attention_lm.score_corpus(known, fit_rows=20).collect()}
