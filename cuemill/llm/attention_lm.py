@@ -24,7 +24,7 @@ from . import common as C
 from .subwords import DEFAULT, word_ids
 
 #: Classes of subwords, width of the model, ids of a context window, and ids by which two windows overlap.
-CLASSES, WIDTH, CONTEXT, OVERLAP = 64, 16, 32, 6
+CLASSES, WIDTH, CONTEXT, OVERLAP = 128, 16, 32, 16
 #: Training rows that the start of the weights is fitted on, at most, and windows drawn from them for each step.
 FIT_ROWS, STEPS, BATCH, RATE = 1000, 800, 64, 0.01
 #: Windows of a step of the pass over all training rows, its rate, and ids that are cut into windows and shuffled at once.

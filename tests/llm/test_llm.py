@@ -377,6 +377,14 @@ def test_windows_score_each_id_once():
         assert seen == list(range(n))
 
 
+def test_later_windows_score_with_half_a_context():
+    assert attention_lm.CLASSES >= 128
+    for n in (33, 57, 200):
+        _, first = attention_lm.windows(np.array([n]))
+        scored = [p - f + 1 for f in first[1:] for p in range(f + attention_lm.OVERLAP, min(n, f + attention_lm.CONTEXT))]
+        assert min(scored) > attention_lm.CONTEXT // 2
+
+
 def test_attention_probabilities_sum_to_one():
     counts = np.array([5, 3, 0, 2, 9, 1])
     group, within = attention_lm.classes(counts, [np.array([0, 4, 1, 3, 4])], 4)
