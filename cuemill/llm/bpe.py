@@ -11,12 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import common as C
 from .subwords import DEFAULT, word_ids
 
 #: The rolling hash sees so many bytes, and cuts after one place in CUT_EVERY.
 WINDOW, CUT_EVERY = 16, 256
 #: Chunks and words whose encoding a process keeps.
-KEEP_CHUNKS, KEEP_WORDS = 40_000, 250_000
+KEEP_CHUNKS, KEEP_WORDS = 20_000, 150_000
 #: Bytes of text that are cut and encoded at once.
 BATCH = 1 << 20
 _WHITE = b" \t\n\v\f\r"
@@ -86,6 +87,15 @@ class ChunkCoder:
             for w in new:
                 a = memoryview(known[w]).cast(code).tolist()
                 self.words[w] = (len(a), b"".join(map(number, a)), b"".join(map(token, a)))
+            self.ids.known = {}
+            if len(self.ids.cores) > KEEP_WORDS:
+                self.ids.cores = {}
+
+    def forget(self) -> None:
+        """Let go of what is kept, at the end of a task: its worker may be idle for long."""
+        self.chunks, self.words = {}, {}
+        self.ids.forget()
+        C.give_back()
 
     def _join(self, pieces: list[Piece]) -> Piece:
         return sum(map(itemgetter(0), pieces)), b"".join(map(itemgetter(1), pieces)), b"".join(map(itemgetter(2), pieces))
@@ -106,15 +116,15 @@ class ChunkCoder:
         first = np.searchsorted(cuts, begin)
         plans: list[list] = []  # for each text: chunks, and the words that its joins make
         for a, b in zip(first[:-1], first[1:], strict=True):
-            plan, carry = [], b""
+            plan, carry = [], []
             for c in chunks[a:b]:
                 parts = new[c] if c in new else self.chunks[c]
                 if parts is None:
-                    carry += c
+                    carry.append(c)
                     continue
-                plan += [carry + parts[0], c]
-                carry = parts[2]
-            plan.append(carry)
+                plan += [b"".join([*carry, parts[0]]), c]
+                carry = [parts[2]]
+            plan.append(b"".join(carry))
             plans.append(plan)
         self._learn(set(chain(chain.from_iterable(inner.values()), (x for p in plans for x in p[::2] if x))))
         look = self.words.__getitem__
@@ -157,8 +167,9 @@ def encode_decode(docs: DataFrame, tokenizer: str = DEFAULT, with_ids: bool = Fa
                     size += len(texts[i])
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(0, "doc_id", batch["doc_id"])
             yield out
+        code.forget()
 
     more = ", ids array<int>, decoded string" if with_ids else ""
     return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -37,11 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where a session on one machine names none (as in tests), a temporary
+    folder is set; on a cluster that is an error, as other machines would not see it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not known:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
             known = spark.sparkContext.getCheckpointDir()
@@ -69,6 +74,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores put before those that ``df`` has as columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system, where its C library can; workers outlive their tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def doc_hash(seed: str, *cols: str) -> Column:
     """A 64-bit hash that deals rows out evenly and alike in every run."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])

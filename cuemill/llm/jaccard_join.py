@@ -40,7 +40,9 @@ ALL_PAIRS = 16
 #: Rows drawn to learn frequent tokens, how often they must be seen, and how many are kept. They set the order of segments, never a result.
 SAMPLE_ROWS, FREQUENT, FREQUENT_KEPT = 3000, 3, 100_000
 #: Entries (of 16 bytes) that one bucket of the index is meant to hold, and bytes of text hashed at once.
-BUCKET_ENTRIES, PIECE = 600_000, 2 << 20
+BUCKET_ENTRIES, PIECE = 300_000, 2 << 20
+#: Words whose hashes a task keeps.
+KEEP_WORDS = 150_000
 #: Rows of the candidates' key table up to which it is broadcast (16 bytes each); beyond, a shuffled join is used.
 BROADCAST_ROWS = 500_000
 #: Sets of a block when a large group is compared.
@@ -65,7 +67,7 @@ class Shingler:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 300_000:
+        if len(self.known) > KEEP_WORDS:
             self.known = {}
         known = self.known
         for w in set(words).difference(known):
@@ -242,6 +244,7 @@ def _index(docs: DataFrame) -> DataFrame:
                     yield from flush()
                     size = 0
         yield from flush()
+        C.give_back()
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -315,6 +318,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for x in batches:
             linked = [similar(shingler.of(s), shingler.of(t)) for s, t in zip(x["ta"], x["tb"], strict=True)]
             yield x.loc[linked, ["a", "b"]]
+        C.give_back()
 
     return both.mapInPandas(task, "a long, b long")
 
@@ -432,22 +436,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component; all rows without words stay.
 
     It is the row with the least ``doc_id``, a null one if there is no other,
-    then the least text hash; of rows alike in both, the least as JSON.
+    then the least text hash; of rows alike in both, the least as JSON. Other
+    columns may have any name.
     """
+    doc, of, copies, whole = C.unused(docs, "_doc", "_hash", "_copies", "_row")
     found = C.materialize(_labelled(docs), "jaccard-found")
     rows = found.filter("n_shingles > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     lead = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")).alias("m"))
-    lead = lead.select(F.col("m.doc_id").alias("_doc"), F.col("m.text_hash").alias("_hash"), F.col("m.copies").alias("_copies"))
-    bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.lit(1).cast("long").alias("_copies")).distinct()
+    lead = lead.select(F.col("m.doc_id").alias(doc), F.col("m.text_hash").alias(of), F.col("m.copies").alias(copies))
+    bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.lit(1).cast("long").alias(copies)).distinct()
     lead = C.materialize(lead.union(bare), "jaccard-lead")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
-    once = docs.join(lead.filter("_copies = 1"), same, "left_semi")
-    repeated = lead.filter("_copies > 1")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(of))
+    once = docs.join(lead.filter(F.col(copies) == 1), same, "left_semi")
+    repeated = lead.filter(F.col(copies) > 1)
     if repeated.isEmpty():
         return once
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    least = docs.join(repeated, same).groupBy("_doc", "_hash").agg(F.min_by(whole, F.to_json(whole)).alias("m"))
-    return once.unionByName(least.select("m.*"))
+    row = F.struct(*[C.column(c) for c in docs.columns])
+    least = docs.join(repeated, same).groupBy(doc, of).agg(F.min_by(row, F.to_json(row)).alias(whole))
+    return once.unionByName(least.select(f"{whole}.*"))
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

@@ -14,6 +14,8 @@ ORDER = 3
 UNKNOWN = "und"
 #: Letters of texts that are handled at once.
 CHUNK, CHUNK_TEXTS = 1 << 20, 1024
+#: N-grams whose vectors are summed up at once.
+BLOCK = 8192
 _SPACE = 0
 
 
@@ -61,8 +63,8 @@ def letters_of() -> np.ndarray:
     return _LETTERS[0]
 
 
-def gram_counts(texts: list[str], groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the distinct letter n-grams of ``texts``, and how often each of ``n`` groups of texts holds each.
+def grams_of(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the distinct letter n-grams of ``texts``, and for each occurrence its n-gram's number and its group, in order of these numbers.
 
     Letters are lower-cased; each run of other characters, and either end of a
     text, is one space. N-grams of more than one space are left out.
@@ -87,17 +89,27 @@ def gram_counts(texts: list[str], groups: np.ndarray, n: int) -> tuple[np.ndarra
         at = at[packed]
     else:
         grams, at = np.unique(packed, return_inverse=True)
-    counts = np.bincount(row * len(grams) + at, minlength=n * len(grams)).reshape(n, len(grams))
-    return used[np.stack([grams // (k * k), grams // k % k, grams % k], axis=1)], counts.astype(np.float32)
+    letters = used[np.stack([grams // (k * k), grams // k % k, grams % k], axis=1)]
+    if len(grams) <= BLOCK:  # one block needs no order
+        return letters, at, row
+    order = np.argsort(at, kind="stable")
+    return letters, at[order], row[order]
 
 
 def bundles(texts: list[str], groups: np.ndarray, n: int, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the n-gram vectors of each of ``n`` groups of texts, and their numbers of n-grams."""
-    grams, counts = gram_counts(texts, groups, n)
+    """Sums of the n-gram vectors of each of ``n`` groups of texts, and their numbers of n-grams.
+
+    Counts are made for BLOCK n-grams at once: a table of all groups and all
+    n-grams of a script with many letters would not fit.
+    """
+    grams, at, row = grams_of(texts, groups)
     out = np.zeros((n, dims), np.float32)
-    for a in range(0, len(grams), 8192):
-        out += counts[:, a : a + 8192] @ _known.vectors(grams[a : a + 8192], dims)
-    return out, counts.sum(axis=1)
+    for a in range(0, len(grams), BLOCK):
+        z = min(a + BLOCK, len(grams))
+        lo, hi = (0, len(at)) if len(grams) <= BLOCK else np.searchsorted(at, [a, z])
+        counts = np.bincount(row[lo:hi] * (z - a) + at[lo:hi] - a, minlength=n * (z - a)).reshape(n, z - a)
+        out += counts.astype(np.float32) @ _known.vectors(grams[a:z], dims)
+    return out, np.bincount(row, minlength=n).astype(np.float32)
 
 
 class _Known:

@@ -34,7 +34,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, predict
 
     docs = C.table(spark, sf_dir, "documents")
-    held_out = C.crc_mod("doc_id", 5) == 0
+    held_out = F.coalesce(C.crc_mod("doc_id", 5) == 0, F.lit(False))
     langs, prototypes = fit(docs.filter(~held_out).select("text", "lang"))
     return predict(docs, langs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -43,7 +43,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_crf import fit, score
 
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
-    held_out = C.crc_mod("doc_id", 3) == 1
+    held_out = F.coalesce(C.crc_mod("doc_id", 3) == 1, F.lit(False))
     model = fit(docs, labels.filter(~held_out))
     scored = score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -78,8 +78,8 @@ def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .attention_lm import score_corpus
 
     docs = C.table(spark, sf_dir, "documents")
-    held_out = C.crc_mod("doc_id", 7) == 2
-    scored = score_corpus(docs.select("doc_id", "text", F.coalesce(~held_out, F.lit(False)).alias("train")))
+    held_out = F.coalesce(C.crc_mod("doc_id", 7) == 2, F.lit(False))
+    scored = score_corpus(docs.select("doc_id", "text", (~held_out).alias("train")))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

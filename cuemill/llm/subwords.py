@@ -104,6 +104,9 @@ class WordIds:
             self.known[w] = self.cores[s] + self.cores[m]
         self.known.update(zip(other, self._encode([w.decode("utf-8", "replace") for w in other]), strict=True))
 
+    def forget(self) -> None:
+        self.known, self.cores = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [split_words(t) for t in texts]

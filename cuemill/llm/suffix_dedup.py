@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
@@ -362,25 +363,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 NO_ID = -(2**63)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _whole(gone: np.ndarray, data: bytes) -> np.ndarray:
+    """``gone`` extended to whole UTF-8 characters."""
+    of = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    hit = np.zeros(int(of[-1]) + 1, bool)
+    hit[of[gone]] = True
+    return hit[of]
+
+
+def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``_kept`` (the bytes that stay) and ``_n_bytes, _n_removed, _n_spans``.
 
     A byte goes if it is covered by a LENGTH-byte string that also starts
     anywhere else in the input, in the same text or another; every copy goes.
-    A null text counts as empty; texts shorter than LENGTH stay whole; repeated
-    rows are copies of each other; other columns are kept as they are.
+    With ``characters``, a character goes whole if a byte of it goes. A null
+    text counts as empty; texts shorter than LENGTH stay whole; repeated rows
+    are copies of each other; other columns are kept as they are, and may have
+    any name but the four that are added.
     """
-    spans = repeated_spans(docs.select("doc_id", "text"))
-    spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "stop")).alias("_spans"))
+    id_name, hash_name, spans_name = C.unused(docs, "_id", "_hash", "_spans")
+    spans = repeated_spans(docs.select("doc_id", "text")).distinct()
+    spans = spans.groupBy(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).agg(F.collect_list(F.array("first", "stop")).alias(spans_name))
     id_of = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    joined = docs.join(spans, (id_of == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
-    joined = joined.withColumn("_spans", F.transform(F.col("_spans"), lambda s: F.array(s["first"], s["stop"])))
+    joined = docs.join(spans, (id_of == F.col(id_name)) & (F.xxhash64("text") == F.col(hash_name)), "left")
+    joined = joined.select(*[C.column(c) for c in docs.columns], spans_name)
     names = docs.columns
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept, n_removed, n_spans, n_bytes = [], [], [], []
-            for text, spans in zip(batch["text"], batch["_spans"], strict=True):
+            for text, spans in zip(batch["text"], batch[spans_name], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 n_bytes.append(len(data))
                 if spans is None:
@@ -393,13 +405,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 np.add.at(edges, both[:, 0], 1)
                 np.add.at(edges, both[:, 1], -1)
                 gone = np.cumsum(edges)[:-1] > 0
+                if characters:
+                    gone = _whole(gone, data)
                 kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
             yield batch[names].assign(_kept=kept, _n_bytes=n_bytes, _n_removed=n_removed, _n_spans=n_spans)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInPandas(task, f"{schema}, _kept binary, _n_bytes long, _n_removed long, _n_spans long")
+    added = "_kept binary, _n_bytes long, _n_removed long, _n_spans long"
+    return joined.mapInPandas(task, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -155,7 +155,8 @@ def encode_store(docs: DataFrame, folder: str, tokenizer: str = DEFAULT, end_id:
     failed attempt leaves has a name of its own and is not in the manifest.
 
     A null text counts as empty and has the end id alone; null ids come first;
-    repeated rows are written each; an empty table gives no shard.
+    rows of one id are ordered by their texts and written each; an empty table
+    gives no shard.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +183,7 @@ def encode_store(docs: DataFrame, folder: str, tokenizer: str = DEFAULT, end_id:
             yield pd.DataFrame([(TaskContext.get().partitionId(), path, len(writer.docs), writer.ids)], columns=["shard", "path", "n_docs", "n_ids"])
 
     n = partitions or C.shuffle_partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = C.materialize(dealt.mapInPandas(task, "shard int, path string, n_docs long, n_ids long"), "tokens")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("shard", "path", "start", "n_docs", "n_ids")

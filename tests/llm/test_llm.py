@@ -344,51 +344,81 @@ def test_language_id(spark, corpus, empty):
 
 
 def test_attention_gradient():
-    w = {k: v.astype(np.float64) for k, v in attention_lm.new_weights(50, 8, 4, 6).items()}
+    w = {k: v.astype(np.float64) for k, v in attention_lm.new_weights(50, 3, 4, 6).items()}
     rng = np.random.default_rng(0)
     ids, live = rng.integers(0, 50, (3, 6)), np.ones((3, 6), bool)
     live[0, 4:] = False
-    target = np.where(live, rng.integers(0, 8, (3, 6)), -1)
-    _, grads = attention_lm.step(w, ids, live, target)
+    target = np.where(live, rng.integers(0, 9, (3, 6)), -1)
+    _, grads, met = attention_lm.step(w, ids, target)
+    full = np.zeros_like(w["embed"])
+    full[met] = grads["embed"]
+    grads["embed"] = full
     for k in w:
-        at = (ids[0, 0], 1) if k == "embed" else tuple(rng.integers(0, s) for s in w[k].shape)
-        keep = w[k][at]
-        values = []
-        for e in (1e-5, -1e-5):
-            w[k][at] = keep + e
-            values.append(attention_lm.step(w, ids, live, target)[0])
-        w[k][at] = keep
-        assert (values[0] - values[1]) / 2e-5 == pytest.approx(grads[k][at], abs=1e-5)
+        for _ in range(4):
+            at = (ids[0, rng.integers(0, 4)], rng.integers(0, 4)) if k == "embed" else tuple(rng.integers(0, s) for s in w[k].shape)
+            keep = w[k][at]
+            values = []
+            for e in (1e-5, -1e-5):
+                w[k][at] = keep + e
+                values.append(attention_lm.step(w, ids, target)[0])
+            w[k][at] = keep
+            assert (values[0] - values[1]) / 2e-5 == pytest.approx(grads[k][at], abs=1e-5)
 
 
 def test_attention_sees_nothing_ahead():
-    w = attention_lm.new_weights(50, 8, 4, 6)
+    w = attention_lm.new_weights(50, 3, 4, 6)
     ids = np.random.default_rng(1).integers(0, 50, (1, 6))
     other = ids.copy()
     other[0, 4:] = (other[0, 4:] + 1) % 50
-    a, b = (attention_lm.attend(w, x, np.ones((1, 6), bool))[0] for x in (ids, other))
+    a, b = (attention_lm.attend(w, x)[0] for x in (ids, other))
     assert np.allclose(a[:, :4], b[:, :4])
 
 
-def test_windows_score_each_id_once():
-    for n in (1, 2, 31, 32, 33, 56, 57, 200):
-        seq, first = attention_lm.windows(np.array([n]))
-        seen = [p for f in first for p in range(f, min(n, f + attention_lm.CONTEXT)) if p - f >= attention_lm.OVERLAP or f == 0]
-        assert seen == list(range(n))
-
-
-def test_later_windows_score_with_half_a_context():
-    assert attention_lm.CLASSES >= 128
-    for n in (33, 57, 200):
-        _, first = attention_lm.windows(np.array([n]))
-        scored = [p - f + 1 for f in first[1:] for p in range(f + attention_lm.OVERLAP, min(n, f + attention_lm.CONTEXT))]
-        assert min(scored) > attention_lm.CONTEXT // 2
-
-
-def test_attention_probabilities_sum_to_one():
-    counts = np.array([5, 3, 0, 2, 9, 1])
-    group, within = attention_lm.classes(counts, [np.array([0, 4, 1, 3, 4])], 4)
-    assert np.allclose(np.bincount(group, np.exp(within), minlength=4)[np.unique(group)], 1)
+def test_windows_score_each_id_once_with_half_a_context():
+    assert attention_lm.CLASSES >= 128 and attention_lm.OVERLAP >= attention_lm.CONTEXT // 2
+    new = attention_lm.CONTEXT - attention_lm.OVERLAP
+    for n in (1, 2, 15, 16, 17, 31, 32, 33, 200):
+        x = attention_lm.Sequences.of(np.arange(n - 1), np.array([n - 1]), 500)
+        seq, first = x.windows(new)
+        assert [p for f in first for p in range(f, min(n, f + new))] == list(range(n))
+        follow, live = x.grid(seq, first, new, 1)
+        assert follow[live].tolist() == [*range(n - 1), 500]
+
+
+def _tree_model(counts, near, size):
+    group, within = attention_lm.classes(counts, near)
+    rng = np.random.default_rng(2)
+    weights = {k: x + 0.3 * rng.standard_normal(x.shape).astype(np.float32) for k, x in attention_lm.new_weights(size).items()}
+    return attention_lm.Model(group, within, weights)
+
+
+def test_attention_scores_are_probabilities():
+    """Of all ids that may follow, the probabilities add up to one; windows side by side give what each place gives alone."""
+    size, rng = 600, np.random.default_rng(4)
+    counts, near = rng.integers(0, 50, size + 1), rng.integers(0, 9, (size + 1, 2 * attention_lm.NEAR))
+    model = _tree_model(counts, near, size)
+    assert np.allclose(np.bincount(model.group, np.exp(model.within), minlength=attention_lm.CLASSES)[np.unique(model.group)], 1)
+    scorer = attention_lm.Scorer(model)
+    rows = [rng.integers(0, size, n) for n in (0, 3, 16, 40, 90)]
+    x = attention_lm.Sequences.of(np.concatenate(rows), np.array([len(r) for r in rows]), size)
+    got = scorer.score(x)
+    w, want = model.weights, []
+    for r in rows:
+        ids, total = np.concatenate([[size + 1], r]), 0.0
+        for i, follow in enumerate([*r, size]):
+            first = max(0, i // 16 * 16 - 16)
+            z = attention_lm.attend(w, ids[None, first : i + 1])[0][0, -1].astype(np.float64)
+            upper = z @ w["o1"] + w["b1"]
+            lower = [z @ w["o2"][g] + w["b2"][g] for g in range(attention_lm.BRANCH)]
+            share = lambda v: v - np.log(np.exp(v).sum())
+            every = (share(upper)[:, None] + np.array([share(v) for v in lower])).ravel()[model.group] + model.within
+            if i == len(r) - 1:
+                used = np.unique(model.group)
+                assert np.exp((share(upper)[:, None] + np.array([share(v) for v in lower])).ravel()).sum() == pytest.approx(1)
+                assert np.exp(every).sum() == pytest.approx(np.exp((share(upper)[:, None] + np.array([share(v) for v in lower])).ravel()[used]).sum())
+            total += every[follow]
+        want.append(total / np.log(10))
+    assert got == pytest.approx(want, rel=1e-4)
 
 
 def test_language_model_learns_from_all_rows(spark):
@@ -406,18 +436,25 @@ def test_language_model_learns_from_all_rows(spark):
     assert scores[0] > scores[1] + 0.01
     table = subwords.word_ids()
     encoded = table.encode([" ".join(t).encode() for t in texts])
-    ids = spark.createDataFrame([(bytearray(x.tobytes()),) for x in encoded], "ids binary").repartition(3)
-    counts = np.bincount(np.concatenate(encoded), minlength=table.size + 1)
-    at, many = attention_lm.neighbours(encoded, attention_lm.marks(counts)[1], attention_lm.marks(counts)[0])
-    near = attention_lm.profiles(ids, counts, table.dtype)
-    assert np.array_equal(np.flatnonzero(near), at) and np.array_equal(near.ravel()[at], many)
-    group, _ = attention_lm.classes(counts, [], near=near)
+    df = spark.createDataFrame([(i, " ".join(t), True) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
+    blocks = attention_lm.text_blocks(df)
+    counts, near = attention_lm.profiles(blocks, table.size)
+    want = np.zeros((table.size + 1, 2 * attention_lm.NEAR))
+    for r in encoded:
+        whole = [table.size + 1, *r.tolist(), table.size]
+        for a, b in zip(whole[:-1], whole[1:], strict=True):
+            want[b, a % attention_lm.NEAR] += 1
+            if a <= table.size:
+                want[a, attention_lm.NEAR + b % attention_lm.NEAR] += 1
+    assert np.array_equal(near[: table.size], want[: table.size])
+    assert np.array_equal(counts, np.bincount(np.concatenate([*encoded, np.full(60, table.size)]), minlength=table.size + 1))
+    group, _ = attention_lm.classes(counts, near)
     start = attention_lm.new_weights(table.size)
-    got = attention_lm.train_on_all(ids, start, group, table.size, table.dtype)
-    parts, shares = [[np.frombuffer(r["ids"], table.dtype) for r in part] for part in ids.rdd.glom().collect()], []
-    for p, rows in enumerate(parts):
+    got = attention_lm.train_on_all(blocks, start, group, table.size)
+    parts, shares = [[attention_lm.Block.unpack(bytes(r["rows"])) for r in part] for part in blocks.filter("rows IS NOT NULL AND n_train > 0").select("rows").rdd.glom().collect()], []
+    for p, found in enumerate(parts):
         w = {k: x.copy() for k, x in start.items()}
-        shares.append((w, *attention_lm.train_rows(w, iter([rows] if rows else []), group, table.size, p)))
+        shares.append((w, *attention_lm.train_rows(w, (b.sequences(b.train, table.size) for b in found), group, table.size, p)))
     for k in start:
         n = [many if k != "embed" else seen[:, None] for _, many, seen in shares]
         total = np.maximum(sum(n), 1)
@@ -425,6 +462,22 @@ def test_language_model_learns_from_all_rows(spark):
         assert np.allclose(got[k], want, atol=1e-4)
 
 
+def test_language_model_beats_counts_without_context(spark):
+    """Held-out texts of the test table: the model against counts of subword ids."""
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test table")
+    docs = spark.read.parquet(str(path)).withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    got = {r["doc_id"]: r["score"] for r in attention_lm.score_corpus(docs).collect()}
+    table, rows = subwords.word_ids(), docs.collect()
+    ids = {r["doc_id"]: table.encode([(r["text"] or "").encode().lower()])[0] for r in rows}
+    counts = np.bincount(np.concatenate([ids[r["doc_id"]] for r in rows if r["train"]]), minlength=table.size + 1) + 1.0
+    counts[table.size] = sum(r["train"] for r in rows)
+    share = np.log10(counts / counts.sum())
+    held = [r["doc_id"] for r in rows if not r["train"]]
+    assert sum(got[i] for i in held) > sum(share[ids[i]].sum() + share[table.size] for i in held)
+
+
 def test_language_model_scores(corpus, empty):
     known = corpus.withColumn("train", F.col("doc_id") % 3 != 2)
     got = {r["doc_id"]: r for r in attention_lm.score_corpus(known, fit_rows=20).collect()}
