@@ -75,11 +75,17 @@ def seconds_of(text: ColumnOrName) -> Column:
     return F.when(F.size(parts).between(1, 3) & ~F.exists(numbers, lambda x: x.isNull()), value)
 
 
-#: A time such as 75, 1:15 or 01:02:03.5.
-TIME = r"(?:\d+:){0,2}\d+(?:\.\d+)?"
+def clock_seconds(text: ColumnOrName) -> Column:
+    """Seconds of 75, 1:15 or 01:02:03.5: whole numbers between colons, the last one with a fraction if it has any; null for anything else."""
+    t = F.trim(col(text))
+    parts = F.split(t, ":")
+    whole = F.forall(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.rlike("^[0-9]+$"))
+    return F.when(whole & F.element_at(parts, -1).rlike(r"^[0-9]+([.][0-9]+)?$"), seconds_of(t))
 
 
 def seconds_pair(text: ColumnOrName) -> Column:
     """``start_s, end_s`` of ``a-b`` (hyphen, dashes or -->), brackets around allowed; null for anything else."""
-    pattern = rf"^[\[\]\s]*({TIME})\s*(?:-->|[-–—])\s*({TIME})[\[\]\s]*$"
-    return F.when(col(text).rlike(pattern), F.struct(seconds_of(F.regexp_extract(col(text), pattern, 1)).alias("start_s"), seconds_of(F.regexp_extract(col(text), pattern, 2)).alias("end_s")))
+    bare = F.translate(F.translate(F.replace(F.replace(F.trim(col(text)), F.lit("-->"), F.lit("-")), F.lit("\u2014"), F.lit("-")), "\u2013", "-"), "[]", "  ")
+    ends = F.split(bare, "-")
+    a, b = clock_seconds(F.get(ends, F.lit(0))), clock_seconds(F.get(ends, F.lit(1)))
+    return F.when((F.size(ends) == 2) & a.isNotNull() & b.isNotNull(), F.struct(a.alias("start_s"), b.alias("end_s")))

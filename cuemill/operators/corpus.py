@@ -28,17 +28,29 @@ def summary(df: DataFrame, text: str, trigger: str = "", failed: Column | None =
     return out.withColumn("trigger_coverage_pct", F.when(F.col("captioned") > 0, 100.0 * F.col("trigger_hits") / F.col("captioned")).otherwise(0.0))
 
 
-def duplicate_groups(df: DataFrame, text: str, order: str, limit: int = 20) -> DataFrame:
-    """``caption, n, members``: captions held twice or more but for case and spacing, the largest groups first.
+def _keyed(df: DataFrame, text: str) -> DataFrame:
+    keyed = df.withColumn("_key", X.fold(X.collapse(text))).filter("_key <> ''")
+    return keyed.withColumn("_hash", F.sha2("_key", 256)).drop("_key")
+
+
+def duplicate_groups(df: DataFrame, text: str, order: str, limit: int | None = None) -> DataFrame:
+    """``caption, n, first``: captions held twice or more but for case and spacing; with ``limit`` the largest groups alone, in order.
 
     Groups by a hash of the key, so that the shuffle moves no texts; a group
-    shows its first text in ``order``, and its members' ``order`` values.
+    shows its first text in ``order``. ``duplicate_members`` gives the rows.
     """
-    keyed = df.withColumn("_key", X.fold(X.collapse(text))).filter("_key <> ''").withColumn("_hash", F.sha2("_key", 256))
-    groups = keyed.groupBy("_hash").agg(F.count("*").alias("n"), F.min(order).alias("_first"), F.sort_array(F.collect_list(order)).alias("members")).filter("n > 1")
-    texts = keyed.select(F.col(order).alias("_first"), F.trim(F.col(text)).alias("caption"))
-    top = groups.join(texts, "_first")
-    return top.select("caption", "n", "members").orderBy(F.desc("n"), X.fold("caption")).limit(limit)
+    keyed = _keyed(df, text)
+    groups = keyed.groupBy("_hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    texts = keyed.select(F.col(order).alias("first"), F.trim(F.col(text)).alias("caption"))
+    out = groups.join(texts, "first").select("caption", "n", "first")
+    return out if limit is None else out.orderBy(F.desc("n"), X.fold("caption")).limit(limit)
+
+
+def duplicate_members(df: DataFrame, text: str, order: str) -> DataFrame:
+    """``first, member``: each row of a group of duplicates with the group's first one."""
+    keyed = _keyed(df, text).select("_hash", order)
+    groups = keyed.groupBy("_hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    return keyed.join(groups, "_hash").select("first", F.col(order).alias("member"))
 
 
 def top_words(df: DataFrame, text: str, limit: int = 30, stop_words: tuple[str, ...] | list[str] = X.STOP_WORDS) -> DataFrame:

@@ -130,8 +130,30 @@ def wrap(c: Column, width: int) -> Column:
     return F.array_join(F.transform(F.split(X.strip(c), "\n"), fill), "\n")
 
 
-#: Words whose full stop ends no sentence.
-ABBREVIATIONS = "mr mrs ms dr prof sr jr st vs etc e.g i.e".split()
+def transcript_file(cues: Column, form: str) -> Column:
+    """A transcript as srt, vtt, txt, lrc or tsv, in the plainer layout of transcription tools: vtt without numbers, hours only where there are any; lrc with both times, a blank line between."""
+    shown = plain_cues(cues)
+    ended = lambda blocks, mark: F.concat(F.array_join(blocks, mark), F.when(F.size(blocks) > 0, F.lit(mark)).otherwise(""))
+    if form == "srt":
+        blocks = F.transform(shown, lambda c, i: F.concat((i + 1).cast("string"), F.lit("\n"), T.stamp(c["start_s"]), F.lit(" --> "), T.stamp(c["end_s"]), F.lit("\n"), c["text"]))
+        return ended(blocks, "\n\n")
+    if form == "vtt":
+        blocks = F.transform(shown, lambda c: F.concat(T.short_stamp(c["start_s"]), F.lit(" --> "), T.short_stamp(c["end_s"]), F.lit("\n"), c["text"]))
+        return F.concat(F.lit("WEBVTT\n\n"), ended(blocks, "\n\n"))
+    if form == "txt":
+        return ended(F.transform(cues, lambda c: X.strip(c["text"])), "\n")
+    if form == "lrc":
+        return ended(F.transform(shown, lambda c: F.concat(F.lit("["), T.short_stamp(c["start_s"]), F.lit("]"), c["text"], F.lit("["), T.short_stamp(c["end_s"]), F.lit("]"))), "\n\n")
+    if form != "tsv":
+        raise ValueError("form must be 'srt', 'vtt', 'txt', 'lrc' or 'tsv'")
+    rows = F.transform(cues, lambda c: F.concat_ws("\t", T.milliseconds(c["start_s"]).cast("string"), T.milliseconds(c["end_s"]).cast("string"), F.replace(X.strip(c["text"]), F.lit("\t"), F.lit(" "))))
+    return ended(F.concat(F.array(F.lit("start\tend\ttext")), rows), "\n")
+
+
+#: Titles and the like, whose full stop ends no sentence; neither do letters with a full stop each, two or more.
+ABBREVIATIONS = "mr mrs ms dr prof sen rep gov st no jr sr inc ltd".split()
+#: Marks that may close a sentence after its end mark.
+CLOSERS = "\"')]}"
 
 
 def resegment(words: Column, longest_chars: int = 92, longest_words: int = 24, longest_s: float = 8.0, least_words: int = 4) -> Column:
@@ -145,28 +167,53 @@ def resegment(words: Column, longest_chars: int = 92, longest_words: int = 24, l
     return apply(words)
 
 
+def _ending(word: str, marks: str) -> bool:
+    return word.strip().rstrip(CLOSERS)[-1:] in tuple(marks)
+
+
+def ends_sentence(word: str) -> bool:
+    """Whether a word ends a sentence: end marks, then closing marks if any, but no abbreviation."""
+    bare = word.strip()
+    initials = len(bare) >= 4 and len(bare) % 2 == 0 and all(c == "." if i % 2 else c.isascii() and c.isalpha() for i, c in enumerate(bare))
+    titled = bare.endswith(".") and bare[:-1].lower() in ABBREVIATIONS
+    return bool(bare) and not initials and not titled and _ending(bare, ".!?")
+
+
+def ends_clause(word: str) -> bool:
+    return bool(word.strip()) and _ending(word, ",;:")
+
+
+def joined_words(words: list[str]) -> str:
+    """Words side by side if they bring their blanks along, else with one between; arrows shortened."""
+    raw = "".join(words).strip()
+    if " " not in raw and len(words) > 1:
+        raw = " ".join(w.strip() for w in words if w.strip())
+    return " ".join(raw.split()).replace("-->", "->")
+
+
 def _cues(words: list[dict], longest_chars: int, longest_words: int, longest_s: float, least_words: int) -> list[dict]:
     out, held, soft = [], [], 0
 
     def emit(n: int) -> None:
         nonlocal held, soft
-        part, held, soft = held[:n], held[n:], 0
-        text = " ".join(" ".join(w["text"].split()) for w in part).strip()
+        part, held = held[:n], held[n:]
+        text = joined_words([w["text"] for w in part])
         if text:
-            out.append({"start_s": part[0]["start_s"], "end_s": part[-1]["end_s"], "text": text})
+            out.append({"start_s": part[0]["start_s"], "end_s": max(part[0]["start_s"], part[-1]["end_s"]), "text": text})
+        soft = max((i for i, w in enumerate(held, 1) if ends_sentence(w["text"]) or ends_clause(w["text"])), default=0)
 
     for w in words:
+        if not w["text"].strip():
+            continue
         held.append(w)
-        text = w["text"].strip()
-        bare = text.rstrip("\"')]}»”’").rstrip(".").lower()
-        if text.rstrip("\"')]}»”’")[-1:] in ".!?…" and bare not in ABBREVIATIONS and text:
+        if ends_sentence(w["text"]):
             emit(len(held))
             continue
-        if text[-1:] in ",;:" and len(held) >= least_words:
+        if ends_clause(w["text"]):
             soft = len(held)
-        size = len(" ".join(x["text"].strip() for x in held))
+        size = len(joined_words([x["text"] for x in held]))
         if size >= longest_chars or len(held) >= longest_words or held[-1]["end_s"] - held[0]["start_s"] >= longest_s:
-            emit(soft or len(held))
+            emit(soft if soft >= least_words else len(held))
     if held:
         emit(len(held))
     return out

@@ -7,21 +7,31 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import ColumnOrName, col, collapse
+from ..functions.text import ColumnOrName, col, collapse, let
 
 EPS = 1e-9
 
 
+def window_count(duration: Column, length: Column, overlap: Column) -> Column:
+    """How many windows ``windows_of`` gives a duration above 0."""
+    return 1 + F.greatest(F.lit(0), F.ceil((duration - length - EPS) / (length - overlap))).cast("int")
+
+
+def windows_of(duration: Column, length: Column, overlap: Column) -> Column:
+    """``windows`` with a length and an overlap of each row; none for a length of 0 or less, or one not above the overlap."""
+    n = window_count(duration, length, overlap)
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * (length - overlap)).alias("start_s"), F.least(duration, i * (length - overlap) + length).alias("end_s")))
+    fit = (duration > EPS) & (length > 0) & (length > overlap)
+    return F.when(fit, each).otherwise(F.array().cast("array<struct<start_s:double,end_s:double>>"))
+
+
 def windows(duration: ColumnOrName, length: float, overlap: float = 0.0) -> Column:
     """Array of ``start_s, end_s``: windows of ``length`` that cover [0, duration), each ``overlap`` into the last; none without a duration."""
     if length <= 0:
         raise ValueError("length must be positive")
     if overlap >= length:
         raise ValueError("overlap must be less than length")
-    d, step = col(duration).cast("double"), length - max(0.0, overlap)
-    n = 1 + F.greatest(F.lit(0), F.ceil((d - length - EPS) / step)).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * step).alias("start_s"), F.least(d, i * step + length).alias("end_s")))
-    return F.when(d > EPS, each).otherwise(F.array().cast("array<struct<start_s:double,end_s:double>>"))
+    return windows_of(col(duration).cast("double"), F.lit(float(length)), F.lit(max(0.0, float(overlap))))
 
 
 def cap_lengths(start: ColumnOrName, end: ColumnOrName, longest: float, overlap: float = 0.0) -> Column:
@@ -37,7 +47,17 @@ def cap_lengths(start: ColumnOrName, end: ColumnOrName, longest: float, overlap:
 def limit_warning(start: ColumnOrName, end: ColumnOrName, longest: float, overlap: float = 0.0) -> Column:
     """What is said of a range that had to be cut; null for the others."""
     d = col(end).cast("double") - col(start).cast("double")
-    return F.when(d > longest + EPS, F.format_string("exceeds the limit, split into %d clips", F.size(windows(d, longest, overlap))))
+    n = window_count(d, F.lit(float(longest)), F.lit(max(0.0, float(overlap))))
+    return F.when(d > longest + EPS, F.format_string("exceeds the limit, split into %d clips", n))
+
+
+def cap_ranges(df: DataFrame, start: str, end: str, longest: float, overlap: float = 0.0) -> DataFrame:
+    """A row for each window that ``cap_lengths`` gives, with ``start`` and ``end`` its own: plain arithmetic on exploded numbers."""
+    s, e, step = F.col(start).cast("double"), F.col(end).cast("double"), longest - max(0.0, overlap)
+    n = F.when(e - s <= longest + EPS, 1).otherwise(window_count(e - s, F.lit(float(longest)), F.lit(max(0.0, float(overlap)))))
+    cut = df.withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("_n", n)
+    first = F.when(F.col("_n") == 1, s).otherwise(s + F.col("_i") * step)
+    return cut.withColumns({start: first, end: F.when(F.col("_n") == 1, e).otherwise(F.least(e, s + F.col("_i") * step + longest))}).drop("_i", "_n")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float | None = None) -> DataFrame:
@@ -56,9 +76,9 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float | Non
     return cut_l.join(cut_r, [key, "_cell"]).filter(meet & (F.col("_cell") == first)).drop("_cell")
 
 
-def text_between(windows_: DataFrame, words: DataFrame, key: str, window: list[str]) -> DataFrame:
-    """Words (``o_start, o_end, word``) that overlap each window, in order, as one collapsed text."""
-    pairs = overlap_join(windows_, words, key)
+def text_between(windows_: DataFrame, words: DataFrame, key: str, window: list[str], width: float | None = None) -> DataFrame:
+    """Words (``o_start, o_end, word``) that overlap each window, in order, as one collapsed text; ``width`` as for ``overlap_join``."""
+    pairs = overlap_join(windows_, words, key, width)
     ordered = F.array_sort(F.collect_list(F.struct("o_start", "o_end", "word")))
     return pairs.groupBy(key, *window).agg(collapse(F.array_join(F.transform(ordered, lambda x: x["word"]), " ")).alias("text"))
 
@@ -123,19 +143,18 @@ def merge_short(df: DataFrame, key: str, least: float) -> DataFrame:
     """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [list(r) for r in part.sort_values(["start_s", "end_s"])[["start_s", "end_s"]].itertuples(index=False)]
-        while len(rows) > 1:
-            i = next((i for i, (s, e) in enumerate(rows) if e - s + EPS < least), None)
-            if i is None:
-                break
-            if i == 0:
-                j = 1
-            elif i == len(rows) - 1:
-                j = i - 1
-            else:
-                j = i - 1 if abs(rows[i][0] - rows[i - 1][1]) <= abs(rows[i + 1][0] - rows[i][1]) else i + 1
-            a, b = min(i, j), max(i, j)
-            rows[a : b + 1] = [[min(rows[a][0], rows[b][0]), max(rows[a][1], rows[b][1])]]
+        left = [tuple(r) for r in part.sort_values(["start_s", "end_s"])[["start_s", "end_s"]].itertuples(index=False)]
+        rows, i = [], 0
+        while i < len(left):  # rows: what is long enough; left[i:]: what is to come
+            s, e = left[i]
+            i += 1
+            while e - s + EPS < least and i < len(left) and (not rows or abs(s - rows[-1][1]) > abs(left[i][0] - e)):
+                s, e = min(s, left[i][0]), max(e, left[i][1])
+                i += 1
+            if e - s + EPS < least and rows:
+                s, e = min(rows[-1][0], s), max(rows[-1][1], e)
+                rows.pop()
+            rows.append((s, e))
         return pd.DataFrame({key: part[key].iat[0], "start_s": [r[0] for r in rows], "end_s": [r[1] for r in rows]})
 
     kind = df.schema[key].dataType.simpleString()
@@ -174,7 +193,7 @@ def speech_ranges(df: DataFrame, key: str, step_s: float, on: float = 0.5, off:
 
 
 def kept_frames(frames: Column, distance: Callable[[Column, Column], Column], threshold: float) -> Column:
-    """Places of an array of frames that differ from the last kept one by the threshold or more; the first is kept."""
+    """Places of an array of frames that differ from the last kept one by the threshold or more; the first is kept, and the last if nothing else is."""
     start = F.struct(F.get(frames, F.lit(0)).alias("last"), F.array(F.lit(0).cast("long")).alias("kept"))
 
     def add(state: Column, x: Column) -> Column:
@@ -182,7 +201,10 @@ def kept_frames(frames: Column, distance: Callable[[Column, Column], Column], th
         return F.struct(F.when(far, x["frame"]).otherwise(state["last"]).alias("last"), F.when(far, F.concat(state["kept"], F.array(x["i"]))).otherwise(state["kept"]).alias("kept"))
 
     numbered = F.transform(frames, lambda f, i: F.struct(i.cast("long").alias("i"), f.alias("frame")))
-    return F.aggregate(F.slice(numbered, F.lit(2), F.greatest(F.size(frames) - 1, F.lit(0))), start, add, lambda s: s["kept"])
+    kept = F.aggregate(F.slice(numbered, F.lit(2), F.greatest(F.size(frames) - 1, F.lit(0))), start, add, lambda s: s["kept"])
+    last = F.array((F.size(frames) - 1).cast("long"))
+    both = lambda k: F.when((F.size(k) < 2) & (F.size(frames) >= 2), F.concat(k, last)).otherwise(k)
+    return F.when(F.size(frames) > 0, let(kept, both)).otherwise(F.array().cast("array<long>"))
 
 
 def sliding_rate(df: DataFrame, key: list[str], ts: str, amount: str, seconds: int) -> DataFrame:

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import numeric as N, parsers as P, text as X, timecode as T
 from .operators import conversation as V, corpus as K, render as R, timeline as L
 from .plans import batch as B
+from .registry import QUERIES, SQL, query, table
 from .sources import listing as S, sinks
 from .streaming import events as E
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -73,11 +53,17 @@ def caption_stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH k AS (SELECT doc_id, text, replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss') AS key FROM documents)
-SELECT arg_min(trim(text), doc_id) AS caption, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members
+SELECT arg_min(trim(text), doc_id) AS caption, count(*) AS n, min(doc_id) AS first
 FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 1""")
 def duplicate_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = K.duplicate_groups(table(spark, sf_dir, "documents"), "text", "doc_id", limit=2147483647)
-    return out.withColumn("members", F.array_join("members", ","))
+    return K.duplicate_groups(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query(r"""
+WITH k AS (SELECT doc_id, replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss') AS key FROM documents)
+SELECT min(doc_id) OVER (PARTITION BY key) AS first, doc_id AS member FROM k WHERE key <> '' QUALIFY count(*) OVER (PARTITION BY key) > 1""")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.duplicate_members(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query(r"""
@@ -139,29 +125,60 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.status_counts(o, "p", ["urgent", "high", "low"], ["o_orderstatus"]).withColumnRenamed("o_orderstatus", "status")
 
 
-@query()  # the engine of the SQL has no lookaround; tests compare it with Python's expressions
+#: A text cut into runs of word characters and of others, for an engine without lookaround.
+_RUNS = r"regexp_extract_all(text, '[\p{L}\p{N}_\p{M}]+|[^\p{L}\p{N}_\p{M}]+')"
+
+
+@query(f"""
+SELECT doc_id, array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN x = 'the' THEN 'THE$1' ELSE x END), '') AS text FROM documents""")
 def replace_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", X.replace_word("text", "the", "THE$1").alias("text"))
 
 
-@query()
+_SHAPED = "CASE WHEN lower(x) NOT IN ('the', 'is', 'and', 'of') THEN x WHEN x = upper(x) THEN upper({0}) WHEN x[1] = upper(x[1]) AND x[2:] = lower(x[2:]) THEN upper({0}[1]) || {0}[2:] ELSE {0} END".format("map {'the': 'a', 'is': 'was', 'and': 'or', 'of': 'from the'}[lower(x)]")
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({_RUNS}, lambda x: {_SHAPED}), '') AS text FROM documents")
 def replace_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = X.parse_replace_pairs("the;a|is;was\nand;or|of;from the")
     return table(spark, sf_dir, "documents").select("doc_id", X.replace_all("text", pairs).alias("text"))
 
 
-@query()
+_KEY = r"replace(lower(trim(regexp_replace(regexp_replace(x, '[.!?…]+\s*$', ''), '\s+', ' ', 'g'))), 'ß', 'ss')"
+_CHUNKS = r"string_split(regexp_replace(regexp_replace(text, '([.!?…])(\s)', '\1␞\2', 'g'), '([^\s.!?…␞][ \t]{0,50})([\r\n])', '\1␞\2', 'g'), '␞')"
+
+
+def _deduped(source: str) -> str:
+    """SQL for the sentences of ``source`` (``doc_id, text``), the first of each kind kept."""
+    keyed = f"SELECT doc_id, chunks, list_transform(chunks, lambda x: {_KEY}) AS keys FROM (SELECT doc_id, {_CHUNKS} AS chunks FROM ({source}))"
+    return f"SELECT doc_id, array_to_string(list_filter(chunks, lambda x, i: keys[i] = '' OR list_position(keys, keys[i]) = i), '') AS text, (len(list_filter(keys, lambda k: k <> '')) - len(list_distinct(list_filter(keys, lambda k: k <> ''))))::INT AS removed FROM ({keyed})"
+
+
+@query(_deduped("SELECT doc_id, text FROM documents"))
 def sentence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.dedupe_sentences("text").alias("text"), X.removed_sentences("text").alias("removed"))
 
 
-@query()
+def _trimmed(source: str, limit: int, protected: str = "") -> str:
+    """SQL for texts of ``source`` cut to ``limit`` characters at a sentence's or a word's end."""
+    low = len(protected)
+    ended = rf"regexp_extract(w, '^((?s:.){{{max(0, low - 1)},{limit - 1}}}[.!?…])(?:\s|$)', 1)"
+    worded = rf"'^((?s:.){{{low},{limit}}}?)\s\S*$'"
+    return f"SELECT doc_id, CASE WHEN length(text) <= {limit} THEN text WHEN {ended} <> '' THEN {ended} WHEN regexp_matches(w, {worded}) THEN regexp_replace(regexp_extract(w, {worded}, 1), '\\s+$', '') ELSE '{protected}' END AS text FROM (SELECT doc_id, text, left(text, {limit + 1}) AS w FROM ({source}))"
+
+
+@query(_trimmed("SELECT doc_id, text FROM documents", 200))
 def caption_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.trim_caption("text", 200).alias("text"))
 
 
-@query()
+_FLAT = r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents"
+_REPLACED = f"SELECT doc_id, array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN x = 'the' THEN 'a' ELSE x END), '') AS text FROM ({_FLAT})"
+_PREFIXED = f"SELECT doc_id, 'A clip: ohwx' || CASE WHEN trim(text) <> '' THEN ' ' || trim(text) ELSE '' END AS text FROM ({_deduped(_REPLACED)})"
+
+
+@query(_trimmed(_PREFIXED, 400, "A clip: ohwx"))
 def finalized_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = X.finalize_caption("text", prefix="A clip:", trigger="ohwx", replace=("the", "a"), collapse_whitespace=True, max_length=400)
     return table(spark, sf_dir, "documents").select("doc_id", done.alias("text"))
@@ -205,7 +222,13 @@ def summary_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.newest_within(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 500).select("conv_id", "turn")
 
 
-@query()
+_TAG = r"regexp_replace(lower(trim(regexp_replace(trim(x), '^(?:[-*•#]\s*)+', ''), ' ,.;' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g')"
+_LYRIC = r"trim(regexp_replace(trim(x), '^(?:[-*•]\s+|\d+[.)]\s+)', ''))"
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, role, list_filter(list_transform(string_split_regex(text, '[,\n]+'), lambda x: {_TAG}), lambda x: x <> '') AS t, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: {_LYRIC}), lambda x: x <> '' AND lower(x) NOT IN ('lyrics:', 'lyrics')) AS l FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS tags, array_to_string(l, '|') AS lyrics, role AS reasoning FROM c""")
 def tags_lyrics_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     thought = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>"), F.col("text"))
@@ -224,9 +247,12 @@ def media_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.kind_of("url").alias("kind"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>', ' ', 'g') AS h FROM pages),
+t AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS t FROM p)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", X.collapse(F.regexp_replace("html", "(?s)<[^>]*>", " ")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", X.html_text("html").alias("text"))
 
 
 # --- batches ---
@@ -316,8 +342,8 @@ SELECT event_id, round(i * 28, 6) AS start_s, round(CASE WHEN n = 1 THEN d ELSE
 FROM (SELECT *, unnest(range(0, n::BIGINT)) AS i FROM n)""")
 def cap_and_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.lit(0.0).alias("s"), (F.col("value") * 10).alias("e"))
-    w = e.select("event_id", F.explode(L.cap_lengths("s", "e", 30, 2)).alias("w"), L.limit_warning("s", "e", 30, 2).alias("warning"))
-    return w.select("event_id", r6(F.col("w.start_s")).alias("start_s"), r6(F.col("w.end_s")).alias("end_s"), "warning")
+    w = L.cap_ranges(e.withColumn("warning", L.limit_warning("s", "e", 30, 2)), "s", "e", 30, 2)
+    return w.select("event_id", r6(F.col("s")).alias("start_s"), r6(F.col("e")).alias("end_s"), "warning")
 
 
 @query(f"""
@@ -337,7 +363,7 @@ def overlap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     days = e.select("user_id", (F.floor(F.col("start_s") / 86400) * 86400).cast("double").alias("start_s")).distinct().withColumn("end_s", F.col("start_s") + 86400)
     words = e.select("user_id", F.col("start_s").alias("o_start"), F.col("end_s").alias("o_end"), F.col("event_type").alias("word"))
-    return L.text_between(days, words, "user_id", ["start_s", "end_s"])
+    return L.text_between(days, words, "user_id", ["start_s", "end_s"], width=86400.0)
 
 
 @query(f"""
@@ -371,16 +397,27 @@ def clamp_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as cues, seconds from the start of their day."""
-    e = events(spark, sf_dir).select("user_id", F.struct((F.col("start_s") % 86400).alias("start_s"), (F.col("start_s") % 86400 + F.col("value")).alias("end_s"), F.col("event_type").alias("text")).alias("c"))
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list("c")).alias("cues"))
+    """Each user's events of a day as cues, in seconds of that day."""
+    day, at = F.floor(F.col("start_s") / 86400).cast("long"), F.col("start_s") % 86400
+    e = events(spark, sf_dir).select("user_id", day.alias("day"), F.struct(at.alias("start_s"), (at + F.col("value")).alias("end_s"), F.col("event_type").alias("text")).alias("c"))
+    return e.groupBy("user_id", "day").agg(F.sort_array(F.collect_list("c")).alias("cues"))
 
 
-@query()
+_MS = "round_even(({0}) * 1000, 0)::BIGINT"
+_STAMP = "lpad(({0} // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({0} // 60000) % 60)::VARCHAR, 2, '0') || ':' || lpad((({0} // 1000) % 60)::VARCHAR, 2, '0') || '{1}' || lpad(({0} % 1000)::VARCHAR, 3, '0')"
+_CUES = f"SELECT user_id, floor(start_s / 86400)::BIGINT AS day, event_type AS text, start_s % 86400 AS s, start_s % 86400 + value AS e, {_MS.format('start_s % 86400')} AS a, {_MS.format('start_s % 86400 + value')} AS b FROM ({EVENTS})"
+_FRAME = "round_even(round_even({0} * 23.976, 0) * (1000000.0::DOUBLE / 23.976), 0)::BIGINT"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT user_id, day, s, {_FRAME.format('s')} AS a, {_FRAME.format('e')} AS b, row_number() OVER (PARTITION BY user_id, day ORDER BY s, e) - 1 AS i FROM ({_CUES})),
+r AS (SELECT user_id, day, i, a, CASE WHEN b <= a THEN a + 41708 ELSE b END AS b FROM c WHERE i = 0
+UNION ALL SELECT user_id, day, i, a, CASE WHEN b <= a THEN a + 41708 ELSE b END FROM (SELECT c.user_id, c.day, c.i, CASE WHEN abs(c.s - r.b / 1000000.0::DOUBLE) <= 0.5 / 23.976 + 1e-6 THEN r.b ELSE c.a END AS a, c.b FROM r JOIN c ON c.user_id = r.user_id AND c.day = r.day AND c.i = r.i + 1))
+SELECT user_id, day, i::INT AS i, a AS start_us, b AS end_us FROM r""")
 def frame_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = F.transform("cues", lambda c: F.struct(c["start_s"].alias("start_s"), c["end_s"].alias("end_s")))
-    out = user_cues(spark, sf_dir).select("user_id", F.posexplode(L.snap_ranges(ranges, 23.976)).alias("i", "r"))
-    return out.select("user_id", "i", "r.start_us", "r.end_us")
+    out = user_cues(spark, sf_dir).select("user_id", "day", F.posexplode(L.snap_ranges(ranges, 23.976)).alias("i", "r"))
+    return out.select("user_id", "day", "i", "r.start_us", "r.end_us")
 
 
 @query()
@@ -388,37 +425,66 @@ def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.merge_short(events(spark, sf_dir), "user_id", 20000.0)
 
 
-_MS = "round_even(({0}) * 1000, 0)::BIGINT"
-_STAMP = "lpad(({0} // 3600000)::VARCHAR, 2, '0') || ':' || lpad((({0} // 60000) % 60)::VARCHAR, 2, '0') || ':' || lpad((({0} // 1000) % 60)::VARCHAR, 2, '0') || '{1}' || lpad(({0} % 1000)::VARCHAR, 3, '0')"
-_CUES = f"SELECT user_id, event_type AS text, start_s % 86400 AS s, start_s % 86400 + value AS e, {_MS.format('start_s % 86400')} AS a, {_MS.format('start_s % 86400 + value')} AS b FROM ({EVENTS})"
-
-
 @query(f"""
-WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e, text) AS i FROM ({_CUES}) WHERE e >= s)
-SELECT user_id, string_agg(i || chr(10) || {_STAMP.format('a', ',')} || ' --> ' || {_STAMP.format('b', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) AS srt,
-  'WEBVTT' || chr(10) || chr(10) || string_agg(i || chr(10) || {_STAMP.format('a', '.')} || ' --> ' || {_STAMP.format('b', '.')} || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) AS vtt FROM c GROUP BY user_id""")
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY s, e, text) AS i FROM ({_CUES}) WHERE e >= s)
+SELECT user_id, day, string_agg(i || chr(10) || {_STAMP.format('a', ',')} || ' --> ' || {_STAMP.format('b', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) AS srt,
+  'WEBVTT' || chr(10) || chr(10) || string_agg(i || chr(10) || {_STAMP.format('a', '.')} || ' --> ' || {_STAMP.format('b', '.')} || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) AS vtt FROM c GROUP BY user_id, day""")
 def srt_vtt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_cues(spark, sf_dir).select("user_id", R.srt(F.col("cues")).alias("srt"), R.vtt(F.col("cues")).alias("vtt"))
+    return user_cues(spark, sf_dir).select("user_id", "day", R.srt(F.col("cues")).alias("srt"), R.vtt(F.col("cues")).alias("vtt"))
 
 
 @query(f"""
-WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e, text) AS i, round_even(s * 100, 0)::BIGINT AS h FROM ({_CUES}))
-SELECT user_id, string_agg('[' || lpad((h // 6000)::VARCHAR, greatest(2, length((h // 6000)::VARCHAR))::INT, '0') || ':' || lpad(((h // 100) % 60)::VARCHAR, 2, '0') || '.' || lpad((h % 100)::VARCHAR, 2, '0') || ']' || text, chr(10) ORDER BY i) AS lrc,
-  'start' || chr(9) || 'end' || chr(9) || 'text' || chr(10) || string_agg(a || chr(9) || b || chr(9) || text, chr(10) ORDER BY i) AS tsv FROM c GROUP BY user_id""")
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY s, e, text) AS i, round_even(s * 100, 0)::BIGINT AS h FROM ({_CUES}))
+SELECT user_id, day, string_agg('[' || lpad((h // 6000)::VARCHAR, greatest(2, length((h // 6000)::VARCHAR))::INT, '0') || ':' || lpad(((h // 100) % 60)::VARCHAR, 2, '0') || '.' || lpad((h % 100)::VARCHAR, 2, '0') || ']' || text, chr(10) ORDER BY i) AS lrc,
+  'start' || chr(9) || 'end' || chr(9) || 'text' || chr(10) || string_agg(a || chr(9) || b || chr(9) || text, chr(10) ORDER BY i) AS tsv FROM c GROUP BY user_id, day""")
 def lrc_tsv_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_cues(spark, sf_dir).select("user_id", R.lrc(F.col("cues")).alias("lrc"), R.tsv(F.col("cues")).alias("tsv"))
+    return user_cues(spark, sf_dir).select("user_id", "day", R.lrc(F.col("cues")).alias("lrc"), R.tsv(F.col("cues")).alias("tsv"))
 
 
-@query()
+_TENTHS = "lpad(({0} // 600)::VARCHAR, greatest(2, length(({0} // 600)::VARCHAR))::INT, '0') || ':' || lpad((({0} // 10) % 60)::VARCHAR, 2, '0') || '.' || ({0} % 10)"
+
+
+@query(f"""
+WITH c AS (SELECT *, round_even(s * 10, 0)::BIGINT AS t, round_even(e * 10, 0)::BIGINT AS u, row_number() OVER (PARTITION BY user_id, day ORDER BY s, e, text) AS i FROM ({_CUES}))
+SELECT user_id, day, string_agg(text, ' ' ORDER BY i) AS plain, string_agg('[' || {_TENTHS.format('t')} || ' - ' || {_TENTHS.format('u')} || '] ' || text, chr(10) ORDER BY i) AS stamped,
+  string_agg('[' || {_STAMP.format('a', '.')} || ' - ' || {_STAMP.format('b', '.')} || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS combined FROM c GROUP BY user_id, day""")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = user_cues(spark, sf_dir)
-    return c.select("user_id", R.transcript(F.col("cues"), "plain").alias("plain"), R.transcript(F.col("cues"), "timestamps").alias("stamped"), R.combined(F.col("cues")).alias("combined"))
+    return c.select("user_id", "day", R.transcript(F.col("cues"), "plain").alias("plain"), R.transcript(F.col("cues"), "timestamps").alias("stamped"), R.combined(F.col("cues")).alias("combined"))
+
+
+_SHORT = "CASE WHEN {0} >= 3600000 THEN lpad(({0} // 3600000)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((({0} // 60000) % 60)::VARCHAR, 2, '0') || ':' || lpad((({0} // 1000) % 60)::VARCHAR, 2, '0') || '.' || lpad(({0} % 1000)::VARCHAR, 3, '0')"
+
+
+@query(f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY s, e, text) AS i FROM ({_CUES}))
+SELECT user_id, day, 'WEBVTT' || chr(10) || chr(10) || string_agg({_SHORT.format('a')} || ' --> ' || {_SHORT.format('b')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY i) AS vtt,
+  string_agg('[' || {_SHORT.format('a')} || ']' || text || '[' || {_SHORT.format('b')} || ']' || chr(10) || chr(10), '' ORDER BY i) AS lrc, 'start' || chr(9) || 'end' || chr(9) || 'text' || chr(10) || string_agg(a || chr(9) || b || chr(9) || text || chr(10), '' ORDER BY i) AS tsv,
+  string_agg(text || chr(10), '' ORDER BY i) AS txt FROM c GROUP BY user_id, day""")
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = user_cues(spark, sf_dir)
+    return c.select("user_id", "day", *[R.transcript_file(F.col("cues"), form).alias(form) for form in ("vtt", "lrc", "tsv", "txt")])
+
+
+@query(f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY s, e, text) AS i FROM ({_CUES}))
+SELECT 'user_' || user_id || '.' || unnest(['txt', 'srt']) AS path, unnest([t, r]) AS content FROM (SELECT user_id, day, 'text ' || day AS t, string_agg(i || chr(10) || {_STAMP.format('a', ',')} || ' --> ' || {_STAMP.format('b', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY i) || chr(10) AS r FROM c GROUP BY user_id, day)""")
+def caption_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = user_cues(spark, sf_dir).withColumns({"stem": F.concat(F.lit("user?"), F.col("user_id").cast("string")), "text": F.concat(F.lit("text "), F.col("day").cast("string"))})
+    return sinks.caption_files(c, "stem", "text", "cues", ["srt"])
+
+
+@query(f"""
+SELECT user_id, day, round(s + 2.5, 3) AS start_s, round(e + 2.5, 3) AS end_s, text FROM ({_CUES})""")
+def shifted_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = user_cues(spark, sf_dir).select("user_id", "day", F.explode(R.shift(F.col("cues"), 2.5)).alias("c"))
+    return c.select("user_id", "day", F.round("c.start_s", 3).alias("start_s"), F.round("c.end_s", 3).alias("end_s"), "c.text")
 
 
 @query()
 def resegmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = user_cues(spark, sf_dir).select("user_id", F.explode(R.resegment(F.col("cues"))).alias("c"))
-    return c.select("user_id", "c.start_s", "c.end_s", "c.text")
+    c = user_cues(spark, sf_dir).select("user_id", "day", F.explode(R.resegment(F.col("cues"))).alias("c"))
+    return c.select("user_id", "day", "c.start_s", "c.end_s", "c.text")
 
 
 @query("""
@@ -441,9 +507,12 @@ def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.sliding_rate(table(spark, sf_dir, "events"), ["user_id"], "ts", "value", 86400).select("event_id", F.round("rate", 9).alias("rate"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT user_id, i, t AS last, true AS kept FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t - r.last >= 43200000000 THEN e.t ELSE r.last END, e.t - r.last >= 43200000000 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, last AS us FROM r WHERE kept""")
 def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.throttled(table(spark, sf_dir, "events"), ["user_id"], "ts", 43200.0).select("user_id", F.explode("kept").alias("us"))
+    return E.throttled(table(spark, sf_dir, "events"), ["user_id"], "ts", 43200.0)
 
 
 # --- numbers ---
@@ -522,12 +591,18 @@ def silence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(N.silence_ratio(F.col("embedding").cast("array<double>"), 8, 0.1)).alias("silence"))
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (SELECT vec_id // 50 AS clip, embedding, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY vec_id // 50) AS n FROM embeddings),
+d AS (SELECT clip, i, embedding AS last, true AS kept FROM f WHERE i = 0 UNION ALL SELECT clip, i, CASE WHEN far THEN embedding ELSE last END, far FROM (SELECT f.clip, f.i, f.embedding, d.last, list_sum(list_transform(list_zip(f.embedding, d.last), lambda x: abs(x[1] - x[2])::DOUBLE)) / len(d.last) >= 0.19 AS far FROM d JOIN f ON f.clip = d.clip AND f.i = d.i + 1)),
+k AS (SELECT clip, i FROM d WHERE kept), c AS (SELECT clip, count(*) AS m FROM k GROUP BY clip)
+SELECT clip, i FROM k UNION SELECT f.clip, f.n - 1 FROM f JOIN c USING (clip) WHERE m < 2 AND n >= 2 AND i = 0""")
 def adaptive_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("f"))
+    """Frames kept in clips of 50 vectors each."""
+    clip = F.floor(F.col("vec_id") / 50).cast("long")
+    frames = table(spark, sf_dir, "embeddings").groupBy(clip.alias("clip")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("f"))
     far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    kept = L.kept_frames(F.transform("f", lambda x: x["embedding"]), far, 0.15)
-    return frames.select("label", F.explode(kept).alias("i"))
+    kept = L.kept_frames(F.transform("f", lambda x: x["embedding"]), far, 0.19)
+    return frames.select("clip", F.explode(kept).alias("i"))
 
 
 # --- the curation flow ---
@@ -543,3 +618,7 @@ def curated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = items(spark, sf_dir).filter(keep).select("doc_id", "source", X.chars("text").alias("chars"), X.approx_tokens("text").alias("tokens"), F.sha2(X.fold(X.collapse("text")), 256).alias("key"))
     one = found.groupBy("key").agg(F.min_by(F.struct("source", "chars", "tokens"), "doc_id").alias("x")).select("x.*")
     return one.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max("chars").alias("longest"))
+
+
+# The other sets of queries register themselves.
+from . import queries_files, queries_plans, queries_text  # noqa: E402, F401

@@ -30,21 +30,40 @@ def since(df: DataFrame, revision: str, cursor: int, keep: int = 300) -> DataFra
 
 
 def throttled(df: DataFrame, key: list[str], ts: str, seconds: float) -> DataFrame:
-    """``key, kept``: times of the events let through when each holds back those of the next ``seconds``."""
-    t = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
-    step = F.lit(int(seconds * 1_000_000))
-    pick = lambda done, x: F.when((F.size(done) == 0) | (x - F.element_at(done, -1) >= step), F.concat(done, F.array(x))).otherwise(done)
-    return df.groupBy(*key).agg(t.alias("_t")).select(*key, F.aggregate("_t", F.array().cast("array<long>"), pick).alias("kept"))
+    """``key, us``: times (in microseconds) of the events let through when each holds back those of the next ``seconds``.
+
+    What a gap of that length parts is told apart first (the event after it is
+    let through whatever was before), so that only stretches without such a gap
+    are gone through one by one, as Arrow batches of their sorted times.
+    """
+    t, step = F.unix_micros(F.col(ts).cast("timestamp")), int(seconds * 1_000_000)
+    order = Window.partitionBy(*key).orderBy("us")
+    rows = df.select(*key, t.alias("us")).withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) < step, 0).otherwise(1))
+    rows = rows.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    @F.pandas_udf("array<long>")
+    def kept(times: pd.Series) -> pd.Series:
+        def pick(ts: list) -> list:
+            out: list[int] = []
+            for x in ts:
+                if not out or x - out[-1] >= step:
+                    out.append(int(x))
+            return out
+
+        return times.map(pick)
+
+    parts = rows.groupBy(*key, "_part").agg(F.sort_array(F.collect_list("us")).alias("_us"))
+    return parts.select(*key, F.explode(kept("_us")).alias("us"))
 
 
 class RepeatGate(StatefulProcessor):
-    """Lets a log line through unless an equal one of its key came within ``seconds``; forgets keys by a timer."""
+    """Lets a log line through unless an equal one of its key came within ``seconds``; a key not heard of for ``forget_s`` is forgotten."""
 
-    def __init__(self, seconds: float = 0.5, forget: float = 2.0):
-        self.seconds, self.forget = seconds, forget
+    def __init__(self, seconds: float = 0.5, forget_s: float = 3600.0):
+        self.seconds, self.forget_s = seconds, max(forget_s, seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "ts double")
+        self.last = handle.getValueState("last", "ts double", ttlDurationMs=int(self.forget_s * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows)).sort_values("ts")
@@ -62,7 +81,7 @@ class RepeatGate(StatefulProcessor):
 
 def gate_stream(stream: DataFrame, key: list[str], seconds: float = 0.5) -> DataFrame:
     """``without_repeats`` on a stream with a ``ts`` column."""
-    return stream.groupBy(*key).transformWithStateInPandas(RepeatGate(seconds), outputStructType=stream.schema, outputMode="append", timeMode="none")
+    return stream.groupBy(*key).transformWithStateInPandas(RepeatGate(seconds), outputStructType=stream.schema, outputMode="append", timeMode="ProcessingTime")
 
 
 def split_answer(text: str) -> tuple[str, str]:
@@ -83,19 +102,22 @@ def split_answer(text: str) -> tuple[str, str]:
 
 
 class DeltaGatherer(StatefulProcessor):
-    """Gathers deltas of a conversation and gives out what each adds to the answer and the reasoning."""
+    """Gathers deltas of a conversation and gives out what each adds to the answer and the reasoning; an answer not added to for ``forget_s`` is forgotten."""
+
+    def __init__(self, forget_s: float = 3600.0):
+        self.forget_s = forget_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.text = handle.getValueState("text", "text string")
+        self.text = handle.getValueState("text", "text string", ttlDurationMs=int(self.forget_s * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         text = self.text.get()[0] if self.text.exists() else ""
-        out = []
+        out, (reasoning, answer) = [], split_answer(text)
         for seq, delta in pd.concat(list(rows)).sort_values("seq")[["seq", "delta"]].itertuples(index=False):
-            reasoning, answer = split_answer(text)
             text += delta or ""
             more, said = split_answer(text)
             out.append((key[0], seq, said[len(answer) :] if said.startswith(answer) else said, more[len(reasoning) :] if more.startswith(reasoning) else more))
+            reasoning, answer = more, said
         self.text.update((text,))
         yield pd.DataFrame(out, columns=["conv_id", "seq", "answer_delta", "reasoning_delta"])
 
@@ -105,7 +127,7 @@ class DeltaGatherer(StatefulProcessor):
 
 def gather_stream(stream: DataFrame) -> DataFrame:
     """Answer and reasoning deltas of a stream of ``conv_id, seq, delta``."""
-    return stream.groupBy("conv_id").transformWithStateInPandas(DeltaGatherer(), outputStructType="conv_id long, seq long, answer_delta string, reasoning_delta string", outputMode="append", timeMode="none")
+    return stream.groupBy("conv_id").transformWithStateInPandas(DeltaGatherer(), outputStructType="conv_id long, seq long, answer_delta string, reasoning_delta string", outputMode="append", timeMode="ProcessingTime")
 
 
 def by_type(stream: DataFrame, kinds: list[str]) -> dict[str, DataFrame]:

@@ -166,6 +166,6 @@ def test_event_batches(spark):
     ts = [datetime(2024, 1, 1) + timedelta(seconds=s) for s in (0, 0.3, 0.6, 1.2, 5)]
     df = spark.createDataFrame([("k", t, i) for i, t in enumerate(ts)], "k string, ts timestamp, i int")
     assert sorted(r["i"] for r in E.without_repeats(df, ["k"], "ts").collect()) == [0, 3, 4]
-    assert len(E.throttled(df, ["k"], "ts", 1.0).first()["kept"]) == 3
+    assert E.throttled(df, ["k"], "ts", 1.0).count() == 3
     assert [E.split_answer(t) for t in ("<thi", "<think>a", "<think>a</think>b", "plain", "<think>a</th")] == [("", ""), ("a", ""), ("a", "b"), ("", "plain"), ("a", "")]
     assert sorted(r["i"] for r in E.since(df, "i", 2).collect()) == [3, 4]
