@@ -55,3 +55,18 @@ def as_json(df: DataFrame) -> DataFrame:
     """``conv_id, json``: the messages as an array of role and content."""
     parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return df.groupBy("conv_id").agg(F.to_json(F.transform(parts, lambda p: F.struct(p["role"].alias("role"), p["text"].alias("content")))).alias("json"))
+
+
+def normalized(df: DataFrame, media: str | None = None) -> DataFrame:
+    """Messages with ``role`` folded and trimmed, ``text`` never null, and ``error``: what is wrong with a message, null if nothing is.
+
+    Roles are system, user and assistant; with ``media`` (an array column), only a user's message may carry any.
+    """
+    role = F.lower(F.trim(F.coalesce(F.col("role"), F.lit(""))))
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("string")
+    at = lambda said: F.concat(F.lit("Chat message "), number, F.lit(said))
+    error = F.when(~role.isin("system", "user", "assistant"), F.concat(at(" has an unsupported role: "), F.when(role == "", "<empty>").otherwise(role)))
+    if media is not None:
+        carried = F.size(F.filter(F.coalesce(F.col(media), F.array()), lambda m: X.strip(m) != "")) > 0
+        error = error.when(carried & (role != "user"), at(": only user messages can carry media"))
+    return df.withColumns({"error": error, "role": role, "text": F.coalesce("text", F.lit(""))})

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import numeric as N
-from .operators import clips as K, timeline as L
+from .operators import clips as K, conversation as V, frames as R, timeline as L
 from .plans import segments as P
 from .registry import query, table
+from .sources import sinks
+from .streaming import events as E
 
 
 def r6(c):
@@ -219,3 +221,107 @@ def covered_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(F.col("event_id") % 3 == 0, F.array(F.col("value") % 1, F.lit(0.5)))
     return table(spark, sf_dir, "events").select("event_id", K.segment_probability(known, -F.col("value")).alias("probability"))
+
+
+# --- frames and sound ---
+
+_FRAMES = "SELECT vec_id // 25 AS clip, vec_id AS frame, list_transform(embedding[:16], lambda x: floor(abs(x::DOUBLE) * 400)::INT) AS px FROM embeddings"
+
+
+def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 4 by 4 grey values, 25 to a clip."""
+    px = F.transform(F.slice("embedding", 1, 16), lambda x: F.floor(F.abs(x.cast("double")) * 400).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 25).cast("long").alias("clip"), F.col("vec_id").alias("frame"), px.alias("px"))
+
+
+_CHANGES = f"SELECT *, CASE WHEN last IS NOT NULL THEN list_sum(list_transform(list_zip(px, last), lambda z: abs(z[1] - z[2])::DOUBLE)) / 16 END AS change FROM (SELECT *, lag(px) OVER (PARTITION BY clip ORDER BY frame) AS last FROM ({_FRAMES}))"
+_LAPLACE = "list_transform(range(0, 16), lambda i: (px[CASE WHEN i % 4 = 0 THEN i + 2 ELSE i END] + px[CASE WHEN i % 4 = 3 THEN i ELSE i + 2 END] + px[CASE WHEN i < 4 THEN i + 5 ELSE i - 3 END] + px[CASE WHEN i >= 12 THEN i - 3 ELSE i + 5 END] - 4 * px[i + 1])::DOUBLE)"
+
+
+@query(f"""
+WITH f AS (SELECT clip, list_sum(px)::DOUBLE / 16 AS luma, len(list_filter(px, lambda x: x <= 16)) / 16.0 AS black, change, {_LAPLACE} AS e FROM ({_CHANGES})),
+v AS (SELECT *, list_sum(list_transform(e, lambda x: x * x)) / 16 - (list_sum(e) / 16) * (list_sum(e) / 16) AS sharp FROM f)
+SELECT clip, round(avg(luma), 4) AS mean_luma, round(avg(black), 4) AS black_ratio, round(coalesce(avg(change), 0), 4) AS static_score, round(avg(sharp), 3) AS sharpness FROM v GROUP BY clip""")
+def clip_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = R.clip_quality(R.frame_features(grey(spark, sf_dir), "clip", "frame", "px", 4), "clip")
+    return q.select("clip", *[F.round(c, 4).alias(c) for c in ("mean_luma", "black_ratio", "static_score")], F.round("sharpness", 3).alias("sharpness"))
+
+
+@query(f"""
+WITH c AS (SELECT clip, frame, sum(CASE WHEN change >= 62 THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY frame ROWS UNBOUNDED PRECEDING)::BIGINT AS scene FROM ({_CHANGES}))
+SELECT clip, scene, min(frame) AS first, max(frame) AS last, count(*) AS frames FROM c GROUP BY clip, scene""")
+def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.scene_cuts(R.frame_features(grey(spark, sf_dir), "clip", "frame", "px", 4), "clip", "frame", 62.0)
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding[:24] AS s FROM embeddings), p AS (SELECT vec_id, s, unnest(range(0, 16)) AS i FROM e), q AS (SELECT vec_id, s, i, least(i * 1.5::DOUBLE, 23.0) AS x FROM p)
+SELECT vec_id, i::INT AS i, round(s[floor(x)::INT + 1]::DOUBLE + (s[least(floor(x)::INT + 2, 24)]::DOUBLE - s[floor(x)::INT + 1]::DOUBLE) * (x - floor(x)), 9) AS value, false AS silent FROM q""")
+def resampled_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 24).alias("s"))
+    out = s.select("vec_id", R.is_silent("s").alias("silent"), F.posexplode(R.resampled(F.col("s"), 48000, 32000)).alias("i", "value"))
+    return out.select("vec_id", "i", F.round("value", 9).alias("value"), "silent")
+
+
+# --- messages, events, documents ---
+
+
+@query("""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), r AS (SELECT *, CASE WHEN turn % 7 = 3 THEN 'tool' WHEN turn % 7 = 5 THEN '' ELSE role END AS said FROM c)
+SELECT conv_id, turn, said AS role, CASE WHEN said = 'tool' THEN 'Chat message ' || k || ' has an unsupported role: tool' WHEN said = '' THEN 'Chat message ' || k || ' has an unsupported role: <empty>' WHEN turn % 4 = 1 AND said <> 'user' THEN 'Chat message ' || k || ': only user messages can carry media' END AS error FROM r""")
+def checked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"role": F.when(t % 7 == 3, "Tool").when(t % 7 == 5, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" "), F.upper("role"))), "media": F.when(t % 4 == 1, F.array(F.lit("a.mp4"))).when(t % 4 == 2, F.array(F.lit(" ")))})
+    return V.normalized(c, "media").select("conv_id", "turn", "role", "error")
+
+
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.tail(table(spark, sf_dir, "events"), ["user_id"], "event_id", 5).select("event_id")
+
+
+@query("""
+WITH e AS (SELECT event_id, ['log', 'segment', 'item_error', 'error', 'other'][event_id % 5 + 1] AS kind, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS m FROM events)
+SELECT event_id, CASE kind WHEN 'log' THEN CASE WHEN m <> '' THEN 'log' END WHEN 'segment' THEN 'segment' WHEN 'item_error' THEN 'item' WHEN 'error' THEN 'end' END AS route,
+  CASE kind WHEN 'log' THEN nullif(m, '') WHEN 'item_error' THEN coalesce(nullif(m, ''), 'Whisper item failed') WHEN 'error' THEN coalesce(nullif(m, ''), 'Whisper worker failed') END AS said FROM e""")
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("log", "segment", "item_error", "error", "other")])
+    e = table(spark, sf_dir, "events").select("event_id", F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("kind"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(" ").alias("m"))
+    return E.routed(e, "kind", "m").select("event_id", "route", "said")
+
+
+@query("""
+WITH e AS (SELECT *, event_type IN ('click', 'view') AS done, CASE WHEN event_id % 3 = 0 THEN 'm' || event_id WHEN event_id % 3 = 1 THEN 't' || event_id END AS caption FROM events)
+SELECT user_id, arg_max('r' || event_id, event_id) FILTER (event_type = 'signup') AS run_dir, arg_max(caption, event_id) FILTER (done AND caption IS NOT NULL) AS caption_path, arg_max('c' || event_id, event_id) FILTER (done AND event_id % 4 = 0) AS clip_path FROM e GROUP BY user_id""")
+def live_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, k = F.col("event_id").cast("string"), F.col("event_id") % 3
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), "Done").otherwise("running").alias("status"), F.when(F.col("event_type") == "signup", F.concat(F.lit("r"), i)).alias("run_dir"), F.when(k == 0, F.concat(F.lit("m"), i)).otherwise("").alias("merged"), F.when(k == 1, F.concat(F.lit("t"), i)).alias("txt"), F.lit(None).cast("string").alias("video"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("c"), i)).alias("clip_path"))
+    return E.live_outputs(e, "user_id", "event_id")
+
+
+@query("""
+SELECT source, '{"_meta":{"format":"run","version":1},"app_version":"2","model_info":{},"settings":{"lang":"any"},"items_results":[' || string_agg('{"path":"p' || doc_id || '","status":"done"}', ',' ORDER BY doc_id) || '],"timings":{}}' AS json FROM documents GROUP BY source""")
+def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.lit("done").alias("status"), F.create_map(F.lit("lang"), F.lit("any")).alias("settings"))
+    return sinks.metadata_document(d, ["source"], "run", 1, "2", "settings", "doc_id")
+
+
+@query("""
+SELECT source, '{' || coalesce(string_agg('"d/' || lpad(doc_id::VARCHAR, 9, '0') || '.txt":"' || CASE WHEN doc_id % 2 = 0 THEN 'approved' ELSE 'rejected' END || '"', ',' ORDER BY doc_id) FILTER (doc_id % 5 > 1), '') || '}' AS json FROM documents GROUP BY source""")
+def flags_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    path = F.concat(F.when(i % 5 == 0, "../").when(i % 5 == 1, "/").otherwise("d\\"), F.lpad(i.cast("string"), 9, "0"), F.lit(".txt"))
+    d = table(spark, sf_dir, "documents").select("source", path.alias("path"), F.when(i % 2 == 0, "approved").otherwise("rejected").alias("flag"))
+    return sinks.flags_document(d, ["source"], "path", "flag")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '{"k":"' || p_size || '",' ELSE '{' END || '"video_caption":"' || p_name || '","audio_caption":"a","merged_caption":"' || p_name || ' a"}' AS parts,
+  CASE p_size % 4 WHEN 0 THEN '{"k":"' || p_size || '","transcript":{"n":' || p_size || '}}' WHEN 1 THEN '{"transcript":{"n":' || p_size || '}}' WHEN 2 THEN '{"caption":"said \\"' || p_size || '\\"","transcript":{"n":' || p_size || '}}' ELSE '{"k":"' || p_size || '"}' END AS spoken FROM part""".replace("\\\\", "\\"))
+def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("p_size").cast("string")
+    own = F.concat(F.lit('{"k":"'), s, F.lit('"}'))
+    k = F.col("p_size") % 4
+    parts = sinks.with_parts(F.when(F.col("p_size") % 2 == 0, own), F.col("p_name"), F.lit("a"), F.concat("p_name", F.lit(" a")))
+    spoken = sinks.with_transcript(F.when(k.isin(0, 3), own).when(k == 2, F.concat(F.lit('said "'), s, F.lit('"'))), F.when(k != 3, F.concat(F.lit('{"n":'), s, F.lit("}"))))
+    return table(spark, sf_dir, "part").select("p_partkey", parts.alias("parts"), spoken.alias("spoken"))

@@ -133,3 +133,35 @@ def gather_stream(stream: DataFrame) -> DataFrame:
 def by_type(stream: DataFrame, kinds: list[str]) -> dict[str, DataFrame]:
     """The events of each kind."""
     return {k: stream.filter(F.col("ev") == k) for k in kinds}
+
+
+def tail(df: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
+    """The newest ``n`` rows of each key."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter(F.col("_n") <= n).drop("_n")
+
+
+#: Where worker events go.
+ROUTES = {"log": "log", "stdout": "log", "download": "download", "progress": "progress", "segment": "segment", "item_done": "item", "item_error": "item", "runtime": "log", "model_loaded": "log", "done": "end", "error": "end"}
+
+
+def routed(df: DataFrame, event: str, message: str) -> DataFrame:
+    """Adds ``route`` and ``said`` of worker events: log lines without a text, and unknown events, go nowhere."""
+    route = F.lit(None).cast("string")
+    for kind, to in ROUTES.items():
+        route = F.when(F.col(event) == kind, to).otherwise(route)
+    text = F.trim(F.coalesce(F.col(message), F.lit("")))
+    said = F.when(text != "", text).when(F.col(event) == "item_error", "Whisper item failed").when(F.col(event) == "error", "Whisper worker failed")
+    quiet = (route == "log") & said.isNull()
+    return df.withColumns({"route": F.when(~quiet, route), "said": F.when(route.isin("log", "item", "end"), said)})
+
+
+def live_outputs(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``run_dir, caption_path, clip_path`` as they stand after all of a key's events: the last that were named; captions and clips of finished items alone.
+
+    Of an item's ``merged, txt, video`` the first that is there is its caption.
+    """
+    done = F.lower("status") == "done"
+    filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    caption = F.coalesce(filled(F.col("merged")), filled(F.col("txt")), filled(F.col("video")))
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(order)))
+    return df.groupBy(key).agg(last(filled(F.col("run_dir"))).alias("run_dir"), last(F.when(done, caption)).alias("caption_path"), last(F.when(done, filled(F.col("clip_path")))).alias("clip_path"))
