@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 from operator import itemgetter
 
@@ -20,11 +21,12 @@ WINDOW, CUT_EVERY = 16, 256
 KEEP_CHUNKS, KEEP_WORDS = 20_000, 150_000
 #: Bytes of text that are cut and encoded at once.
 BATCH = 1 << 20
+#: Whole words on either side of a join that its new ids are compared on, at most.
+ANCHORS = 3
 _WHITE = b" \t\n\v\f\r"
 
 #: Number of tokens, " id id ..." and " token token ..." of a stretch of text.
 Piece = tuple[int, bytes, bytes]
-_NONE: Piece = (0, b"", b"")
 
 
 def cut_points(data: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -57,49 +59,86 @@ def split_chunk(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
     return head, chunk[len(head) : len(chunk) - len(tail)], tail
 
 
+@dataclass
+class Chunk:
+    """What is kept of a chunk with white space: fragments of words at its ends, the whole words next to them, and the piece between the fragments."""
+
+    head: bytes
+    first: list[bytes]
+    piece: Piece
+    last: list[bytes]
+    tail: bytes
+
+
 class ChunkCoder:
     """Encodes texts chunk by chunk, each distinct chunk once while it is kept.
 
-    A chunk is encoded between its first and last white space, where the
-    tokenizer's pieces are sure to begin and end. The fragments of words at a
-    join are not sure: they are put together, over as many chunks as have no
-    white space, and encoded anew until the stretch begins and ends at white
-    space; there it agrees with what both chunks hold.
+    A chunk is encoded between its first and last white space. At a join, the
+    fragments of words of both chunks (and of chunks without white space
+    between them) are put together and encoded anew, in one stretch with the
+    whole words on either side. The join is mended when the new ids begin and
+    end with the very ids that both chunks have for these words; until they do,
+    the stretch is widened word by word, at most to ANCHORS words a side.
     """
 
     def __init__(self, tokenizer: str = DEFAULT):
         self.ids = word_ids(tokenizer)
-        self.chunks: dict[bytes, tuple[bytes, Piece, bytes] | None] = {}
+        self.chunks: dict[bytes, Chunk | None] = {}
         self.words: dict[bytes, Piece] = {}
-        self.encoded = self.reused = 0
+        self.joints: dict[tuple[bytes, bytes, bytes], Piece] = {}
+        self.encoded = self.reused = self.widened = 0
         # What each id adds to the strings of a stretch: the decoder joins tokens with a space.
         decode = self.ids.tokenizer.decode_batch([[i] for i in range(self.ids.size)], skip_special_tokens=False)
         self.numbers = [f" {i}".encode() for i in range(self.ids.size)]
         self.tokens = [f" {t}".encode() for t in decode]
 
+    def _piece(self, ids: list[int]) -> Piece:
+        return len(ids), b"".join(map(self.numbers.__getitem__, ids)), b"".join(map(self.tokens.__getitem__, ids))
+
     def _learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > KEEP_WORDS:
             self.words, new = {}, list(words)
         if new:
             self.ids.learn(set(new))
-            known, code, number, token = self.ids.known, self.ids.dtype.char, self.numbers.__getitem__, self.tokens.__getitem__
+            known, code = self.ids.known, self.ids.dtype.char
             for w in new:
-                a = memoryview(known[w]).cast(code).tolist()
-                self.words[w] = (len(a), b"".join(map(number, a)), b"".join(map(token, a)))
+                self.words[w] = self._piece(memoryview(known[w]).cast(code).tolist())
             self.ids.known = {}
             if len(self.ids.cores) > KEEP_WORDS:
                 self.ids.cores = {}
 
     def forget(self) -> None:
         """Let go of what is kept, at the end of a task: its worker may be idle for long."""
-        self.chunks, self.words = {}, {}
+        self.chunks, self.words, self.joints = {}, {}, {}
         self.ids.forget()
         C.give_back()
 
     def _join(self, pieces: list[Piece]) -> Piece:
         return sum(map(itemgetter(0), pieces)), b"".join(map(itemgetter(1), pieces)), b"".join(map(itemgetter(2), pieces))
 
+    def _mend(self, joints: dict[tuple[bytes, bytes, bytes], tuple[list[bytes], list[bytes]]]) -> None:
+        """Makes the pieces of words at joins, given with the words before (nearest last) and after (nearest first)."""
+        wide, left = 1, dict(joints)
+        while left:
+            keys = list(left)
+            sides = [(left[k][0][-wide:], left[k][1][:wide]) for k in keys]
+            texts = [b" ".join([*before, k[1], *after]).decode("utf-8", "replace") for k, (before, after) in zip(keys, sides, strict=True)]
+            again = {}
+            for k, (before, after), e in zip(keys, sides, self.ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                begin, end = (self._join([self.words[w] for w in ws]) for ws in (before, after))
+                got = self._piece(e.ids)
+                led = got[1].startswith(begin[1]) and got[1][len(begin[1]) : len(begin[1]) + 1] in (b"", b" ")
+                agree = got[0] >= begin[0] + end[0] and led and got[1].endswith(end[1])
+                if not agree and wide < max(len(left[k][0]), len(left[k][1])):
+                    again[k] = left[k]
+                    continue
+                if not agree:
+                    raise ValueError("ids at a join agree with neither chunk; this tokenizer's pieces go beyond words")
+                self.joints[k] = self._piece(e.ids[begin[0] : got[0] - end[0]])
+            self.widened += len(again)
+            left, wide = again, wide + 1
+
     def code(self, texts: list[bytes]) -> list[Piece]:
         """The pieces of whole texts; their strings lead with a space unless empty."""
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -107,34 +146,41 @@ class ChunkCoder:
         cuts = cut_points(data, np.unique(begin[:-1][np.diff(begin) > 0])) if len(data) else np.zeros(0, np.int64)
         whole, ends = data.tobytes(), np.append(cuts[1:], len(data))
         chunks = [whole[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+        if len(self.chunks) + len(chunks) > KEEP_CHUNKS:
+            self.chunks, self.joints = {}, {}
         new = {c: split_chunk(c) for c in set(chunks) if c not in self.chunks}
-        if len(self.chunks) + len(new) > KEEP_CHUNKS:
-            self.chunks, new = {}, {c: split_chunk(c) for c in set(chunks)}
         self.encoded, self.reused = self.encoded + len(new), self.reused + len(chunks) - len(new)
         inner = {c: s[1].split() for c, s in new.items() if s is not None}
+        near = {w for c in set(chunks) if (k := self.chunks.get(c)) is not None for w in (*k.first, *k.last)}
+        self._learn(set(chain(chain.from_iterable(inner.values()), near)))
+        look = self.words.__getitem__
+        for c, s in new.items():
+            words = inner.get(c, [])
+            self.chunks[c] = None if s is None else Chunk(s[0], words[:ANCHORS], self._join(list(map(look, words))), words[-ANCHORS:], s[2])
 
         first = np.searchsorted(cuts, begin)
-        plans: list[list] = []  # for each text: chunks, and the words that its joins make
+        plans: list[list] = []  # for each text: chunks, and between them the words that their joins make, with what stands around
+        wanted: dict[tuple[bytes, bytes, bytes], tuple[list[bytes], list[bytes]]] = {}
         for a, b in zip(first[:-1], first[1:], strict=True):
-            plan, carry = [], []
-            for c in chunks[a:b]:
-                parts = new[c] if c in new else self.chunks[c]
-                if parts is None:
+            plan, carry, before = [], [], []
+            for c in [*chunks[a:b], None]:
+                kept = None if c is None else self.chunks[c]
+                if c is not None and kept is None:
                     carry.append(c)
                     continue
-                plan += [b"".join([*carry, parts[0]]), c]
-                carry = [parts[2]]
-            plan.append(b"".join(carry))
+                word = b"".join([*carry, kept.head if kept else b""])
+                if word:
+                    after = kept.first if kept else []
+                    key = (before[-1] if before else b"", word, after[0] if after else b"")
+                    if key not in self.joints:
+                        wanted[key] = (before, after)
+                    plan.append(key)
+                if kept:
+                    plan.append(kept.piece)
+                    carry, before = [kept.tail], kept.last
             plans.append(plan)
-        self._learn(set(chain(chain.from_iterable(inner.values()), (x for p in plans for x in p[::2] if x))))
-        look = self.words.__getitem__
-        for c, s in new.items():
-            self.chunks[c] = None if s is None else (s[0], self._join(list(map(look, inner[c]))), s[2])
-        out = []
-        for plan in plans:
-            pieces = [self.chunks[x][1] if i % 2 else look(x) if x else _NONE for i, x in enumerate(plan)]
-            out.append(self._join(pieces))
-        return out
+        self._mend(wanted)
+        return [self._join([self.joints[x] if isinstance(x[0], bytes) else x for x in plan]) for plan in plans]
 
 
 _coders: dict[str, ChunkCoder] = {}

@@ -18,11 +18,13 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 DEFAULT = "word_bpe_49k.json"
 #: Distinct words whose ids a process keeps.
 KEEP = 400_000
-_MARKS = b".,"
+_MARKS = ".,"
 #: What the last token of a word ends with.
 END = "</w>"
 #: Words of letters up to U+012F: in lower case they are letters of that range again, and composed already.
-LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
+LATIN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+"
+#: Words a line each: letters and marks, or anything else.
+_LINE = re.compile(f"({LATIN})([{re.escape(_MARKS)}]*)\n|([^\n]*)\n")
 
 
 def load(name: str = DEFAULT) -> Tokenizer:
@@ -87,13 +89,13 @@ class WordIds:
             self.known, self.cores = {}, {}
             new = list(words)
         parts, cores, other = [], {}, []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if self.fast is not None and (s := core.decode("utf-8", "replace")) and LATIN.fullmatch(s):
+        read = _LINE.findall(b"\n".join(new).decode("utf-8", "replace") + "\n") if self.fast is not None else [("", "", "")] * len(new)
+        for w, (s, marks_of, _) in zip(new, read, strict=True):
+            if s:
                 s = s.lower()
                 if s not in self.cores:
                     cores[s] = None
-                parts.append((w, s, w[len(core) :].decode()))
+                parts.append((w, s, marks_of))
             else:
                 other.append(w)
         marks = {m for _, _, m in parts if m and m not in self.cores}
