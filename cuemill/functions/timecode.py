@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import ColumnOrName, col
+from .text import ColumnOrName, col, let
 
 
 def _two(c: Column) -> Column:
@@ -69,23 +69,32 @@ def bytes_text(size: ColumnOrName) -> Column:
 
 def seconds_of(text: ColumnOrName) -> Column:
     """Seconds of [[h:]m:]s; null for anything else."""
-    parts = F.split(F.trim(col(text)), ":")
-    numbers = F.transform(parts, lambda p: p.try_cast("double"))
-    value = F.aggregate(numbers, F.lit(0.0), lambda a, x: a * 60 + x)
-    return F.when(F.size(parts).between(1, 3) & ~F.exists(numbers, lambda x: x.isNull()), value)
+    numbers = F.transform(F.split(F.trim(col(text)), ":"), lambda p: p.try_cast("double"))
+
+    def value(n: Column) -> Column:
+        whole = F.size(n).between(1, 3) & ~F.exists(n, lambda x: x.isNull())
+        return F.when(whole, F.aggregate(n, F.lit(0.0), lambda a, x: a * 60 + x))
+
+    return let(numbers, value)
 
 
 def clock_seconds(text: ColumnOrName) -> Column:
     """Seconds of 75, 1:15 or 01:02:03.5: whole numbers between colons, the last one with a fraction if it has any; null for anything else."""
     t = F.trim(col(text))
-    parts = F.split(t, ":")
-    whole = F.forall(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.rlike("^[0-9]+$"))
-    return F.when(whole & F.element_at(parts, -1).rlike(r"^[0-9]+([.][0-9]+)?$"), seconds_of(t))
+
+    def strict(parts: Column) -> Column:
+        whole = F.forall(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.rlike("^[0-9]+$"))
+        return whole & F.element_at(parts, -1).rlike(r"^[0-9]+([.][0-9]+)?$")
+
+    return F.when(let(F.split(t, ":"), strict), seconds_of(t))
 
 
 def seconds_pair(text: ColumnOrName) -> Column:
     """``start_s, end_s`` of ``a-b`` (hyphen, dashes or -->), brackets around allowed; null for anything else."""
     bare = F.translate(F.translate(F.replace(F.replace(F.trim(col(text)), F.lit("-->"), F.lit("-")), F.lit("\u2014"), F.lit("-")), "\u2013", "-"), "[]", "  ")
-    ends = F.split(bare, "-")
-    a, b = clock_seconds(F.get(ends, F.lit(0))), clock_seconds(F.get(ends, F.lit(1)))
-    return F.when((F.size(ends) == 2) & a.isNotNull() & b.isNotNull(), F.struct(a.alias("start_s"), b.alias("end_s")))
+
+    def pair(ends: Column) -> Column:
+        two = F.when(F.size(ends) == 2, F.struct(clock_seconds(F.get(ends, F.lit(0))).alias("start_s"), clock_seconds(F.get(ends, F.lit(1))).alias("end_s")))
+        return let(two, lambda p: F.when(p["start_s"].isNotNull() & p["end_s"].isNotNull(), p))
+
+    return let(F.split(bare, "-"), pair)

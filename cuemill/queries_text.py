@@ -29,10 +29,10 @@ def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024) ELSE floor(b)::BIGINT || ' B' END AS size FROM (SELECT o_orderkey, (o_orderkey * 7919 % 100003)::DOUBLE * (o_orderkey % 3 * 9973 + 1) / 7 AS b FROM orders)""")
+SELECT o_orderkey, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024) ELSE floor(b)::BIGINT || ' B' END AS size FROM (SELECT o_orderkey, (o_orderkey * 7919 % 100003)::DOUBLE * (o_orderkey % 3 * 9973 + 1) / 7.3::DOUBLE AS b FROM orders)""")
 def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.bytes_text((k * 7919 % 100003).cast("double") * (k % 3 * 9973 + 1) / 7).alias("size"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.bytes_text((k * 7919 % 100003).cast("double") * (k % 3 * 9973 + 1) / 7.3).alias("size"))
 
 
 @query("""
