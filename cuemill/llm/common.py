@@ -15,12 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number: texts may be long, and a batch is held several times over.
+BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, "10000"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, which their Python need not have installed; once for each application."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="cuemill-")) / "cuemill.zip"

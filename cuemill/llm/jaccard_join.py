@@ -24,12 +24,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, sqrt
+from math import exp, log, sqrt
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common as C
 from .components import connected_components
@@ -330,48 +330,83 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
 
 
+def _size_band(n: Column) -> Column:
+    """Sets that link lie in one band or in two that follow each other: a band ends at 4/3 of its begin."""
+    return F.floor(F.log(n.cast("double")) / log(4 / 3) + 1e-9)
+
+
+def _folds(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length in bytes: places of the sketches of that length and of those twice as long, all brought to that length."""
+    size = np.array([len(s) for s in sketches])
+    out = {}
+    for length in np.unique(np.concatenate([size, size[size > 8] // 2])).tolist():
+        at = np.flatnonzero((size == length) | (size == 2 * length))
+        out[length] = at, np.array([np.frombuffer(fold(sketches[i], length), np.uint64) for i in at])
+    return out
+
+
 def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``a, b, shared`` of one large group but different components that sketches don't rule out.
 
     With ``nearest``, each set is looked at in its two largest groups alone, and
     gives the one pair of least distance: enough to join most components before
-    all that is left is compared. Groups are compared block by block, each pair
-    of blocks in a task of its own; a block may have no members left to look at.
+    all that is left is compared. A group is parted by bands of sizes, each
+    with the band below as guests, and compared block by block, each pair of
+    blocks in a task of its own; a block may have no members left to look at.
+    Sketches are brought to the shorter one's length pair by pair.
     """
     m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y")
     m = m.join(open_keys.select("key", "size"), "key")
     if nearest:
         m = m.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "key"))).filter("_r <= 2").drop("_r")
-    m = m.join(nodes.select("node", "n", "sketch"), "node")
+    m = m.drop("size").join(nodes.select("node", "n", "sketch"), "node").withColumn("_own", _size_band(F.col("n")))
+    m = m.withColumn("band", F.explode(F.array(F.col("_own"), F.col("_own") + 1))).withColumn("guest", F.col("band") > F.col("_own"))
+    sizes = m.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bool_and("guest").alias("idle"))
+    m = m.join(sizes.filter("x <> y AND NOT idle").select("key", "band", "size"), ["key", "band"])
     m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def task(x: pd.DataFrame) -> pd.DataFrame:
-        node, component, n = (x[c].to_numpy(np.int64) for c in ("node", "component", "n"))
+        node, component, n, guest = (x[c].to_numpy() for c in ("node", "component", "n", "guest"))
         rows, far = (np.flatnonzero(x["block"] == x[c].iat[0]) for c in ("i", "j"))
         if not len(rows) or not len(far):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        shortest = min(map(len, x["sketch"]))
-        folded = np.array([np.frombuffer(fold(s, shortest), np.uint64) for s in x["sketch"]])
+        sketches = list(x["sketch"])
+        folded, bytes_of = _folds([sketches[i] for i in far]), np.array([len(sketches[i]) for i in far])
         out, best = [np.zeros((0, 2), np.int64)], (np.full(len(far), np.inf), np.zeros(len(far), np.int64))
-        for a in rows:
-            share = np.bitwise_count(folded[far] ^ folded[a]).sum(axis=1, dtype=np.int64) / (n[far] + n[a])
-            ok = (component[far] != component[a]) & (4 * np.minimum(n[far], n[a]) >= 3 * np.maximum(n[far], n[a])) & (7 * share <= 1 + 1e-9)
-            if nearest:
-                share[~ok] = np.inf
-                better = share < best[0]
-                best[0][better], best[1][better] = share[better], node[a]
-                ok = ok & (np.arange(len(far)) == share.argmin())
-            out.append(np.column_stack([node[far[ok]], np.full(int(ok.sum()), node[a])]))
+        for a in rows.tolist():
+            own, found = sketches[a], []
+            for length in (len(own) // 2, len(own)):
+                if length not in folded:
+                    continue
+                at, grid = folded[length]
+                if length < len(own):  # of the shorter ones alone; the others are compared in full
+                    at, grid = at[bytes_of[at] == length], grid[bytes_of[at] == length]
+                there = far[at]
+                ok = (component[there] != component[a]) & ~(guest[there] & guest[a]) & (4 * np.minimum(n[there], n[a]) >= 3 * np.maximum(n[there], n[a]))
+                at, grid = at[ok], grid[ok]
+                if not len(at):
+                    continue
+                share = np.bitwise_count(grid ^ np.frombuffer(fold(own, length), np.uint64)).sum(axis=1, dtype=np.int64) / (n[far[at]] + n[a])
+                near = 7 * share <= 1 + 1e-9
+                found.append((at[near], share[near]))
+            if not found:
+                continue
+            at, share = (np.concatenate(v) for v in zip(*found, strict=True))
+            if nearest and len(at):
+                better = share < best[0][at]
+                best[0][at[better]], best[1][at[better]] = share[better], node[a]
+                at = at[share.argmin()][None]
+            out.append(np.column_stack([node[far[at]], np.full(len(at), node[a])]))
         if nearest:
             found = np.isfinite(best[0])
             out.append(np.column_stack([node[far[found]], best[1][found]]))
         every = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
 
-    found = m.groupBy("key", "i", "j").applyInPandas(task, "a long, b long").distinct()
+    found = m.groupBy("key", "band", "i", "j").applyInPandas(task, "a long, b long").distinct()
     return _by_sketch(found.withColumn("shared", F.lit(1).cast("long")), nodes)
 
 
