@@ -353,7 +353,9 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
     all that is left is compared. A group is parted by bands of sizes, each
     with the band below as guests, and compared block by block, each pair of
     blocks in a task of its own; a block may have no members left to look at.
-    Sketches are brought to the shorter one's length pair by pair.
+    Sketches are brought to the shorter one's length pair by pair. Where all is
+    compared, each member carries its keys, and a pair that meets under
+    several is given out under the first of them alone.
     """
     m = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y")
@@ -364,6 +366,10 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
     m = m.withColumn("band", F.explode(F.array(F.col("_own"), F.col("_own") + 1))).withColumn("guest", F.col("band") > F.col("_own"))
     sizes = m.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.bool_and("guest").alias("idle"))
     m = m.join(sizes.filter("x <> y AND NOT idle").select("key", "band", "size"), ["key", "band"])
+    if nearest:
+        m = m.withColumn("keys", F.lit(None).cast("array<long>"))
+    else:
+        m = m.join(m.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     m = m.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -373,7 +379,13 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
         rows, far = (np.flatnonzero(x["block"] == x[c].iat[0]) for c in ("i", "j"))
         if not len(rows) or not len(far):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        sketches = list(x["sketch"])
+        sketches, key, held = list(x["sketch"]), int(x["key"].iat[0]), {}
+
+        def keys_of(i: int) -> frozenset[int]:
+            if i not in held:
+                held[i] = frozenset(x["keys"].iat[i].tolist())
+            return held[i]
+
         folded, bytes_of = _folds([sketches[i] for i in far]), np.array([len(sketches[i]) for i in far])
         out, best = [np.zeros((0, 2), np.int64)], (np.full(len(far), np.inf), np.zeros(len(far), np.int64))
         for a in rows.tolist():
@@ -399,6 +411,9 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
                 better = share < best[0][at]
                 best[0][at[better]], best[1][at[better]] = share[better], node[a]
                 at = at[share.argmin()][None]
+            elif len(at):
+                mine = keys_of(a)
+                at = at[np.array([min(mine & keys_of(far[i])) == key for i in at], bool)]
             out.append(np.column_stack([node[far[at]], np.full(len(at), node[a])]))
         if nearest:
             found = np.isfinite(best[0])

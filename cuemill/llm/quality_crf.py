@@ -225,9 +225,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     They are the ones with the smallest hash of their id; so few ids are
     broadcast to ``docs`` (``doc_id, text``), whose texts stay where they are.
+    Rows that share a labelled id are ``max_rows`` at most, too.
     """
     some = labels.filter("quality IN (0, 1)").select("doc_id", "quality").orderBy(C.doc_hash("crf", "doc_id"), "doc_id", "quality").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = found.orderBy(C.doc_hash("crf", "doc_id"), "doc_id", F.xxhash64("text"), "quality").limit(max_rows).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
     return fit_texts([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64))
 
