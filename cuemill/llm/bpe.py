@@ -144,7 +144,7 @@ class ChunkCoder:
         data = np.frombuffer(b"".join(texts), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         cuts = cut_points(data, np.unique(begin[:-1][np.diff(begin) > 0])) if len(data) else np.zeros(0, np.int64)
-        whole, ends = data.tobytes(), np.append(cuts[1:], len(data))
+        whole, ends = data.tobytes(), np.append(cuts[1:], len(data))[: len(cuts)]
         chunks = [whole[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
         if len(self.chunks) + len(chunks) > KEEP_CHUNKS:
             self.chunks, self.joints = {}, {}
