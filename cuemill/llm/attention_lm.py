@@ -145,32 +145,32 @@ def step(w: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple
     aim = np.where(void, 0, aim)
     upper, lower = aim // branch, aim % branch
     order, cut = _ordered(upper, branch)
-    here, z_by, lower_by, void_by = np.arange(len(aim)), flat.take(order, axis=0), lower[order], void[order]
+    here, z_by = np.arange(len(aim)), flat.take(order, axis=0)
 
-    def slack(p: np.ndarray, which: np.ndarray, none: np.ndarray) -> tuple[float, np.ndarray]:
-        at = here[: len(p)]
-        lost = -np.log(p[at, which])
+    def slack(p: np.ndarray, which: np.ndarray, none: np.ndarray) -> float:
+        """From probabilities to the gradient of logits, in place; gives the loss."""
+        lost = -np.log(p[here, which])
         lost[none] = 0
-        p[at, which] -= 1
+        p[here, which] -= 1
         p *= share
         p[none] = 0
-        return float(lost.sum(dtype=np.float64)), p
+        return float(lost.sum(dtype=np.float64))
 
     p = flat @ w["o1"]
     p += w["b1"]
-    loss, p = slack(_softmax(p, 60), upper, void)
-    out = {"o1": flat.T @ p, "b1": p.sum(axis=0), "o2": np.zeros_like(w["o2"]), "b2": np.zeros_like(w["b2"])}
+    loss = slack(_softmax(p, 60), upper, void)
+    ones = np.ones(len(aim), x.dtype)
+    out = {"o1": flat.T @ p, "b1": ones @ p, "o2": np.zeros_like(w["o2"]), "b2": np.zeros_like(w["b2"])}
     gz, gz_by = p @ w["o1"].T, np.empty_like(z_by)
-    for g in range(branch):
-        a, b = cut[g], cut[g + 1]
-        if a == b:
-            continue
-        p = z_by[a:b] @ w["o2"][g]
-        p += w["b2"][g]
-        more, p = slack(_softmax(p, 60), lower_by[a:b], void_by[a:b])
-        loss += more
-        out["o2"][g], out["b2"][g] = z_by[a:b].T @ p, p.sum(axis=0)
-        np.matmul(p, w["o2"][g].T, out=gz_by[a:b])
+    p = w["b2"].take(upper[order], axis=0)
+    some = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
+    for g, own in some:
+        p[own] += z_by[own] @ w["o2"][g]
+    loss += slack(_softmax(p, 60), lower[order], void[order])
+    for g, own in some:
+        np.matmul(z_by[own].T, p[own], out=out["o2"][g])
+        np.matmul(p[own], w["o2"][g].T, out=gz_by[own])
+        np.matmul(ones[own], p[own], out=out["b2"][g])
     back_to = np.empty_like(order)
     back_to[order] = here
     gz += gz_by.take(back_to, axis=0)
@@ -333,12 +333,12 @@ class Scorer:
             order, cut = _ordered(upper, branch)
             here = np.arange(len(upper))
             got = _log_share(z @ w["o1"] + w["b1"], upper, here)
-            z_by, lower_by, got_by = z.take(order, axis=0), lower[order], np.empty(len(order))
+            z_by, p = z.take(order, axis=0), w["b2"].take(upper[order], axis=0)
             for g in range(branch):
                 i, j = cut[g], cut[g + 1]
                 if i < j:
-                    got_by[i:j] = _log_share(z_by[i:j] @ w["o2"][g] + w["b2"][g], lower_by[i:j], here[: j - i])
-            got[order] += got_by
+                    p[i:j] += z_by[i:j] @ w["o2"][g]
+            got[order] += _log_share(p, lower[order], here)
             got += self.model.within.take(follow)
             got[~live.ravel()] = 0
             out += np.bincount(np.repeat(of, new), got, minlength=len(out))

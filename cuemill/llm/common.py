@@ -6,33 +6,24 @@ import ctypes
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import ship
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of an Arrow batch, where the session has Spark's own number: texts may be long, and a batch is held several times over.
 BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, "10000"
-_shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, which their Python need not have installed; once for each application."""
-    context = spark.sparkContext
+    """Give the executors this package, and Arrow batches that long texts fit."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if context.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="cuemill-")) / "cuemill.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
+    ship.ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
