@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common as C, quality_rules
+from . import common as C, quality_rules, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,27 @@ def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(C.table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_totals(coded, "label", "error", "label_error")
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    held_out = F.coalesce(C.crc_mod("doc_id", 5) == 0, F.lit(False))
+    scored = score(docs, fit(docs, labels.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_crf": op2_quality_crf,
@@ -94,6 +115,9 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_iso_media": op9_iso_media,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_toxicity": op12_toxicity,
+    "op13_alignment": op13_alignment,
 }
 
 #: All pairs that share a shingle, and all that a document reaches over links: for small tables.
@@ -110,4 +134,5 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.b
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op4_jaccard_join": JACCARD_SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
