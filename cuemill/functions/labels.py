@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 import re
 from collections.abc import Iterator
@@ -107,18 +106,73 @@ def history_row(name: ColumnOrName, kind: ColumnOrName, model: ColumnOrName, ite
     )
 
 
+def _meet(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
+    """Where a shortest edit script's middle run of equal words begins and ends, in both lists.
+
+    Furthest-reaching paths are followed from both corners of the edit grid at
+    once until two of them meet, so only the last ends of paths are kept.
+    """
+    n, m = len(a), len(b)
+    skew, reach, back = n - m, {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            x = reach.get(k + 1, -1) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
+            x0, y0 = x, x - k
+            while 0 <= x < n and 0 <= x - k < m and a[x] == b[x - k]:
+                x += 1
+            reach[k] = x
+            if skew % 2 and abs(skew - k) < d and x + back.get(skew - k, -1) >= n:
+                return x0, y0, x, x - k
+        for k in range(-d, d + 1, 2):
+            x = back.get(k + 1, -1) if k == -d or (k != d and back.get(k - 1, -1) < back.get(k + 1, -1)) else back[k - 1] + 1
+            x0, y0 = x, x - k
+            while 0 <= x < n and 0 <= x - k < m and a[n - 1 - x] == b[m - 1 - x + k]:
+                x += 1
+            back[k] = x
+            if skew % 2 == 0 and abs(skew - k) <= d and x + reach.get(skew - k, -1) >= n:
+                return n - x, m - (x - k), n - x0, m - y0
+    raise AssertionError("paths from both corners always meet")
+
+
+def edits(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
+    """Stretches of a shortest edit script as (kept, gone, come): in linear space, by halving at the middle."""
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a[head:]), reversed(b[head:]), strict=False)) if x != y), min(len(a), len(b)) - head)
+    kept, last = a[:head], a[len(a) - tail :]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        inner = [("", "".join(a), "".join(b))] if a or b else []
+    else:
+        x, y, u, v = _meet(a, b)
+        inner = edits(a[:x], b[:y]) + [("".join(a[x:u]), "", "")] * (u > x) + edits(a[u:], b[v:])
+    return [("".join(kept), "", "")] * bool(kept) + inner + [("".join(last), "", "")] * bool(last)
+
+
+def _words_and_marks(text: str) -> list[str]:
+    """Runs of blanks, runs of letters and digits, and single marks."""
+    kind = lambda c: 0 if c.isspace() else 1 if c.isalnum() or c == "_" else 2
+    out: list[str] = []
+    for i, c in enumerate(text):
+        if i and kind(c) < 2 and kind(c) == kind(text[i - 1]):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
 def _difference(old: str, new: str) -> str:
-    words = re.compile(r"\s+|\w+|[^\w\s]")
-    a, b = words.findall(old), words.findall(new)
-    out = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes():
-        gone, come = html.escape("".join(a[i:j])), html.escape("".join(b[k:m]))
-        out += [gone] if kind == "equal" else [f"<del>{gone}</del>" if gone else "", f"<ins>{come}</ins>" if come else ""]
-    return "".join(out)
+    marked, gone, come = [], "", ""
+    for same, minus, plus in [*edits(_words_and_marks(old), _words_and_marks(new)), ("", "", "")]:
+        if (same or not (minus or plus)) and (gone or come):
+            marked += [f"<{tag}>{html.escape(t)}</{tag}>" for tag, t in (("del", gone), ("ins", come)) if t]
+            gone = come = ""
+        gone, come = gone + minus, come + plus
+        marked.append(html.escape(same))
+    return "".join(marked)
 
 
 def marked_difference(old: ColumnOrName, new: ColumnOrName) -> Column:
-    """Word by word, what of ``old`` goes and what of ``new`` comes, as escaped text in del and ins marks. In Arrow batches: longest common blocks are found by steps."""
+    """Word by word, what of ``old`` goes and what of ``new`` comes, as escaped text in del and ins marks, by a shortest edit script. In Arrow batches: its paths are followed step by step."""
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, timecode as T
 
@@ -183,37 +185,63 @@ def ends_clause(word: str) -> bool:
     return bool(word.strip()) and _ending(word, ",;:")
 
 
-def joined_words(words: list[str]) -> str:
-    """Words side by side if they bring their blanks along, else with one between; arrows shortened."""
-    raw = "".join(words).strip()
-    if " " not in raw and len(words) > 1:
-        raw = " ".join(w.strip() for w in words if w.strip())
-    return " ".join(raw.split()).replace("-->", "->")
+def spoken(words: list[str]) -> str:
+    """What words say together. Where none brings a blank along, one stands between them; arrows are shortened."""
+    glued = "".join(words)
+    said = glued.split() if " " in glued.strip() or len(words) < 2 else [x for w in words for x in w.split()]
+    return " ".join(said).replace("-->", "->")
+
+
+def cue_spans(texts: list[str], starts: list[float], ends: list[float], longest_chars: int, longest_words: int, longest_s: float, least_words: int) -> Iterator[tuple[int, int]]:
+    """First and last word of each cue.
+
+    A cue's end follows from its first word and from how far words were read
+    when the cue before was cut: it is the next word at which a sentence ends
+    or the cue is full, and of a full cue the last soft break, if that leaves
+    ``least_words``.
+    """
+    soft = [k for k, t in enumerate(texts) if ends_clause(t)]
+    first = read = 0
+    while first < len(texts):
+        full = lambda k: k - first + 1 >= longest_words or ends[k] - starts[first] >= longest_s or len(spoken(texts[first : k + 1])) >= longest_chars  # noqa: B023, E731
+        last = through = next((k for k in range(read, len(texts)) if ends_sentence(texts[k]) or full(k)), len(texts) - 1)
+        if read <= through and not ends_sentence(texts[through]) and full(through):
+            at = bisect_right(soft, through) - 1
+            last = soft[at] if at >= 0 and soft[at] - first + 1 >= max(1, least_words) else through
+        yield first, last
+        first, read = last + 1, through + 1
 
 
 def _cues(words: list[dict], longest_chars: int, longest_words: int, longest_s: float, least_words: int) -> list[dict]:
-    out, held, soft = [], [], 0
-
-    def emit(n: int) -> None:
-        nonlocal held, soft
-        part, held = held[:n], held[n:]
-        text = joined_words([w["text"] for w in part])
-        if text:
-            out.append({"start_s": part[0]["start_s"], "end_s": max(part[0]["start_s"], part[-1]["end_s"]), "text": text})
-        soft = max((i for i, w in enumerate(held, 1) if ends_sentence(w["text"]) or ends_clause(w["text"])), default=0)
-
-    for w in words:
-        if not w["text"].strip():
-            continue
-        held.append(w)
-        if ends_sentence(w["text"]):
-            emit(len(held))
-            continue
-        if ends_clause(w["text"]):
-            soft = len(held)
-        size = len(joined_words([x["text"] for x in held]))
-        if size >= longest_chars or len(held) >= longest_words or held[-1]["end_s"] - held[0]["start_s"] >= longest_s:
-            emit(soft if soft >= least_words else len(held))
-    if held:
-        emit(len(held))
-    return out
+    heard = [w for w in words if w["text"].strip()]
+    texts, starts, ends = ([w[k] for w in heard] for k in ("text", "start_s", "end_s"))
+    spans = cue_spans(texts, starts, ends, longest_chars, longest_words, longest_s, least_words)
+    return [{"start_s": starts[a], "end_s": max(starts[a], ends[b]), "text": spoken(texts[a : b + 1])} for a, b in spans]
+
+
+def sentence_end(word: Column) -> Column:
+    """``ends_sentence`` of a column."""
+    bare = X.strip(word)
+    titled = bare.rlike(rf"(?i)^({'|'.join(ABBREVIATIONS)})\.$")
+    return bare.rlike(rf"[.!?][{re.escape(CLOSERS)}]*$") & ~titled & ~bare.rlike(r"^([A-Za-z]\.){2,}$")
+
+
+def resegment_words(words: DataFrame, key: list[str], order: list[str], longest_chars: int = 92, longest_words: int = 24, longest_s: float = 8.0, least_words: int = 4) -> DataFrame:
+    """``key, start_s, end_s, text``: ``resegment`` on rows of one word each (``start_s, end_s, text``).
+
+    A sentence's end closes its cue whatever came before, so the words between
+    two such ends are cut on their own: a group is a sentence, not a recording.
+    """
+    heard = words.filter(X.strip(F.col("text")) != "")
+    w = Window.partitionBy(*key).orderBy(*order)
+    before = F.coalesce(F.lag(sentence_end(F.col("text")).cast("int")).over(w), F.lit(0))
+    parts = heard.withColumn("_before", before).withColumn("_part", F.sum("_before").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        cues = _cues(part[["start_s", "end_s", "text"]].to_dict("records"), longest_chars, longest_words, longest_s, least_words)
+        return pd.DataFrame({**{k: [part[k].iat[0]] * len(cues) for k in key}, **{c: [x[c] for x in cues] for c in ("start_s", "end_s", "text")}})
+
+    kinds = ", ".join(f"`{k}` {words.schema[k].dataType.simpleString()}" for k in key)
+    chosen = list(dict.fromkeys([*key, *order, "start_s", "end_s", "text", "_part"]))
+    return parts.select(*chosen).groupBy(*key, "_part").applyInPandas(lambda part: cut(part), f"{kinds}, start_s double, end_s double, text string")
