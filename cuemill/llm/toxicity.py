@@ -61,26 +61,29 @@ def cells(key: np.ndarray) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
 
 
-@dataclass
 class Table:
-    """Values of keys, by cell."""
+    """Values of keys, given in ascending order of how often they were seen; by cell, of which the last stays.
+
+    Keys and values alone are sent; each process lays out its cells when it first looks.
+    """
 
-    key: np.ndarray
-    value: np.ndarray
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.key, self.value = key, value.astype(np.float32)
+        self.laid: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"laid": None}
 
     def at(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether a key is kept, its value or 0)."""
+        if self.laid is None:
+            keys, values, c = np.full(1 << CELLS_LOG2, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << CELLS_LOG2, np.float32), cells(self.key)
+            keys[c], values[c] = self.key, self.value
+            self.laid = keys, values
+        keys, values = self.laid
         c = cells(key)
-        hit = self.key[c] == key
-        return hit, np.where(hit, self.value[c], np.float32(0))
-
-
-def _table(key: np.ndarray, value: np.ndarray) -> Table:
-    """A table of keys in ascending order of how often they were seen: the last of a cell stays."""
-    t = Table(np.full(1 << CELLS_LOG2, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << CELLS_LOG2, np.float32))
-    c = cells(key)
-    t.key[c], t.value[c] = key, value
-    return t
+        hit = keys[c] == key
+        return hit, np.where(hit, values[c], np.float32(0))
 
 
 @dataclass
@@ -211,8 +214,8 @@ def fit_counts(counts: DataFrame, discount: float = DISCOUNT) -> Model:
             # a class that doesn't know the context passes all of it on
             p.append(np.where(total > 0, (np.maximum(grams[f"n{c}"] - discount, 0) + discount * types * below) / np.maximum(total, 1), below))
         share = [np.where(contexts[f"n{c}"] > 0, discount * contexts[f"t{c}"] / np.maximum(contexts[f"n{c}"], 1), 1.0) for c in (0, 1)]
-        m.grams.append(_table(grams["key"], np.log(p[1] / p[0])))
-        m.contexts.append(_table(contexts["key"], np.log(share[1] / share[0])))
+        m.grams.append(Table(grams["key"], np.log(p[1] / p[0])))
+        m.contexts.append(Table(contexts["key"], np.log(share[1] / share[0])))
         order = np.argsort(grams["key"])
         before = (grams["key"][order], [q[order] for q in p], keys, [s[sort] for s in share], before, k)
     return m
