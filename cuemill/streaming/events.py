@@ -56,6 +56,108 @@ def throttled(df: DataFrame, key: list[str], ts: str, seconds: float) -> DataFra
     return parts.select(*key, F.explode(kept("_us")).alias("us"))
 
 
+def _shown(times: list[int], values: list, step: int, last: int | None = None, held: object = None, until: int | None = None) -> tuple[list[tuple[int, object, bool]], int | None, object]:
+    """What is shown of events in order, as (time, value, held), the time last shown and what is held then.
+
+    Nothing is shown within ``step`` of what was shown before: the newest of
+    these events is held, and shown when the step is over, unless an event of
+    that very moment is newer. What is due up to ``until`` (always without
+    one) is shown at the end. ``held`` is a one-item tuple, or None for nothing.
+    """
+    out: list[tuple[int, object, bool]] = []
+    for t, v in zip(times, values, strict=True):
+        while held is not None and last + step < t:
+            out.append((last + step, held[0], True))
+            last, held = last + step, None
+        if last is None or t - last >= step:
+            out.append((t, v, False))
+            last, held = t, None
+        else:
+            held = (v,)
+    if held is not None and (until is None or last + step <= until):
+        out.append((last + step, held[0], True))
+        last, held = last + step, None
+    return out, last, held
+
+
+def throttled_last(df: DataFrame, key: list[str], ts: str, value: str, seconds: float) -> DataFrame:
+    """``key, us, value, held``: events at least ``seconds`` apart; of those between, the newest is held and shown when the time is over.
+
+    After a pause of twice that time nothing of the events before counts any
+    more, so only what lies between such pauses is gone through event by event.
+    Events of one time are in the order of their values; rows without a time are left out.
+    """
+    step, order = int(seconds * 1_000_000), Window.partitionBy(*key).orderBy("us", value)
+    rows = df.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(value)).filter("us IS NOT NULL")
+    rows = rows.withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) < 2 * step, 0).otherwise(1))
+    rows = rows.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["us", value], na_position="first")
+        out, _, _ = _shown(part["us"].tolist(), part[value].tolist(), step)
+        found = {"us": [t for t, _, _ in out], value: [v for _, v, _ in out], "held": [h for _, _, h in out]}
+        return pd.DataFrame({**{k: [part[k].iat[0]] * len(out) for k in key}, **found})
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    return rows.groupBy(*key, "_part").applyInPandas(one, f"{kinds}, us long, `{value}` {df.schema[value].dataType.simpleString()}, held boolean")
+
+
+class HeldThrottle(StatefulProcessor):
+    """``throttled_last`` on a stream whose events may come in any order within the watermark's delay.
+
+    Events wait in a list until the watermark has passed them, as an older one
+    may still come; they are then gone through in order. A timer stands at the
+    oldest that waits, and one at the time at which what is held is due, so
+    that it is shown even if its key is never heard of again.
+    """
+
+    def __init__(self, key: list[str], seconds: float, value: str = "value"):
+        self.key, self.value, self.step = key, value, int(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, value string")
+        self.state = handle.getValueState("state", "last long, held boolean, value string")
+
+    def _pass(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
+        last, has, value = self.state.get() if self.state.exists() else (None, False, None)
+        waiting = sorted(((int(t), v) for t, v in self.waiting.get()), key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+        final = watermark_ms * 1000
+        now, later = [x for x in waiting if x[0] <= final], [x for x in waiting if x[0] > final]
+        out, last, held = _shown([t for t, _ in now], [v for _, v in now], self.step, last, (value,) if has else None, final)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if held is None and not later and last is not None and final - last >= self.step:
+            self.state.clear()  # what comes now is shown in any case
+        elif last is not None:
+            self.state.update((last, held is not None, held[0] if held else None))
+            self.handle.registerTimer((last + self.step) // 1000 + 1)
+        rows = {k: pd.Series([x] * len(out), dtype=object if isinstance(x, str) else None) for k, x in zip(self.key, key, strict=True)}
+        return pd.DataFrame({**rows, "us": [t for t, _, _ in out], self.value: pd.Series([v for _, v, _ in out], dtype=object), "held": pd.Series([h for _, _, h in out], dtype=bool)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            us = batch["us"].astype("int64").tolist()
+            self.waiting.appendList(list(zip(us, [None if pd.isna(v) else v for v in batch[self.value]], strict=True)))
+        yield self._pass(key, max(0, timer_values.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._pass(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(stream: DataFrame, key: list[str], ts: str, value: str, seconds: float, delay: str) -> DataFrame:
+    """``throttled_last`` of a stream with a timestamp column and text values; events later than ``delay`` behind the newest are lost."""
+    kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in key)
+    rows = stream.withWatermark(ts, delay).select(*key, ts, F.unix_micros(F.col(ts)).alias("us"), value)
+    return rows.groupBy(*key).transformWithStateInPandas(HeldThrottle(key, seconds, value), outputStructType=f"{kinds}, us long, `{value}` string, held boolean", outputMode="append", timeMode="EventTime")
+
+
 class RepeatGate(StatefulProcessor):
     """Lets a log line through unless an equal one of its key came within ``seconds``; a key not heard of for ``forget_s`` is forgotten."""
 
