@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..functions.text import ColumnOrName, col
+from . import scans
 from .timeline import overlap_join
 
 
@@ -136,12 +137,9 @@ def token_speed(df: DataFrame, key: list[str], ts: str, tokens: str) -> DataFram
     return df.withColumn("tok_per_s", F.greatest(F.lit(0), F.col(tokens)) / span)
 
 
-def covered_length(islands: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """Rows of ``points`` (``key, at``, and where they ``stop`` at the latest) with ``covered``: how far the island (``start_s, end_s``) that holds ``at`` goes on from there."""
-    width = 86400.0
-    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    held = islands.select(key, "start_s", "end_s", cell("start_s", "end_s").alias("_cell"))
-    met = points.withColumn("_cell", F.floor(F.col("at") / width)).join(held, [key, "_cell"], "left")
-    inside = (F.col("start_s") <= F.col("at")) & (F.col("at") < F.col("end_s"))
-    reach = F.coalesce(F.max(F.when(inside, F.least("end_s", "stop") - F.col("at"))), F.lit(0.0))
-    return met.groupBy(*points.columns).agg(F.greatest(F.lit(0.0), reach).alias("covered"))
+def covered_length(islands: DataFrame, points: DataFrame, key: str, large: int | None = None) -> DataFrame:
+    """Rows of ``points`` (``key, at``, and where they ``stop`` at the latest) with ``covered``: how far the island (``start_s, end_s``) that holds ``at`` goes on from there; 0 in none."""
+    spans = islands.select(key, F.col("start_s").alias("_start"), F.col("end_s").alias("_end"))
+    met = scans.asof_join(points, spans, [key], "at", "_start", large)
+    inside = F.when(F.col("at") < F.col("_end"), F.least("_end", "stop") - F.col("at"))
+    return met.withColumn("covered", F.greatest(F.lit(0.0), F.coalesce(inside, F.lit(0.0)))).drop("_start", "_end")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, timecode as T
+from .scans import repeated
 
 
 def valid(cues: Column) -> Column:
@@ -240,8 +241,9 @@ def resegment_words(words: DataFrame, key: list[str], order: list[str], longest_
     def cut(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
         cues = _cues(part[["start_s", "end_s", "text"]].to_dict("records"), longest_chars, longest_words, longest_s, least_words)
-        return pd.DataFrame({**{k: [part[k].iat[0]] * len(cues) for k in key}, **{c: [x[c] for x in cues] for c in ("start_s", "end_s", "text")}})
+        found = {c: pd.Series([x[c] for x in cues], dtype=object) for c in ("start_s", "end_s", "text")}
+        return pd.DataFrame({**{k: repeated(part[k].iat[0], len(cues)) for k in key}, **found})
 
     kinds = ", ".join(f"`{k}` {words.schema[k].dataType.simpleString()}" for k in key)
     chosen = list(dict.fromkeys([*key, *order, "start_s", "end_s", "text", "_part"]))
-    return parts.select(*chosen).groupBy(*key, "_part").applyInPandas(lambda part: cut(part), f"{kinds}, start_s double, end_s double, text string")
+    return parts.select(*chosen).groupBy(*key, "_part").applyInPandas(cut, f"{kinds}, start_s double, end_s double, text string")

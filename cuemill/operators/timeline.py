@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import ColumnOrName, col, collapse, let
+from . import scans
 
 EPS = 1e-9
 
@@ -83,13 +86,9 @@ def text_between(windows_: DataFrame, words: DataFrame, key: str, window: list[s
     return pairs.groupBy(key, *window).agg(collapse(F.array_join(F.transform(ordered, lambda x: x["word"]), " ")).alias("text"))
 
 
-def islands(df: DataFrame, key: list[str], start: str = "start_s", end: str = "end_s") -> DataFrame:
-    """Ranges that overlapping or touching ranges of a key make together, with how many went in."""
-    before = Window.partitionBy(*key).orderBy(start, end)
-    reach = F.max(end).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.filter(F.col(end) > F.col(start)).withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    marked = marked.withColumn("_island", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+def islands(df: DataFrame, key: list[str], start: str = "start_s", end: str = "end_s", large: int | None = None) -> DataFrame:
+    """Ranges that overlapping or touching ranges of a key make together, with how many went in; a large key is cut (see ``scans``)."""
+    return scans.islands(df, key, start, end, large)
 
 
 def gaps(df: DataFrame, key: list[str], low: Column, high: Column, start: str = "start_s", end: str = "end_s") -> DataFrame:
@@ -162,34 +161,105 @@ def merge_short(df: DataFrame, key: str, least: float) -> DataFrame:
     return clean.groupBy(key).applyInPandas(one, f"{key} {kind}, start_s double, end_s double")
 
 
-def speech_ranges(df: DataFrame, key: str, step_s: float, on: float = 0.5, off: float = 0.35, least_speech_s: float = 0.25, least_silence_s: float = 0.1, pad_s: float = 0.03) -> DataFrame:
-    """``key, start_s, end_s`` of speech in frames of ``key, frame, p``: it begins at ``on`` and ends once ``p`` has stayed below ``off`` for the least silence."""
+@dataclass
+class Hearing:
+    """Where speech begins and ends, frame by frame. ``begun`` is None in silence, which is also how a recording starts.
+
+    While speech lasts, ``quiet`` is since when it is below ``off`` without a
+    frame at ``on``, ``cut`` the last silence at which a speech that grows too
+    long may be parted, and ``resume`` where speech went on after it.
+    """
+
+    on: float
+    off: float
+    least_speech: float
+    least_silence: float
+    longest: float
+    edge: float
+    begun: float | None = None
+    quiet: float | None = None
+    cut: float | None = None
+    resume: float | None = None
+    found: list[tuple[float, float]] = field(default_factory=list)
+
+    def close(self, end: float, begun: float | None = None) -> None:
+        self.found.append((self.begun, end))
+        self.begun, self.quiet, self.cut, self.resume = begun, None, None, None
+
+    def hear(self, t: float, p: float) -> None:
+        if p >= self.on:
+            if self.quiet is not None and self.cut is not None and (self.resume is None or self.resume < self.cut):
+                self.resume = t
+            self.quiet = None
+            if self.begun is None:
+                self.begun = t
+                return
+        if self.begun is None:
+            return
+        if t - self.begun > self.longest:
+            if self.cut is None:
+                self.close(t)
+                return
+            self.close(self.cut, self.resume if self.resume is not None and self.resume >= self.cut else None)
+        if p < self.off and self.begun is not None:
+            self.quiet = t if self.quiet is None else self.quiet
+            if t - self.quiet > self.edge:
+                self.cut = self.quiet
+            if t - self.quiet >= self.least_silence:
+                kept = len(self.found) + (self.quiet - self.begun > self.least_speech)
+                self.close(self.quiet)
+                del self.found[kept:]
+
+
+def speech_ranges(df: DataFrame, key: str, step_s: float, on: float = 0.5, off: float | None = None, least_speech_s: float = 0.25, least_silence_s: float = 0.1, pad_s: float = 0.03, longest_s: float = float("inf"), edge_s: float = 0.098, large: int | None = None) -> DataFrame:
+    """``key, start_s, end_s`` of speech in frames of ``key, frame, p``, one a step.
+
+    Speech begins at ``on`` and ends once ``p`` has stayed below ``off`` (0.15
+    less, if not given) for the least silence; shorter ones than the least
+    speech go. One longer than ``longest_s`` is parted at its last silence of
+    over ``edge_s``, without any where it is. Ranges are padded, half the
+    silence at most. After twice the least silence below ``off`` nothing of
+    what came before counts: recordings are cut there, large ones looked
+    through in buckets (see ``scans``), and each stretch is heard on its own.
+    """
+    off = max(on - 0.15, 0.01) if off is None else off
+    reset = 2 * math.ceil(least_silence_s / step_s) + 3
+    limit = longest_s - step_s - 2 * pad_s
+    rows = df.select(key, F.col("frame").cast("long").alias("frame"), F.col("p").cast("double").alias("p"))
+    loud = F.when(~(F.col("p") < off), F.col("frame"))
+    few, cut = scans.split_keys(rows, [key], "frame", large)
+
+    def stretches(rows: DataFrame, by: list[str], loud_before: Column) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_loud", F.coalesce(F.max(loud).over(w), loud_before)).withColumn("_reset", F.when(F.col("frame") - F.col("_loud") == reset, F.col("frame")))
+
+    last = lambda by: F.max("_reset").over(Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
+    parts = stretches(few, [key], F.lit(None).cast("long")).withColumn("_part", last([key])).select(key, "frame", "p", "_part")
+    if cut is not None:
+        cut = scans.handed_on(cut, [key], {"loud": F.max(loud)}, {"loud": F.max("loud")})
+        cut = stretches(cut, [key, "_bucket"], F.col("_before_loud")).drop("_before_loud")
+        cut = scans.handed_on(cut, [key], {"reset": F.max("_reset")}, {"reset": F.max("reset")})
+        parts = parts.unionByName(cut.withColumn("_part", F.coalesce(last([key, "_bucket"]), F.col("_before_reset"))).select(key, "frame", "p", "_part"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("frame")
-        out, begun, quiet = [], None, None
-        for f, p in zip(part["frame"], part["p"], strict=True):
-            t = f * step_s
-            if p >= on:
-                quiet, begun = None, t if begun is None else begun
-            elif begun is not None and p < off:
-                quiet = t if quiet is None else quiet
-                if t - quiet >= least_silence_s:
-                    if quiet - begun > least_speech_s:
-                        out.append((begun, quiet))
-                    begun = quiet = None
-        end = (part["frame"].iat[-1] + 1) * step_s
-        if begun is not None and end - begun > least_speech_s:
-            out.append((begun, end))
-        padded = []
-        for i, (s, e) in enumerate(out):
-            left = pad_s if i == 0 else min(pad_s, (s - out[i - 1][1]) / 2)
-            right = min(pad_s, end - e) if i == len(out) - 1 else min(pad_s, (out[i + 1][0] - e) / 2)
-            padded.append((max(0.0, s - left), e + right))
-        return pd.DataFrame({key: part[key].iat[0], "start_s": [s for s, _ in padded], "end_s": [e for _, e in padded]})
+        ear = Hearing(on, off, least_speech_s, least_silence_s, limit, edge_s)
+        for f, p in zip(part["frame"].tolist(), part["p"].tolist(), strict=True):
+            ear.hear(f * step_s, p)
+        end = (int(part["frame"].iat[-1]) + 1) * step_s
+        if ear.begun is not None and end - ear.begun > least_speech_s:
+            ear.close(end)
+        return pd.DataFrame({key: scans.repeated(part[key].iat[0], len(ear.found)), "start_s": [s for s, _ in ear.found], "end_s": [e for _, e in ear.found]})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "frame", "p").groupBy(key).applyInPandas(one, f"{key} {kind}, start_s double, end_s double")
+    found = parts.groupBy(key, "_part").applyInPandas(one, f"`{key}` {kind}, start_s double, end_s double")
+    ends = rows.groupBy(F.col(key).alias("_key")).agg(((F.max("frame") + 1) * step_s).alias("_end"))
+    found = found.join(ends, F.col(key).eqNullSafe(F.col("_key")))
+    w = Window.partitionBy(key).orderBy("start_s")
+    left, right = (F.col("start_s") - F.lag("end_s").over(w)) / 2, (F.lead("start_s").over(w) - F.col("end_s")) / 2
+    start = F.greatest(F.lit(0.0), F.col("start_s") - F.least(F.lit(pad_s), F.coalesce(left, F.lit(pad_s))))
+    end = F.col("end_s") + F.least(F.lit(pad_s), F.coalesce(right, F.col("_end") - F.col("end_s")))
+    return found.select(key, start.alias("start_s"), end.alias("end_s"))
 
 
 def kept_frames(frames: Column, distance: Callable[[Column, Column], Column], threshold: float) -> Column:
@@ -214,11 +284,14 @@ def sliding_rate(df: DataFrame, key: list[str], ts: str, amount: str, seconds: i
     return df.withColumn("rate", F.when(span > 0, F.sum(amount).over(w) / span).otherwise(0.0))
 
 
-def source_times(df: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """Times in speech-only audio (``at_s``) moved to the source: the offset of the chunk (``c_start, c_end`` in the source) that holds them."""
+def source_times(df: DataFrame, chunks: DataFrame, key: str, large: int | None = None) -> DataFrame:
+    """Times in speech-only audio (``at_s``) moved to the source: the offset of the chunk (``c_start, c_end`` in the source) that holds them.
+
+    A time past the last chunk counts from that chunk; one below 0 is in none
+    and left out. Rows meet chunks in one order of both (``asof_join``), not in pairs.
+    """
     w = Window.partitionBy(key).orderBy("c_start")
-    placed = chunks.withColumn("_len", F.col("c_end") - F.col("c_start"))
-    placed = placed.withColumn("p_start", F.coalesce(F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    placed = placed.withColumn("p_end", F.coalesce(F.lead("p_start").over(w), F.lit(float("inf"))))
-    joined = df.join(placed.select(key, "c_start", "p_start", "p_end"), key)
-    return joined.filter("at_s >= p_start AND at_s < p_end").withColumn("source_s", F.col("at_s") - F.col("p_start") + F.col("c_start")).drop("c_start", "p_start", "p_end")
+    before = F.coalesce(F.sum(F.col("c_end") - F.col("c_start")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = chunks.filter("c_end > c_start").select(key, before.alias("_p_start"), F.col("c_start").alias("_c_start"))
+    joined = scans.asof_join(df, placed, [key], "at_s", "_p_start", large).filter("_c_start IS NOT NULL")
+    return joined.withColumn("source_s", F.col("at_s") - F.col("_p_start") + F.col("_c_start")).drop("_p_start", "_c_start")

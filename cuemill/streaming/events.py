@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.scans import repeated
+
 
 def without_repeats(df: DataFrame, key: list[str], ts: str, seconds: float = 0.5) -> DataFrame:
     """Events but those that follow an equal one of their key within ``seconds``; each repeat holds the next one off too."""
@@ -95,8 +97,8 @@ def throttled_last(df: DataFrame, key: list[str], ts: str, value: str, seconds:
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["us", value], na_position="first")
         out, _, _ = _shown(part["us"].tolist(), part[value].tolist(), step)
-        found = {"us": [t for t, _, _ in out], value: [v for _, v, _ in out], "held": [h for _, _, h in out]}
-        return pd.DataFrame({**{k: [part[k].iat[0]] * len(out) for k in key}, **found})
+        found = {"us": [t for t, _, _ in out], value: pd.Series([v for _, v, _ in out], dtype=object), "held": [h for _, _, h in out]}
+        return pd.DataFrame({**{k: repeated(part[k].iat[0], len(out)) for k in key}, **found})
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
     return rows.groupBy(*key, "_part").applyInPandas(one, f"{kinds}, us long, `{value}` {df.schema[value].dataType.simpleString()}, held boolean")
@@ -135,7 +137,7 @@ class HeldThrottle(StatefulProcessor):
         elif last is not None:
             self.state.update((last, held is not None, held[0] if held else None))
             self.handle.registerTimer((last + self.step) // 1000 + 1)
-        rows = {k: pd.Series([x] * len(out), dtype=object if isinstance(x, str) else None) for k, x in zip(self.key, key, strict=True)}
+        rows = {k: repeated(x, len(out)) for k, x in zip(self.key, key, strict=True)}
         return pd.DataFrame({**rows, "us": [t for t, _, _ in out], self.value: pd.Series([v for _, v, _ in out], dtype=object), "held": pd.Series([h for _, _, h in out], dtype=bool)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
