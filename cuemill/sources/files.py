@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -278,7 +279,7 @@ def _synced(content: str | None, text: str) -> str | None:
 
 
 @dataclass
-class Bytes(InputPartition):
+class Bytes:
     """Lines of a file that begin within [start, end)."""
 
     file: str
@@ -286,6 +287,13 @@ class Bytes(InputPartition):
     end: int
 
 
+@dataclass
+class Lines(InputPartition):
+    """What a task reads: a split of a large file, or many small files."""
+
+    spans: list[Bytes]
+
+
 #: Bytes of a file that a task reads, and those searched at a time for a file's last line end.
 SPLIT, LOOK = 32 << 20, 64 << 10
 
@@ -310,8 +318,15 @@ def whole_lines(store: pafs.FileSystem, path: str, start: int, size: int) -> int
     return start
 
 
-def _splits(start: dict[str, int], end: dict[str, int], size: int) -> list[Bytes]:
-    return [Bytes(f, a, min(a + size, z)) for f, z in sorted(end.items()) for a in range(int(start.get(f, 0)), int(z), size)]
+def _splits(start: dict[str, int], end: dict[str, int], size: int) -> list[Lines]:
+    out, held = [], size
+    for x in (Bytes(f, a, min(a + size, int(z))) for f, z in sorted(end.items()) for a in range(int(start.get(f, 0)), int(z), size)):
+        if held + x.end - x.start > size:
+            out.append(Lines([]))
+            held = 0
+        out[-1].spans.append(x)
+        held += x.end - x.start
+    return out
 
 
 def _read_lines(folder: str, part: Bytes, until: int | None) -> Iterator[tuple[str, int, str]]:
@@ -355,11 +370,11 @@ class LineReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder, self.suffix, self.size = options["path"], options.get("suffix", ""), int(options.get("splitBytes", SPLIT))
 
-    def partitions(self) -> Sequence[Bytes]:
+    def partitions(self) -> Sequence[Lines]:
         return _splits({}, _files(self.folder, self.suffix), self.size)
 
-    def read(self, partition: Bytes) -> Iterator[tuple[str, int, str]]:
-        return _read_lines(self.folder, partition, None)
+    def read(self, partition: Lines) -> Iterator[tuple[str, int, str]]:
+        return chain.from_iterable(_read_lines(self.folder, x, None) for x in partition.spans)
 
 
 class LineStreamReader(DataSourceStreamReader):
@@ -387,7 +402,7 @@ class LineStreamReader(DataSourceStreamReader):
                 self.seen[file] = whole_lines(store, f"{root}/{file}", known, size)
         return {f: n for f, n in self.seen.items() if n}
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Bytes]:
+    def partitions(self, start: dict, end: dict) -> Sequence[Lines]:
         self.seen = {f: max(int(n), self.seen.get(f, 0)) for f, n in end.items()} | {f: n for f, n in self.seen.items() if f not in end}
         sizes = _files(self.folder, self.suffix)
         gone = [f for f, n in end.items() if int(n) > int(start.get(f, 0)) and sizes.get(f, 0) < int(n)]
@@ -395,8 +410,8 @@ class LineStreamReader(DataSourceStreamReader):
             raise ValueError(f"files became shorter or are gone: {gone[:5]}")
         return _splits(start, end, self.size)
 
-    def read(self, partition: Bytes) -> Iterator[tuple[str, int, str]]:
-        return _read_lines(self.folder, partition, partition.end)
+    def read(self, partition: Lines) -> Iterator[tuple[str, int, str]]:
+        return chain.from_iterable(_read_lines(self.folder, x, x.end) for x in partition.spans)
 
     def commit(self, end: dict) -> None:
         pass
