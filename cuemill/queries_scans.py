@@ -70,16 +70,16 @@ _SCENES = "SELECT clip, scene, min(frame) AS first, max(frame) AS last, count(*)
 _FLASHES = """r AS (SELECT clip, i, frame AS last, false AS able, false AS run, 0::BIGINT AS begun, NULL::BIGINT AS cut FROM f WHERE i = 1
 UNION ALL SELECT clip, i, pos, able OR plain, (run AND NOT done) OR starts, CASE WHEN starts THEN frame ELSE begun END, CASE WHEN done THEN pos WHEN plain THEN frame END FROM (
 SELECT *, run AND met AND NOT up AND pos - begun >= 4 AS done, NOT run AND up AND met AS plain, NOT run AND up AND NOT met AND able AS starts FROM (
-SELECT f.clip, f.i, f.frame, r.able, r.run, r.begun, f.change >= 60 AS up, f.frame - r.last >= 4 AS met, CASE WHEN f.change >= 60 THEN f.frame ELSE r.last END AS pos FROM r JOIN f ON f.clip = r.clip AND f.i = r.i + 1)))"""
-_FADES = """d AS (SELECT clip, i, luma < 58 AS dark, frame AS since, frame AS last, NULL::BIGINT AS cut FROM f WHERE i = 1
-UNION ALL SELECT f.clip, f.i, f.luma < 58, CASE WHEN f.luma < 58 AND NOT d.dark THEN f.frame ELSE d.since END, CASE WHEN d.dark AND f.luma >= 58 AND f.frame - d.last >= 4 THEN f.frame ELSE d.last END,
-CASE WHEN d.dark AND f.luma >= 58 AND f.frame - d.last >= 4 THEN (f.frame + d.since) // 2 END FROM d JOIN f ON f.clip = d.clip AND f.i = d.i + 1),
+SELECT f.clip, f.i, f.frame, r.able, r.run, r.begun, f.change >= 42 AS up, f.frame - r.last >= 4 AS met, CASE WHEN f.change >= 42 THEN f.frame ELSE r.last END AS pos FROM r JOIN f ON f.clip = r.clip AND f.i = r.i + 1)))"""
+_FADES = """d AS (SELECT clip, i, luma < 37 AS dark, frame AS since, frame AS last, NULL::BIGINT AS cut FROM f WHERE i = 1
+UNION ALL SELECT f.clip, f.i, f.luma < 37, CASE WHEN f.luma < 37 AND NOT d.dark THEN f.frame ELSE d.since END, CASE WHEN d.dark AND f.luma >= 37 AND f.frame - d.last >= 4 THEN f.frame ELSE d.last END,
+CASE WHEN d.dark AND f.luma >= 37 AND f.frame - d.last >= 4 THEN (f.frame + d.since) // 2 END FROM d JOIN f ON f.clip = d.clip AND f.i = d.i + 1),
 x AS (SELECT clip, cut FROM d WHERE cut IS NOT NULL UNION ALL SELECT d.clip, d.since FROM d JOIN f ON f.clip = d.clip AND f.i = d.i WHERE f.frame = f.ending AND d.dark AND f.ending - d.last >= 4)"""
 
 
 @query(f"WITH RECURSIVE f AS MATERIALIZED ({_FEATURES}), {_FLASHES}, c AS (SELECT clip, cut FROM r WHERE cut IS NOT NULL) {_SCENES}")
 def scenes_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.detect_scenes(features(spark, sf_dir), "clip", "frame", "content", 60.0, 4)
+    return R.detect_scenes(features(spark, sf_dir), "clip", "frame", "content", 42.0, 4)
 
 
 @query(f"""
@@ -93,12 +93,12 @@ def scenes_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE f AS MATERIALIZED ({_FEATURES}), {_FADES}, c AS (SELECT * FROM x) {_SCENES}")
 def scenes_by_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.detect_scenes(features(spark, sf_dir), "clip", "frame", "threshold", 58.0, 4)
+    return R.detect_scenes(features(spark, sf_dir), "clip", "frame", "threshold", 37.0, 4)
 
 
 @query(f"WITH RECURSIVE f AS MATERIALIZED ({_FEATURES}), {_FLASHES}, {_FADES}, c AS (SELECT clip, cut FROM r WHERE cut IS NOT NULL UNION ALL SELECT * FROM x) {_SCENES}")
 def scenes_with_fades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.detect_scenes(features(spark, sf_dir), "clip", "frame", "content", 60.0, 4, fades=58.0)
+    return R.detect_scenes(features(spark, sf_dir), "clip", "frame", "content", 42.0, 4, fades=37.0)
 
 
 # --- speech ---
