@@ -140,11 +140,11 @@ def lines_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Video by ' || lang || chr(10) || '{{LATER}} end' ELSE 'Video by ' || lang || chr(10) || 'Says: ' || source || chr(10) || '{{LATER}} end' END AS text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+SELECT doc_id, 'Video by' || coalesce(' ' || lang, '') || chr(10) || CASE WHEN doc_id % 2 = 0 OR source IS NULL THEN '' ELSE 'Says: ' || source || chr(10) END || '{{LATER}} end (' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'odd' END || ')' AS text FROM documents""")
 def caption_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("Says: "), F.col("source")))
-    d = documents(spark, sf_dir).filter("lang IS NOT NULL AND source IS NOT NULL")
-    return d.select("doc_id", X.render_template("Video by {{LANG}}\n{{SAID}}\n{{LATER}} end", {"LANG": F.col("lang"), "SAID": said}).alias("text"))
+    odd = F.col("doc_id") % 2 == 1
+    said, mark = F.when(odd, F.concat(F.lit("Says: "), F.col("source"))), F.when(odd, "odd").otherwise(" ")
+    return documents(spark, sf_dir).select("doc_id", X.render_template("Video by {{LANG}}\n{{ said }}\n{{LATER}} end ({{ODD}})\n\n\n{{SAID_LATER}}", {"LANG": F.col("lang"), "SAID": said, "ODD": mark, "SAID_LATER": F.lit(None)}).alias("text"))
 
 
 @query("""
