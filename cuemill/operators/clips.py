@@ -88,10 +88,20 @@ def spoken_words(n_words: Column, text: Column) -> Column:
     return F.when(n_words > 0, n_words).otherwise(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))).cast("long")
 
 
-def _first_seen(order: str, value: str) -> Column:
-    """Distinct values that are not empty, in the order of their first row."""
-    pairs = F.sort_array(F.collect_list(F.when(F.coalesce(F.col(value), F.lit("")) != "", F.struct(F.col(order).alias("o"), F.col(value).alias("v")))))
-    return F.array_distinct(F.transform(pairs, lambda p: p["v"]))
+def _first_seen(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``by, name``: the distinct values that are not empty, in the order of their first rows; found on the map side, so that no list holds a key's rows."""
+    firsts = df.filter(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*by, value).agg(F.min(order).alias("_o"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_o", value))), lambda p: p[value])
+    return firsts.groupBy(*by).agg(_scalar(listed).alias(name))
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """A left join on keys of which null is one, too."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in by})
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(named, same, "left").drop(*[f"_{k}" for k in by])
 
 
 def _scalar(values: Column) -> Column:
@@ -101,7 +111,7 @@ def _scalar(values: Column) -> Column:
 
 def finish_reasons(df: DataFrame, by: list[str], order: str, reason: str) -> DataFrame:
     """``by, finish_reason``: null, the one reason, or all of them as JSON in the order they were first met."""
-    return df.groupBy(*by).agg(_scalar(_first_seen(order, reason)).alias("finish_reason"))
+    return _joined(df.select(*by).distinct(), _first_seen(df, by, order, reason, "finish_reason"), by)
 
 
 def transcript_summary(df: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -109,11 +119,13 @@ def transcript_summary(df: DataFrame, by: list[str], order: str) -> DataFrame:
     good = F.col("error").isNull()
     own = df.withColumns({c: F.when(good, F.col(c)) for c in ("model", "language", "duration_s", "elapsed_s", "segments", "words", "injected")})
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return own.groupBy(*by).agg(
-        _scalar(_first_seen(order, "model")).alias("model"), _scalar(_first_seen(order, "language")).alias("language"),
+    sums = own.groupBy(*by).agg(
         zero("duration_s").alias("duration_s"), zero("elapsed_s").alias("elapsed_s"), zero("segments").alias("segments"), zero("words").alias("words"),
         F.coalesce(F.bool_or("injected"), F.lit(False)).alias("injected"), F.count_if(good).alias("records"), F.count_if(~good).alias("errors"),
     )
+    for c in ("model", "language"):
+        sums = _joined(sums, _first_seen(own, by, order, c, c), by)
+    return sums
 
 
 def bench_summary(df: DataFrame, by: list[str], order: str) -> DataFrame:

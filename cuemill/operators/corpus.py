@@ -36,13 +36,13 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
 def duplicate_groups(df: DataFrame, text: str, order: str, limit: int | None = None) -> DataFrame:
     """``caption, n, first``: captions held twice or more but for case and spacing; with ``limit`` the largest groups alone, in order.
 
-    Groups by a hash of the key, so that the shuffle moves no texts; a group
-    shows its first text in ``order``. ``duplicate_members`` gives the rows.
+    Groups by a hash of the key; a group shows its first text in ``order``, of
+    several rows with that one the least. ``duplicate_members`` gives the rows.
     """
     keyed = _keyed(df, text)
     groups = keyed.groupBy("_hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
-    texts = keyed.select(F.col(order).alias("first"), F.trim(F.col(text)).alias("caption"))
-    out = groups.join(texts, "first").select("caption", "n", "first")
+    texts = keyed.select(F.col("_hash"), F.col(order).alias("first"), F.trim(F.col(text)).alias("caption"))
+    out = groups.join(texts, ["_hash", "first"]).groupBy("_hash", "n", "first").agg(F.min("caption").alias("caption")).select("caption", "n", "first")
     return out if limit is None else out.orderBy(F.desc("n"), X.fold("caption")).limit(limit)
 
 

@@ -575,8 +575,8 @@ def tier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, array_to_string(list_filter([CASE WHEN value + 1e-9 < 5 THEN 'too short' END, CASE WHEN value % 1 > 0.8 THEN 'mostly black' END, CASE WHEN value % 3 <= 0.5 THEN 'too static' END, CASE WHEN value % 7 < 1 THEN 'low sharpness' END,
-  CASE WHEN user_id % 2 = 0 THEN 'audio track required' END, CASE WHEN user_id % 2 = 1 AND value % 1 > 0.9 THEN 'mostly silent' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM events""")
+SELECT event_id, array_to_string(list_filter([CASE WHEN value + 1e-9 < 5 THEN printf('too short (%.2fs < 5.00s)', value) END, CASE WHEN value % 1 > 0.8 THEN printf('mostly black (%.1f%% > 80.0%%)', value % 1 * 100) END, CASE WHEN value % 3 <= 0.5 THEN printf('too static (frame difference %.3f <= 0.500)', value % 3) END, CASE WHEN value % 7 < 1 THEN printf('low sharpness (%.2f < 1.00)', value % 7) END,
+  CASE WHEN user_id % 2 = 0 THEN 'audio track required' END, CASE WHEN user_id % 2 = 1 AND value % 1 > 0.9 THEN printf('mostly silent (%.1f%% > 90.0%%)', value % 1 * 100) END], lambda x: x IS NOT NULL), '; ') AS reasons FROM events""")
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     why = N.reject_reasons(v, v % 1, v % 3, v % 7, v % 1, F.lit(True), F.col("user_id") % 2 == 1, min_duration=5.0, max_black=0.8, max_static=0.5, min_sharpness=1.0, require_audio=True, max_silence=0.9)

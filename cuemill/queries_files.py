@@ -194,11 +194,11 @@ def protocol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)
+WITH documents AS (SELECT doc_id, source, coalesce(lang, 'pending') AS lang FROM documents), c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)
 SELECT d.source, '{"counts":{' || c.counts || '},"items":[' || string_agg('{"index":' || doc_id || ',"path":"p' || doc_id || '","status":"' || lang || '"}', ',' ORDER BY doc_id) || ']}' AS json
-FROM documents d JOIN (SELECT source, string_agg('"' || lang || '":' || n, ',' ORDER BY lang) AS counts FROM c GROUP BY source) c ON d.source = c.source WHERE lang IS NOT NULL GROUP BY d.source, c.counts""")
+FROM documents d JOIN (SELECT source, string_agg('"' || lang || '":' || n, ',' ORDER BY lang) AS counts FROM c GROUP BY source) c ON d.source = c.source GROUP BY d.source, c.counts""")
 def run_status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     return sinks.run_summary(d.select("source", F.col("doc_id").alias("index"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("status")), ["source"])
 
 
@@ -243,11 +243,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").filter("s_suppkey < 40").select(F.concat(F.when(F.col("s_suppkey") % 4 == 3, "old_").otherwise("NATION_"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("value"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 4 == 3, "old_").otherwise("NATION_"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_name").alias("value"))
 
 
 _REGISTRY = "SELECT n_name AS key, n_regionkey::VARCHAR AS dflt, n_nationkey % 2 = 0 AS in_metadata, n_nationkey % 3 = 0 AS is_path, n_nationkey % 5 = 0 AS in_preset FROM nation"
-_SAVED = "SELECT CASE WHEN s_suppkey % 4 = 3 THEN 'old_' ELSE 'NATION_' END || s_suppkey AS key, s_name AS value FROM supplier WHERE s_suppkey < 40"
+_SAVED = "SELECT CASE WHEN s_suppkey % 4 = 3 THEN 'old_' ELSE 'NATION_' END || s_suppkey AS key, s_name AS value FROM supplier"
 
 
 @query(f"SELECT r.key, coalesce(s.value, r.dflt) AS value FROM ({_REGISTRY}) r LEFT JOIN ({_SAVED}) s USING (key)")

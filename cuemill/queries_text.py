@@ -107,13 +107,14 @@ def split_thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, trim(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 300)) AS t FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR length(t) < 200 THEN t || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## Question 2: why?' || chr(10) || 'Because' || chr(10) || 'Answer: so' WHEN doc_id % 3 = 1 THEN ' <|im_start|> user why<|im_end|> <|im_start|>assistant so' ELSE chr(10) || 'Question: why?' END WHEN doc_id % 3 = 2 THEN t || chr(10) || 'Question: why?' ELSE regexp_replace(t, '[ #-]+$', '') END AS text FROM d WHERE length(t) >= 200""")
+WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, CASE doc_id % 3 WHEN 0 THEN chr(10) || '## Question 2: why?' || chr(10) || 'Because' || chr(10) || 'Answer: so' WHEN 1 THEN ' <|im_start|> user why<|im_end|> <|im_start|>assistant so' ELSE chr(10) || 'Question: why?' END AS more FROM documents),
+k AS (SELECT doc_id, length(t) AS n, regexp_replace(t || more, '^\s+', '') AS whole, regexp_replace(t, '[ #-]+$', '') AS kept FROM d)
+SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 <> 2 AND length(whole) >= 160 AND n + 1 >= greatest(120, floor(length(whole) * 0.35)) AND length(kept) >= 120 THEN kept ELSE whole END AS text FROM k""")
 def without_trailing_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", F.trim(F.substring(X.collapse("text"), 1, 300)).alias("t")).filter("length(t) >= 200")
     k = F.col("doc_id") % 3
     more = F.when(k == 0, "\n## Question 2: why?\nBecause\nAnswer: so").when(k == 1, " <|im_start|> user why<|im_end|> <|im_start|>assistant so").otherwise("\nQuestion: why?")
-    return d.select("doc_id", P.trim_trailing_qa(F.concat("t", more), F.col("doc_id") % 4 != 0).alias("text"))
+    d = documents(spark, sf_dir).select("doc_id", F.concat(X.collapse("text"), more).alias("t"))
+    return d.select("doc_id", P.trim_trailing_qa("t", F.col("doc_id") % 4 != 0).alias("text"))
 
 
 # --- lists, names, templates ---
@@ -128,9 +129,11 @@ def parsed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"|?*/\\]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS name FROM pages WHERE length(url) <= 200""")
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(repeat(url, page_id % 5 + 1) || '.mp4', '[<>:"|?*/\\]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS t FROM pages)
+SELECT page_id, CASE WHEN length(t) > 200 THEN regexp_replace(left(t, 196), '[ .]+$', '') || '.mp4' ELSE t END AS name FROM p""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").filter("length(url) <= 200").select("page_id", X.safe_name("url").alias("name"))
+    path = F.concat(F.repeat("url", (F.col("page_id") % 5 + 1).cast("int")), F.lit(".mp4"))
+    return table(spark, sf_dir, "pages").select("page_id", X.safe_name(path).alias("name"))
 
 
 @query(r"""
@@ -177,11 +180,11 @@ def replacement_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '—' WHEN event_id % 3 = 0 THEN format('{:,}', event_id * 11) ELSE format('{:,}', event_id * 11) || ' / 8,192 (' || round_even(100.0 * event_id * 11 / 8192, 0)::BIGINT || '%)' END AS usage FROM events WHERE event_id > 0""")
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '—' WHEN event_id % 3 = 0 THEN format('{:,}', event_id * 11) ELSE format('{:,}', event_id * 11) || ' / 8,192 (' || round_even(100.0 * event_id * 11 / 8192, 0)::BIGINT || '%)' END AS usage FROM events""")
 def context_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     used, limit = F.when(i % 10 == 0, F.lit(None).cast("long")).otherwise(i * 11), F.when(i % 3 != 0, 8192)
-    return table(spark, sf_dir, "events").filter("event_id > 0").select("event_id", B.context_usage(used, limit).alias("usage"))
+    return table(spark, sf_dir, "events").select("event_id", B.context_usage(used, limit).alias("usage"))
 
 
 @query(r"""
@@ -218,17 +221,16 @@ def merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", B.log_newest_first("event_type", lines, 16).alias("log"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))
-SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE rtrim(left(t, 294), ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || chr(10) || 'more' END AS text FROM d""".replace("\\\\", "\\"))
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), c AS (SELECT doc_id, t, (SELECT coalesce(max(n), 0) FROM range(greatest(0, 294 // 4), least(294, length(t)) + 1) r(n) WHERE strlen(left(t, n)) <= 294) AS n FROM d)
+SELECT doc_id, CASE WHEN strlen(t) <= 300 THEN t ELSE regexp_replace(left(t, n), '\s+$', '') || chr(10) || chr(10) || 'more' END AS text FROM c""")
 def capped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = documents(spark, sf_dir).filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    return plain.select("doc_id", B.capped_text("text", 300, "more").alias("text"))
+    return documents(spark, sf_dir).select("doc_id", B.capped_text("text", 300, "more").alias("text"))
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE NOT contains(text, '�')")
+@query("SELECT conv_id, turn, replace(text, '�', '') AS text FROM conversations")
 def unscrambled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter(~F.col("text").contains("�"))
+    c = table(spark, sf_dir, "conversations")
     wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return c.select("conv_id", "turn", B.unscrambled(F.when(F.col("turn") % 2 == 0, wrong).otherwise(F.col("text"))).alias("text"))
 

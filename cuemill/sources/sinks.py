@@ -46,7 +46,8 @@ def dataset_toml(folders: DataFrame, resolution: tuple[int, int] = (960, 544), s
 
 
 def run_summary(items: DataFrame, by: list[str]) -> DataFrame:
-    """``json`` of each run: counts by status and its items in order."""
+    """``json`` of each run: counts by status and its items in order; an item without a status counts as pending. A run's items make one row: a batch, not a corpus."""
+    items = items.withColumn("status", F.coalesce("status", F.lit("pending")))
     ordered = F.array_sort(F.collect_list(F.struct("index", "path", "status")))
     counts = items.groupBy(*by, "status").agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("counts"))
     return counts.join(items.groupBy(*by).agg(ordered.alias("items")), by).select(*by, F.to_json(F.struct("counts", "items")).alias("json"))
