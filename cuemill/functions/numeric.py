@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import ColumnOrName, col
+from .text import ColumnOrName, col, let
 
 #: Trainer targets. Frame counts are ``multiple * k + offset``.
 TRAINER_TARGETS = {
@@ -167,3 +167,74 @@ def fraction(text: ColumnOrName) -> Column:
     """``30000/1001`` or ``25`` as a number; null for anything else and for a zero below."""
     a, b = F.split(col(text), "/")[0].try_cast("double"), F.get(F.split(col(text), "/"), F.lit(1))
     return F.when(b.isNull(), a).otherwise(F.try_divide(a, b.try_cast("double")))
+
+
+def _tiles_at(h: Column, least: Column, most: Column, ratio: Column) -> Column:
+    """The width in tiles that goes with a height: that of the ratio, within what the areas allow; null where nothing is."""
+    low, high = F.greatest(F.lit(1.0), F.ceil(least / h).cast("double")), F.floor(most / h).cast("double")
+    return F.when((h >= 1) & (low <= high), F.least(high, F.greatest(low, F.bround(ratio * h))))
+
+
+def best_tiles(least: Column, most: Column, ratio: Column, area: Column) -> Column:
+    """``h, w``: the pair of heights and widths in tiles, of ``least`` to ``most`` in all, that drifts least from a ratio of width to height and an area (in tiles).
+
+    For one width the drift falls towards the height ``width / ratio`` and
+    rises beyond it, and no more than the root of ``most`` heights or widths are
+    small. So the heights up to that root are tried, and for each width up to it
+    the heights around the ideal one and at the ends of those at which a bound
+    gives that width; besides those where the bounds begin to hold. That is a few times the root, not all heights.
+    """
+    root = F.ceil(F.sqrt(most)).cast("int") + 1
+    one_to = F.transform(F.sequence(F.lit(1), root), lambda i: i.cast("double"))
+
+    def around(w: Column) -> Column:
+        ideal = w / ratio
+        near = [F.floor(ideal).cast("double") + d for d in (-1, 0, 1)] + [F.floor((w + d) / ratio).cast("double") + e for d in (-0.5, 0.5) for e in (-1, 0, 1)]
+        ends = [F.floor(most / w).cast("double"), F.floor(most / (w + 1)).cast("double") + 1, F.ceil(least / w).cast("double"), F.ceil(least / F.greatest(w - 1, F.lit(0.5))).cast("double") - 1]
+        return F.array(*near, *ends)
+
+    turning = F.array(*[F.floor(F.sqrt(a / ratio)).cast("double") + d for a in (least, most) for d in range(-3, 5)])
+    heights = F.array_distinct(F.concat(one_to, F.flatten(F.transform(one_to, around)), turning))
+
+    def drift(h: Column) -> Column:
+        w = _tiles_at(h, least, most, ratio)
+        score = F.abs(F.log(w / h / ratio)) * 10.0 + F.abs(F.log(h * w / area))
+        return F.when(w.isNotNull(), F.struct(F.round(score, 10).alias("s"), h.cast("int").alias("h"), w.cast("int").alias("w")))
+
+    return F.array_min(F.array_compact(F.transform(F.filter(heights, lambda h: (h >= 1) & (h <= most)), drift)))
+
+
+def fitted_size(height: ColumnOrName, width: ColumnOrName, factor: int, min_pixels: int | None, max_pixels: int | None) -> Column:
+    """``height, width``, multiples of ``factor`` within the pixel bounds, near a picture's own: rounded and scaled, or, where that leaves the bounds, the best pair of tiles; null where there is none."""
+    if max_pixels is not None and (max_pixels < factor * factor or (min_pixels or 1) > max_pixels):
+        raise ValueError("max_pixels holds no tile, or less than min_pixels")
+    h, w = col(height).cast("double"), col(width).cast("double")
+    whole = lambda v, how: F.greatest(F.lit(float(factor)), how(v / factor).cast("double") * factor)
+
+    def bounded(s: Column) -> Column:
+        if max_pixels is None:
+            return s
+        scale = F.sqrt(h * w / max_pixels)
+        down = F.struct(*[whole(F.greatest(F.lit(1.0), F.floor(v / scale).cast("double")), F.floor).alias(n) for n, v in (("h", h), ("w", w))])
+        return F.when(s["h"] * s["w"] > max_pixels, down).otherwise(s)
+
+    def raised(s: Column) -> Column:
+        if min_pixels is None:
+            return s
+        scale = F.sqrt(min_pixels / (h * w))
+        up = F.struct(*[whole(F.greatest(F.lit(1.0), F.ceil(v * scale).cast("double")), F.ceil).alias(n) for n, v in (("h", h), ("w", w))])
+        return F.when(s["h"] * s["w"] < min_pixels, up).otherwise(s)
+
+    def chosen(s: Column) -> Column:
+        area, tile = s["h"] * s["w"], float(factor * factor)
+        fine = (area >= (min_pixels or 0)) & (area <= (max_pixels if max_pixels is not None else float("inf")))
+        least = F.lit(float(max(1, -(-(min_pixels or 1) // (factor * factor)))))
+        most = F.lit(float(max_pixels // (factor * factor))) if max_pixels is not None else F.floor(F.greatest(area, F.lit(float(min_pixels or 0))) / tile).cast("double")
+        wanted = F.greatest(h * w, F.lit(float(min_pixels or 1)))
+        wanted = F.least(wanted, F.lit(float(max_pixels))) if max_pixels is not None else F.least(wanted, h * w)
+        best = best_tiles(least, most, w / F.greatest(h, F.lit(1.0)), wanted / tile)
+        tiles = F.struct((best["h"] * factor).cast("int").alias("height"), (best["w"] * factor).cast("int").alias("width"))
+        return F.when(fine, F.struct(s["h"].cast("int").alias("height"), s["w"].cast("int").alias("width"))).otherwise(F.when(best.isNotNull(), tiles))
+
+    start = F.struct(whole(h, F.bround).alias("h"), whole(w, F.bround).alias("w"))
+    return F.when((h > 0) & (w > 0), let(start, lambda a: let(bounded(a), lambda b: let(raised(b), chosen))))
