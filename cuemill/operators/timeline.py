@@ -114,51 +114,87 @@ def clamp_cue(start: ColumnOrName, end: ColumnOrName, low: ColumnOrName, high: C
     return F.when(~out & (ce2 > cs2), F.struct(cs2.alias("start_s"), ce2.alias("end_s")))
 
 
-def snap_ranges(ranges: Column, fps: float) -> Column:
-    """Sorted ranges in whole frames, each begun where the last ended if that is within half a frame, a frame long at least."""
-    frame = 1_000_000.0 / fps if fps > 0 else 1.0
+def _snap(seconds: Column, fps: float) -> Column:
+    """The time of the nearest frame in microseconds, or the nearest microsecond without a rate."""
+    s = F.greatest(F.lit(0.0), seconds)
+    return F.bround(F.bround(s * fps) * (1_000_000.0 / fps)).cast("long") if fps > 0 else F.bround(s * 1_000_000.0).cast("long")
+
+
+def _frame_us(fps: float) -> int:
+    return round(1_000_000.0 / fps) if fps > 0 else 1000
+
+
+def snap_ranges(ranges: Column, fps: float, before: Column | None = None) -> Column:
+    """Sorted ranges in whole frames, each begun where the last ended (the first at ``before``) if that is within half a frame, a frame long at least."""
     half = 0.5 / fps if fps > 0 else 0.0005
-    least = F.lit(round(1_000_000.0 / fps) if fps > 0 else 1000).cast("long")
+    least = F.lit(_frame_us(fps)).cast("long")
+    kind = "struct<start_us:long,end_us:long>"
+    none = F.lit(None).cast("long")
+    state = F.struct((none if before is None else before).alias("last"), F.array().cast(f"array<{kind}>").alias("done"))
 
-    def snap(seconds: Column) -> Column:
-        s = F.greatest(F.lit(0.0), seconds)
-        return F.bround(F.bround(s * fps) * frame).cast("long") if fps > 0 else F.bround(s * 1_000_000.0).cast("long")
+    def add(x: Column, r: Column) -> Column:
+        last = x["last"]
+        s = F.when(last.isNotNull() & (F.abs(r["start_s"] - last / 1_000_000.0) <= half + 1e-6), last).otherwise(_snap(r["start_s"], fps))
+        e = _snap(r["end_s"], fps)
+        end = F.when(e <= s, s + least).otherwise(e)
+        return F.struct(end.alias("last"), F.concat(x["done"], F.array(F.struct(s.alias("start_us"), end.alias("end_us")))).alias("done"))
 
-    empty = F.array().cast("array<struct<start_us:long,end_us:long>>")
+    return F.aggregate(F.array_sort(ranges), state, add, lambda x: x["done"])
 
-    def add(done: Column, r: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)["end_us"]
-        s = F.when(last.isNotNull() & (F.abs(r["start_s"] - last / 1_000_000.0) <= half + 1e-6), last).otherwise(snap(r["start_s"]))
-        e = snap(r["end_s"])
-        return F.concat(done, F.array(F.struct(s.alias("start_us"), F.when(e <= s, s + least).otherwise(e).alias("end_us"))))
 
-    return F.aggregate(F.array_sort(ranges), empty, add)
+def snap_rows(df: DataFrame, key: list[str], fps: float) -> DataFrame:
+    """``key, start_us, end_us``: ``snap_ranges`` on rows of ``start_s, end_s``.
+
+    A range of two frames or more ends at its own last frame, wherever it
+    begins; so what follows it can be gone through without what came before,
+    and an array holds short ranges one after another, not a key.
+    """
+    w = Window.partitionBy(*key).orderBy("start_s", "end_s")
+    end = _snap(F.col("end_s"), fps)
+    sure = end - _snap(F.col("start_s"), fps) >= 2 * _frame_us(fps)
+    rows = df.select(*key, F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
+    rows = rows.withColumns({"_before": F.lag(F.when(sure, end)).over(w), "_n": F.row_number().over(w)})
+    rows = rows.withColumn("_part", F.sum(F.when(F.col("_before").isNotNull() | (F.col("_n") == 1), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*key, "_part").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("_r"), F.max("_before").alias("_before"))
+    return parts.select(*key, F.explode(snap_ranges(F.col("_r"), fps, F.col("_before"))).alias("_s")).select(*key, "_s.start_us", "_s.end_us")
+
+
+def _merged_short(left: list[tuple[float, float]], least: float) -> list[tuple[float, float]]:
+    rows, i = [], 0
+    while i < len(left):  # rows: what is long enough; left[i:]: what is to come
+        s, e = left[i]
+        i += 1
+        while e - s + EPS < least and i < len(left) and (not rows or abs(s - rows[-1][1]) > abs(left[i][0] - e)):
+            s, e = min(s, left[i][0]), max(e, left[i][1])
+            i += 1
+        if e - s + EPS < least and rows:
+            s, e = min(rows[-1][0], s), max(rows[-1][1], e)
+            rows.pop()
+        rows.append((s, e))
+    return rows
 
 
 def merge_short(df: DataFrame, key: str, least: float) -> DataFrame:
     """``key, start_s, end_s``: the first range shorter than ``least`` joins its nearer neighbour (the one before in a tie), again and again.
 
-    Each merge depends on the last, so a key's ranges are handled in one call.
+    Each merge depends on the last, but none reaches over two ranges that are
+    long enough side by side: what comes before ends with the first of them or
+    before, what follows begins with the second. A key is cut there, and a
+    group is what lies between two such places.
     """
+    clean = df.select(key, F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
+    clean = clean.filter("end_s > start_s AND NOT isnan(start_s) AND NOT isnan(end_s)")
+    w = Window.partitionBy(key).orderBy("start_s", "end_s")
+    long = F.col("end_s") - F.col("start_s") + EPS >= least
+    cut = F.when(long & F.coalesce(F.lag(long).over(w), F.lit(False)), 1).otherwise(0)
+    parts = clean.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        left = [tuple(r) for r in part.sort_values(["start_s", "end_s"])[["start_s", "end_s"]].itertuples(index=False)]
-        rows, i = [], 0
-        while i < len(left):  # rows: what is long enough; left[i:]: what is to come
-            s, e = left[i]
-            i += 1
-            while e - s + EPS < least and i < len(left) and (not rows or abs(s - rows[-1][1]) > abs(left[i][0] - e)):
-                s, e = min(s, left[i][0]), max(e, left[i][1])
-                i += 1
-            if e - s + EPS < least and rows:
-                s, e = min(rows[-1][0], s), max(rows[-1][1], e)
-                rows.pop()
-            rows.append((s, e))
-        return pd.DataFrame({key: part[key].iat[0], "start_s": [r[0] for r in rows], "end_s": [r[1] for r in rows]})
+        rows = _merged_short(sorted(zip(part["start_s"].tolist(), part["end_s"].tolist(), strict=True)), least)
+        return pd.DataFrame({key: scans.repeated(part[key].iat[0], len(rows)), "start_s": [r[0] for r in rows], "end_s": [r[1] for r in rows]})
 
     kind = df.schema[key].dataType.simpleString()
-    clean = df.select(key, "start_s", "end_s").filter("end_s > start_s AND NOT isnan(start_s) AND NOT isnan(end_s)")
-    return clean.groupBy(key).applyInPandas(one, f"{key} {kind}, start_s double, end_s double")
+    return parts.drop("_cut").groupBy(key, "_part").applyInPandas(one, f"`{key}` {kind}, start_s double, end_s double")
 
 
 @dataclass
