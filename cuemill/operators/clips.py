@@ -95,7 +95,7 @@ def _first_seen(df: DataFrame, by: list[str], order: str, value: str, name: str)
     return firsts.groupBy(*by).agg(_scalar(listed).alias(name))
 
 
-def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def _left_joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """A left join on keys of which null is one, too."""
     named = right.withColumnsRenamed({k: f"_{k}" for k in by})
     same = F.lit(True)
@@ -111,7 +111,7 @@ def _scalar(values: Column) -> Column:
 
 def finish_reasons(df: DataFrame, by: list[str], order: str, reason: str) -> DataFrame:
     """``by, finish_reason``: null, the one reason, or all of them as JSON in the order they were first met."""
-    return _joined(df.select(*by).distinct(), _first_seen(df, by, order, reason, "finish_reason"), by)
+    return _left_joined(df.select(*by).distinct(), _first_seen(df, by, order, reason, "finish_reason"), by)
 
 
 def transcript_summary(df: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -124,7 +124,7 @@ def transcript_summary(df: DataFrame, by: list[str], order: str) -> DataFrame:
         F.coalesce(F.bool_or("injected"), F.lit(False)).alias("injected"), F.count_if(good).alias("records"), F.count_if(~good).alias("errors"),
     )
     for c in ("model", "language"):
-        sums = _joined(sums, _first_seen(own, by, order, c, c), by)
+        sums = _left_joined(sums, _first_seen(own, by, order, c, c), by)
     return sums
 
 

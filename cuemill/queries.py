@@ -621,4 +621,4 @@ def curated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other sets of queries register themselves.
-from . import queries_files, queries_merging, queries_plans, queries_scans, queries_text  # noqa: E402, F401
+from . import queries_files, queries_merging, queries_phases, queries_plans, queries_scans, queries_text  # noqa: E402, F401
