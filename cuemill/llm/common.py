@@ -15,14 +15,22 @@ from .. import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch, where the session has Spark's own number: texts may be long, and a batch is held several times over.
-BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, "10000"
+#: Rows and bytes of an Arrow batch, where the session has Spark's own numbers: texts may be long, and a batch is held several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", 1000), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", 16 << 20)}
+#: What Python workers give back: freed memory goes to the system at once, from Arrow's buffers too.
+WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, and Arrow batches that long texts fit."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Give the executors this package, Arrow batches that long texts fit, and workers that hold no freed memory.
+
+    What the session or its environment sets itself stays as it is.
+    """
+    for key, (sparks, ours) in BATCH.items():
+        if spark.conf.get(key) == sparks:
+            spark.conf.set(key, ours)
+    for key, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(key, value)
     ship.ship_package(spark)
 
 
