@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import labels as B
-from .operators import clips as K, corpus as A, render as R, timeline as L
+from .functions import labels as B, text as X
+from .operators import clips as K, corpus as A, render as R, structured as D, timeline as L
 from .plans import phases as H
 from .queries import _CUES, _FRAME, _STAMP, user_cues
 from .registry import query, table
@@ -225,3 +225,28 @@ def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 newest orders, ties by the numbers in their names."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("run "), F.col("o_orderkey").cast("string")).alias("name"))
     return A.recent(o, "o_orderdate", "name").select("o_orderkey")
+
+
+# --- documents and frames ---
+
+
+@query(r"""
+SELECT conv_id, turn, '{"caption":' || to_json(trim(regexp_replace(t, '\s+', ' ', 'g')))::VARCHAR || ',"id":' || to_json(t)::VARCHAR || ',"segments":[{"text":' || to_json(trim(regexp_replace(t, '\s+', ' ', 'g')))::VARCHAR || ',"n":1}]}' AS document FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
+def finalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured answers whose captions have their white space drawn together, ids as they are."""
+    t = F.coalesce("text", F.lit(""))
+    document = F.to_json(F.struct(t.alias("caption"), t.alias("id"), F.array(F.struct(t.alias("text"), F.lit(1).alias("n"))).alias("segments")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", document.alias("document"))
+    return D.finalized_documents(c, ["conv_id", "turn"], "document", lambda name: X.collapse(name))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, (p_size % 5)::DOUBLE AS a, least(p_size * 0.7::DOUBLE, 30.0) AS z, (10 + p_partkey % 3 * 10)::DOUBLE AS fps FROM part),
+n AS (SELECT *, greatest(z - 0.5 / fps, a) AS last, least(24, greatest(4, round_even(greatest(4, ceil((z - a) * 2)) / 4, 0) * 4))::BIGINT AS n FROM p WHERE z > a)
+SELECT p_partkey, i, round(CASE WHEN i = n - 1 THEN last ELSE a + i * ((last - a) / (n - 1)) END, 9) AS at FROM (SELECT *, unnest(range(0, n)) AS i FROM n)""")
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames a second of parts as clips, in fours, 24 at most."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    times = D.wanted_times((size % 5).cast("double"), size * 0.7, F.lit(30.0), (10 + k % 3 * 10).cast("double"), F.lit(None).cast("int"), strategy="fps", target_fps=2.0, most=25, least=4, factor=4)
+    t = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(times).alias("i", "at"))
+    return t.select("p_partkey", F.col("i").cast("long").alias("i"), F.round("at", 9).alias("at"))
