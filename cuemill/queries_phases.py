@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import labels as B, text as X
-from .operators import clips as K, corpus as A, render as R, structured as D, timeline as L
+from .operators import clips as K, corpus as A, render as R, structured as D, timeline as L, transcripts as W
 from .plans import phases as H
 from .queries import _CUES, _FRAME, _STAMP, user_cues
 from .registry import query, table
@@ -143,7 +143,7 @@ def snapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a segment of three words, a second each from its value on."""
     v = F.col("value")
-    word = lambda i, w: F.struct((v + i).alias("start_s"), (v + i + 1.0).alias("end_s"), w.alias("word"))
+    word = lambda i, w: F.struct((v + float(i)).alias("start_s"), (v + float(i + 1)).alias("end_s"), w.alias("word"))
     words = F.array(word(0, F.lit(" one")), word(1, F.concat(F.lit(" "), F.col("event_type"))), word(2, F.lit(" -->x")))
     timed = F.when(F.col("event_id") % 3 > 0, words)
     segment = F.struct(v.alias("start_s"), (v + 3.0).alias("end_s"), F.concat(F.lit(" one "), F.col("event_type"), F.lit(" -->x ")).alias("text"), timed.alias("words"))
@@ -250,3 +250,25 @@ def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = D.wanted_times((size % 5).cast("double"), size * 0.7, F.lit(30.0), (10 + k % 3 * 10).cast("double"), F.lit(None).cast("int"), strategy="fps", target_fps=2.0, most=25, least=4, factor=4)
     t = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(times).alias("i", "at"))
     return t.select("p_partkey", F.col("i").cast("long").alias("i"), F.round("at", 9).alias("at"))
+
+
+# --- transcripts ---
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type AS t, event_id % 3 > 0 AS worded, round_even(value * 1000, 0)::BIGINT AS a, round_even((value + 1) * 1000, 0)::BIGINT AS b, round_even((value + 2) * 1000, 0)::BIGINT AS c, round_even((value + 3) * 1000, 0)::BIGINT AS d FROM events),
+s AS (SELECT *, """ + ", ".join(f"lpad(({x} // 60000)::VARCHAR, 2, '0') || ':' || lpad((({x} // 1000) % 60)::VARCHAR, 2, '0') || '.' || lpad(({x} % 1000)::VARCHAR, 3, '0') AS s{x}" for x in "abcd") + """ FROM e)
+SELECT event_id, CASE WHEN worded THEN '[' || sa || ']one [' || sb || '] ' || t || ' [' || sc || '] -->x[' || sd || ']' ELSE '[' || sa || ']one ' || t || ' ->x[' || sd || ']' END || chr(10) || chr(10) AS lrc,
+  'WEBVTT' || chr(10) || chr(10) || CASE WHEN worded THEN sa || ' --> ' || sb || chr(10) || '<u>one</u> ' || t || ' ->x' || chr(10) || chr(10) || sb || ' --> ' || sc || chr(10) || 'one <u>' || t || '</u> ->x' || chr(10) || chr(10) || sc || ' --> ' || sd || chr(10) || 'one ' || t || ' <u>->x</u>' ELSE sa || ' --> ' || sd || chr(10) || 'one ' || t || ' ->x' END || chr(10) || chr(10) AS vtt FROM s""")
+def marked_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of three words as lyrics aligned to them and as subtitles that mark each in turn."""
+    s = F.col("segments")
+    return spoken(spark, sf_dir).select("event_id", W.transcript_document(s, "lrc", highlight=True).alias("lrc"), W.transcript_document(s, "vtt", highlight=True).alias("vtt"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'one ' || event_type || ' ->x' ELSE ' one ' || event_type || ' -->x ' END AS text FROM events""")
+def recut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of one sentence each: those with timed words from these, others as they are."""
+    c = spoken(spark, sf_dir).select("event_id", F.explode(W.recut(F.col("segments"))).alias("c"))
+    return c.select("event_id", "c.text")
