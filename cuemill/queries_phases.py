@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import labels as B, text as X
 from .operators import clips as K, corpus as A, render as R, structured as D, timeline as L, transcripts as W
-from .plans import phases as H
+from .plans import fitness as Z, phases as H
 from .queries import _CUES, _FRAME, _STAMP, user_cues
 from .registry import query, table
 from .scratch import shared_path
-from .sources import files as S, listing
+from .sources import files as S, listing, outputs as O
 from .streaming import events as E
 
 
@@ -272,3 +272,39 @@ def recut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of one sentence each: those with timed words from these, others as they are."""
     c = spoken(spark, sf_dir).select("event_id", F.explode(W.recut(F.col("segments"))).alias("c"))
     return c.select("event_id", "c.text")
+
+
+# --- outputs ---
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT doc_id, '.txt' AS suffix, CASE WHEN t = '' OR t LIKE '%' || chr(10) THEN t ELSE t || chr(10) END AS content FROM d
+UNION ALL SELECT doc_id, '_reasoning.txt', 'because' || chr(10) FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '.jsonl', CASE WHEN doc_id % 3 = 0 THEN '{"a":1}' || chr(10) || '"b"' || chr(10) ELSE '{"text":' || to_json(t)::VARCHAR || '}' || chr(10) END FROM d)
+SELECT '/o/clip ' || doc_id || suffix AS path, md5(content) AS digest FROM f""")
+def caption_form_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a caption in text and JSON lines, every second with its reasoning."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("/o/").alias("folder"), F.concat(F.lit("x/clip "), k.cast("string"), F.lit(".mp4")).alias("stem"), F.when(k % 3 == 0, '[{"a": 1}, "b"]').alias("answer"), F.when(k % 2 == 0, "because").otherwise(" ").alias("why"))
+    made = O.caption_files(d, ["doc_id"], "folder", "stem", ["jsonl", "reasoning", "srt"], text="text", structured="answer", reasoning="why")
+    return made.select("path", F.md5("content").alias("digest"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size * 9 ELSE floor(p_size * 0.4::DOUBLE * (12 + p_partkey % 3 * 6) + 1e-9) END::BIGINT AS a, (200 + p_partkey % 1900)::DOUBLE AS w, (150 + p_partkey % 1100)::DOUBLE AS h FROM part),
+s AS (SELECT *, CASE WHEN least(a, 129) >= 5 THEN (least(a, 129) - 1) // 4 * 4 + 1 END AS s FROM p)
+SELECT p_partkey, a AS available, CASE WHEN a < 81 THEN 'will be dropped: ' || a || 'f < 81f' WHEN a // 81 >= 2 THEN 'sub-split ×' || (a // 81) || ' suggested' ELSE 'OK ' || s || 'f' END AS verdict, CASE WHEN a < 81 THEN 'will be dropped by trainer: only ' || a || ' frames, needs 81' WHEN s <> a THEN 'trainer will use ' || s || ' valid frames from ' || a || ' available' ELSE '' END AS warning, CASE WHEN w < h THEN 480 ELSE 832 END::BIGINT AS width FROM s""")
+def fitness_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a trainer makes of parts as clips."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    clips = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 5 == 0, size * 9).alias("frames"), (size * 0.4).alias("duration_s"), (12 + k % 3 * 6).alias("fps"), (200 + k % 1900).alias("width"), (150 + k % 1100).alias("height"))
+    made = Z.clip_fitness(clips, "wan", "480p", "letterbox")
+    return made.select("p_partkey", "available", "verdict", F.array_join("warnings", "; ").alias("warning"), F.col("bucket.width").alias("width"))
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_size * 9 AS a FROM part)
+SELECT p_brand, '**' || count(*) || ' clips** · ' || count(*) FILTER (a >= 81 AND a // 81 < 2) || ' ready · ' || count(*) FILTER (a < 81) || ' will be dropped · ' || count(*) FILTER (a // 81 >= 2) || ' sub-split suggestions' AS line FROM p GROUP BY p_brand""")
+def fitness_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("double")
+    clips = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") * 9).alias("frames"), none.alias("duration_s"), none.alias("fps"), none.alias("width"), none.alias("height"))
+    return Z.fitness_summary(Z.clip_fitness(clips, "wan", "480p"), ["p_brand"]).select("p_brand", "line")
