@@ -60,12 +60,14 @@ def nearest_metadata(captions: DataFrame, documents: DataFrame, root: str = "")
     return _first(held, ["caption_path"], F.desc("depth")).select("caption_path", "folder")
 
 
-def media_candidates(captions: DataFrame, entries: DataFrame) -> DataFrame:
+def media_candidates(captions: DataFrame, entries: DataFrame, configured: DataFrame | None = None) -> DataFrame:
     """``caption_path, source_path, rank``: the sources of a document's entries (``folder, entry, output_path, source_path``) that a caption (``caption_path, folder``) goes with.
 
     Rank 1 are entries that wrote the caption; failing these 2, entries whose
     source has its stem; failing these 3, the only entry of the document.
-    Sources are media, each once.
+    Besides come the inputs that the document's settings name (``folder,
+    source_path`` of ``configured``): 4 those of the caption's stem, 5 all of them if
+    there is one alone, or the caption is named caption. Sources are media, each once, at its best rank.
     """
     alone = entries.groupBy("folder").agg(F.countDistinct("entry").alias("_entries"))
     e = entries.join(alone, "folder").select(F.col("folder"), "entry", "source_path", "_entries", identity("output_path").alias("_out"), X.fold(stem("source_path")).alias("_stem"))
@@ -73,7 +75,15 @@ def media_candidates(captions: DataFrame, entries: DataFrame) -> DataFrame:
     rank = F.when(identity("caption_path") == F.col("_out"), 1).when(X.fold(stem("caption_path")) == F.col("_stem"), 2).when(F.col("_entries") == 1, 3)
     ranked = met.withColumn("rank", rank).filter("rank IS NOT NULL")
     best = ranked.groupBy("caption_path").agg(F.min("rank").alias("_best"))
-    kept = ranked.join(best, "caption_path").filter((F.col("rank") == F.col("_best")) & kind_of("source_path").isin("video", "audio", "image"))
+    kept = ranked.join(best, "caption_path").filter(F.col("rank") == F.col("_best")).select("caption_path", "source_path", "rank")
+    if configured is not None:
+        named = configured.filter("source_path IS NOT NULL").select("folder", "source_path").distinct()
+        count = named.groupBy("folder").agg(F.count("*").alias("_n"))
+        own = X.fold(stem("caption_path"))
+        more = captions.join(named.join(count, "folder"), "folder")
+        later = F.when(own == X.fold(stem("source_path")), 4).when((F.col("_n") == 1) | (own == "caption"), 5)
+        kept = kept.unionByName(more.withColumn("rank", later).filter("rank IS NOT NULL").select("caption_path", "source_path", "rank"))
+    kept = kept.filter(kind_of("source_path").isin("video", "audio", "image"))
     return kept.groupBy("caption_path", "source_path").agg(F.min("rank").alias("rank"))
 
 
