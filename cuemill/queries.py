@@ -157,7 +157,7 @@ def _deduped(source: str) -> str:
 
 @query(_deduped("SELECT doc_id, text FROM documents"))
 def sentence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.dedupe_sentences("text").alias("text"), X.removed_sentences("text").alias("removed"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.deduped("text").alias("d")).select("doc_id", "d.text", "d.removed")
 
 
 def _trimmed(source: str, limit: int, protected: str = "") -> str:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.scans import repeated
+from ..operators.scans import repeated, split_keys
 
 
 def without_repeats(df: DataFrame, key: list[str], ts: str, seconds: float = 0.5) -> DataFrame:
@@ -31,31 +33,72 @@ def since(df: DataFrame, revision: str, cursor: int, keep: int = 300) -> DataFra
     return marked.filter(F.when(F.lit(cursor) > F.col("_top"), F.col(revision) > F.col("_top") - keep).otherwise(F.col(revision) > cursor)).drop("_top")
 
 
-def throttled(df: DataFrame, key: list[str], ts: str, seconds: float) -> DataFrame:
+def throttled(df: DataFrame, key: list[str], ts: str, seconds: float, large: int | None = None) -> DataFrame:
     """``key, us``: times (in microseconds) of the events let through when each holds back those of the next ``seconds``.
 
     What a gap of that length parts is told apart first (the event after it is
     let through whatever was before), so that only stretches without such a gap
-    are gone through one by one, as Arrow batches of their sorted times.
+    are gone through one by one. A large key (see ``scans``) is cut into buckets.
+    Which event of a bucket is let through first is one of its first
+    ``seconds``, or the one after these; for each of them the bucket says where it would leave
+    off. One walk over these sums tells each bucket where it begins.
     """
-    t, step = F.unix_micros(F.col(ts).cast("timestamp")), int(seconds * 1_000_000)
+    step = int(seconds * 1_000_000)
+    rows = df.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).filter("us IS NOT NULL")
+    few, cut = split_keys(rows, key, "us", large)
     order = Window.partitionBy(*key).orderBy("us")
-    rows = df.select(*key, t.alias("us")).withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) < step, 0).otherwise(1))
-    rows = rows.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = few.withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) < step, 0).otherwise(1))
+    parts = parts.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     @F.pandas_udf("array<long>")
     def kept(times: pd.Series) -> pd.Series:
-        def pick(ts: list) -> list:
-            out: list[int] = []
-            for x in ts:
-                if not out or x - out[-1] >= step:
-                    out.append(int(x))
-            return out
-
-        return times.map(pick)
-
-    parts = rows.groupBy(*key, "_part").agg(F.sort_array(F.collect_list("us")).alias("_us"))
-    return parts.select(*key, F.explode(kept("_us")).alias("us"))
+        return times.map(lambda ts: _let_through(np.asarray(ts, np.int64), step, 0))
+
+    lists = parts.groupBy(*key, "_part").agg(F.sort_array(F.collect_list("us")).alias("_us"))
+    done = lists.select(*key, F.explode(kept("_us")).alias("us"))
+    if cut is None:
+        return done
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        times = np.unique(part["us"].to_numpy(np.int64))
+        onward, left = np.searchsorted(times, times + step), times.copy()
+        for i in range(len(times) - 1, -1, -1):
+            if onward[i] < len(times):
+                left[i] = left[onward[i]]
+        n = int(np.searchsorted(times, times[0] + step)) + 1
+        return pd.DataFrame({**{k: repeated(part[k].iat[0], 1) for k in [*key, "_bucket"]}, "first": [times[:n].tolist()], "left": [left[:n].tolist()]})
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part, last, before = part.sort_values("_bucket"), None, []
+        for first, left in zip(part["first"], part["left"], strict=True):
+            before.append(last)
+            i = 0 if last is None else bisect_left(list(first), last + step)
+            last = int(left[i]) if i < len(first) else last
+        return pd.DataFrame({**{k: repeated(part[k].iat[0], len(part)) for k in key}, "_bucket": part["_bucket"].to_numpy(), "_last": pd.array(before, dtype="Int64")})
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        times, last = np.sort(part["us"].to_numpy(np.int64)), part["_last"].iat[0]
+        found = _let_through(times, step, 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + step)))
+        return pd.DataFrame({**{k: repeated(part[k].iat[0], len(found)) for k in key}, "us": pd.Series(found, dtype="int64")})
+
+    sums = cut.groupBy(*key, "_bucket").applyInPandas(ends, f"{kinds}, _bucket int, first array<long>, left array<long>")
+    begins = sums.groupBy(*key).applyInPandas(walk, f"{kinds}, _bucket int, _last long")
+    named = {k: f"_key{i}" for i, k in enumerate([*key, "_bucket"])}
+    same = F.lit(True)
+    for k, n in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    begun = cut.join(F.broadcast(begins.withColumnsRenamed(named)), same).drop(*named.values())
+    return done.unionByName(begun.groupBy(*key, "_bucket").applyInPandas(pick, f"{kinds}, us long"))
+
+
+def _let_through(times: np.ndarray, step: int, i: int) -> list[int]:
+    """Sorted times that are let through from place ``i`` on."""
+    out: list[int] = []
+    while i < len(times):
+        out.append(int(times[i]))
+        i = int(np.searchsorted(times, times[i] + step)) if step > 0 else i + 1
+    return out
 
 
 def _shown(times: list[int], values: list, step: int, last: int | None = None, held: object = None, until: int | None = None) -> tuple[list[tuple[int, object, bool]], int | None, object]:

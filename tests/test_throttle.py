@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 
 from cuemill.streaming import events as E
 
@@ -84,3 +86,25 @@ def test_the_stream_equals_the_batch_on_shuffled_input(spark, tmp_path):
     batch = E.throttled_last(spark.createDataFrame(rows, SCHEMA), ["k"], "ts", "value", 7.0)
     assert got == sorted(map(tuple, batch.select("k", "us", "value", "held").collect()))
     assert 0 < before < len(got)
+
+
+@pytest.mark.parametrize("large", [None, 40, 10])
+def test_events_let_through_on_a_dense_key(spark, large):
+    rng = random.Random(11)
+    rows = []
+    for k, n, pause in (("hot", 600, 1), ("cold", 60, 9), (None, 80, 3)):
+        t = 0
+        for _ in range(n):
+            t += rng.choice([0, 0, 1, 2, pause, 25 if rng.random() < 0.03 else 1])
+            rows.append((k, datetime(2024, 1, 1) + timedelta(seconds=t)))
+    rows.append(("hot", None))
+    for seconds in (5.0, 1.0, 100.0):
+        got = E.throttled(spark.createDataFrame(rows, "k string, ts timestamp"), ["k"], "ts", seconds, large).collect()
+        for k in ("hot", "cold", None):
+            want = []
+            for t in sorted(t for x, t in rows if x == k and t is not None):
+                if not want or t - want[-1] >= timedelta(seconds=seconds):
+                    want.append(t)
+            zero = min(r["us"] for r in got)
+            first = min(t for x, t in rows if t is not None)
+            assert sorted((r["us"] - zero) for r in got if r["k"] == k) == [round((t - first).total_seconds() * 1e6) for t in want], (k, seconds)
