@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from .scans import ranked
 
 
 def with_stats(df: DataFrame, text: str) -> DataFrame:
@@ -122,9 +123,9 @@ def recent(df: DataFrame, created: str, name: str, limit: int = 30) -> DataFrame
     return df.orderBy(F.desc(created), X.natural_key(name), name).limit(limit)
 
 
-def natural_rank(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+def natural_rank(df: DataFrame, name: str, by: list[str], large: int | None = None) -> DataFrame:
     """Place of each row in the natural order of its name within ``by``."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(X.natural_key(name), F.lower(name), name)))
+    return ranked(df, by, [X.natural_key(name), F.lower(name), F.col(name)], "rank", large).withColumn("rank", F.col("rank").cast("int"))
 
 
 def settings_diff(saved: DataFrame, current: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

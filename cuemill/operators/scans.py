@@ -10,6 +10,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import written
+
 #: Rows from which a key may be cut, and buckets of a key, at most.
 LARGE, PIECES = 200_000, 256
 
@@ -19,29 +21,71 @@ def repeated(value: object, n: int) -> pd.Series:
     return pd.Series([value] * n, dtype=object)
 
 
-def split_keys(rows: DataFrame, key: list[str], at: str, large: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of the other keys, rows of large keys with ``_bucket`` in the order of ``at``, or None without any).
+def large_keys(rows: DataFrame, key: list[str], large: int | None = None) -> tuple[DataFrame | None, int, int]:
+    """(keys with more rows than ``large``, or None without any; that bound; rows of the largest).
 
-    Large is a key with more rows than ``large``, or, where that isn't given,
-    than LARGE and a fourth of a shuffle partition's share; so there are no
-    more large keys than four times the partitions, and their borders, PIECES
-    a key at most, are broadcast. Rows of one ``at`` share a bucket.
+    Without a bound of the caller it is LARGE, and a fourth of a shuffle
+    partition's share: so there are no more large keys than four times the
+    partitions, and they may be broadcast. Their columns are named _key0 and so on.
     """
     counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
     least = large or max(LARGE, total["total"] // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if total["most"] <= least:
-        return rows, None
-    pieces = min(PIECES, -(-total["most"] // least) * 2)
-    named = {k: f"_key{i}" for i, k in enumerate(key)}
-    hot = counts.filter(F.col("_n") > least).select(*[F.col(k).alias(n) for k, n in named.items()])
+        return None, least, total["most"]
+    return counts.filter(F.col("_n") > least).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)]), least, total["most"]
+
+
+def _is_key(key: list[str]) -> Column:
     match = F.lit(True)
-    for k, n in named.items():
-        match = match & F.col(k).eqNullSafe(F.col(n))
-    of_hot = rows.join(F.broadcast(hot), match)
-    borders = of_hot.groupBy(*named.values()).agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_borders"))
-    cut = rows.join(F.broadcast(borders), match).withColumn("_bucket", F.size(F.filter("_borders", lambda b: b <= F.col(at))))
-    return rows.join(F.broadcast(hot), match, "left_anti"), cut.drop("_borders", *named.values())
+    for i, k in enumerate(key):
+        match = match & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return match
+
+
+def split_keys(rows: DataFrame, key: list[str], at: str, large: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the other keys, rows of large keys with ``_bucket`` in the order of ``at``, or None without any).
+
+    The borders of large keys, PIECES a key at most, are broadcast. Rows of one ``at`` share a bucket.
+    """
+    hot, least, most = large_keys(rows, key, large)
+    if hot is None:
+        return rows, None
+    pieces, named = min(PIECES, -(-most // least) * 2), [f"_key{i}" for i in range(len(key))]
+    of_hot = rows.join(F.broadcast(hot), _is_key(key))
+    borders = of_hot.groupBy(*named).agg(F.percentile_approx(at, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_borders"))
+    cut = rows.join(F.broadcast(borders), _is_key(key)).withColumn("_bucket", F.size(F.filter("_borders", lambda b: b <= F.col(at))))
+    return rows.join(F.broadcast(hot), _is_key(key), "left_anti"), cut.drop("_borders", *named)
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[Column | str], name: str, large: int | None = None) -> DataFrame:
+    """Adds ``name``: the place of each row within its key, from 1 on.
+
+    A window does it in one task a key. Rows of large keys are instead sorted
+    over all tasks by ranges of key and order, numbered in each, and the
+    numbers of rows before a range (one a range) and before a key are taken off. That table is written, as ranges
+    are drawn from a sample; equal rows may be in any order, as in a window.
+    """
+    hot, least, most = large_keys(rows, key, large)
+    plain = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")
+    if most <= least:
+        return rows.withColumn(name, plain)
+    named = [f"_key{i}" for i in range(len(key))]
+    few = rows.join(F.broadcast(hot), _is_key(key), "left_anti").withColumn(name, plain) if key else None
+    many = rows.join(F.broadcast(hot), _is_key(key)).drop(*named) if key else rows
+    by = [*[F.asc_nulls_first(k) for k in key], *order]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    held = written(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_part"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = held.join(F.broadcast(before), part == F.col("_part")).withColumn("_at", place + F.col("_before")).drop("_id", "_part", "_before")
+    if not key:
+        return at.withColumn(name, F.col("_at") + 1).drop("_at")
+    first = at.groupBy(*[F.col(k).alias(n) for k, n in zip(key, named, strict=True)]).agg(F.min("_at").alias("_first"))
+    done = at.join(F.broadcast(first), _is_key(key)).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first", *named)
+    return few.unionByName(done)
 
 
 def handed_on(cut: DataFrame, key: list[str], what: dict[str, Column], before: dict[str, Column]) -> DataFrame:
@@ -52,12 +96,10 @@ def handed_on(cut: DataFrame, key: list[str], what: dict[str, Column], before: d
     """
     sums = cut.groupBy(*key, "_bucket").agg(*[c.alias(n) for n, c in what.items()])
     w = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    named = {k: f"_key{i}" for i, k in enumerate([*key, "_bucket"])}
-    found = sums.select(*[F.col(k).alias(n) for k, n in named.items()], *[c.over(w).alias(f"_before_{n}") for n, c in before.items()])
-    match = F.lit(True)
-    for k, n in named.items():
-        match = match & F.col(k).eqNullSafe(F.col(n))
-    return cut.join(F.broadcast(found), match).drop(*named.values())
+    by = [*key, "_bucket"]
+    named = [f"_key{i}" for i in range(len(by))]
+    found = sums.select(*[F.col(k).alias(n) for k, n in zip(by, named, strict=True)], *[c.over(w).alias(f"_before_{n}") for n, c in before.items()])
+    return cut.join(F.broadcast(found), _is_key(by)).drop(*named)
 
 
 def asof_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, large: int | None = None) -> DataFrame:

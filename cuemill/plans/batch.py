@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..operators.scans import ranked
 
 
 def skip_done(items: DataFrame, outputs: DataFrame, required: DataFrame, key: str) -> DataFrame:
@@ -13,24 +14,25 @@ def skip_done(items: DataFrame, outputs: DataFrame, required: DataFrame, key: st
     return items.join(missing, key, "left_semi")
 
 
-def limit_pending(items: DataFrame, order: list[str], limit: int, by: list[str] | None = None) -> DataFrame:
+def limit_pending(items: DataFrame, order: list[str], limit: int, by: list[str] | None = None, large: int | None = None) -> DataFrame:
     """Marks pending rows after the first ``limit`` ones as skipped; other rows neither count nor change."""
     if limit <= 0:
         return items
-    w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.sum(F.when(F.col("status") == "pending", 1).otherwise(0)).over(w)
-    return items.withColumn("status", F.when((F.col("status") == "pending") & (seen > limit), "skipped").otherwise(F.col("status")))
+    waits = F.coalesce(F.col("status") == "pending", F.lit(False))
+    left = ranked(items.filter(waits), by or [], order, "_seen", large)
+    left = left.withColumn("status", F.when(F.col("_seen") > limit, "skipped").otherwise(F.col("status"))).drop("_seen")
+    return left.unionByName(items.filter(~waits))
 
 
-def output_names(items: DataFrame, folder: str, stem: str, order: list[str]) -> DataFrame:
+def output_names(items: DataFrame, folder: str, stem: str, order: list[str], large: int | None = None) -> DataFrame:
     """Adds ``output``: the stem, and from the second item of a folder with that stem (case aside) on with _0002 and so on."""
-    place = F.row_number().over(Window.partitionBy(folder, X.fold(stem)).orderBy(*order))
-    return items.withColumn("output", F.when(place == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.format_string("_%04d", place))))
+    placed = ranked(items.withColumn("_fold", X.fold(stem)), [folder, "_fold"], order, "_place", large)
+    return placed.withColumn("output", F.when(F.col("_place") == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.format_string("_%04d", "_place")))).drop("_fold", "_place")
 
 
-def round_robin(items: DataFrame, order: list[str], shares: int, by: list[str] | None = None) -> DataFrame:
+def round_robin(items: DataFrame, order: list[str], shares: int, by: list[str] | None = None, large: int | None = None) -> DataFrame:
     """Adds ``share``: rows dealt in turn."""
-    return items.withColumn("share", ((F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1) % shares).cast("int"))
+    return ranked(items, by or [], order, "_place", large).withColumn("share", ((F.col("_place") - 1) % shares).cast("int")).drop("_place")
 
 
 def failed_first_seen(results: DataFrame, path: str, order: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuemill.operators import clips as K, scans, timeline as L
+from cuemill.plans import batch as B
 
 
 def ranges(n, seed, wide=3):
@@ -96,3 +97,32 @@ def test_asof_makes_no_pairs(spark):
     assert done.filter("name = i").count() == n
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("large", [None, 50, 3])
+def test_ranks_of_large_keys(spark, large):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", "a", None]), rng.randrange(90), "s" * rng.randrange(3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k string, o int, s string").repartition(5)
+    got = {r["i"]: r["n"] for r in scans.ranked(df, ["k"], [F.desc("o"), "s", F.col("i")], "n", large).collect()}
+    for k in ("hot", "a", None):
+        own = sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[3], r[0]))
+        assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+    whole = {r["i"]: r["n"] for r in scans.ranked(df, [], ["o", "i"], "n", large).collect()}
+    assert [whole[r[0]] for r in sorted(rows, key=lambda r: (r[2], r[0]))] == list(range(1, 501))
+    assert scans.ranked(df.limit(0), ["k"], ["o"], "n", large).count() == 0
+
+
+def test_batches_of_large_keys(spark):
+    rows = [(i, "f" if i % 3 else "g", "Clip" if i % 2 else "clip", "done" if i % 5 == 0 else "pending" if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, d string, s string, status string")
+    for large in (None, 10):
+        got = {r["i"]: r["status"] for r in B.limit_pending(df, ["i"], 20, ["d"], large).collect()}
+        for d in ("f", "g"):
+            waits = [r[0] for r in rows if r[1] == d and r[3] == "pending"]
+            assert [got[i] for i in waits] == ["pending"] * 20 + ["skipped"] * (len(waits) - 20)
+        assert all(got[r[0]] == r[3] for r in rows if r[3] != "pending")
+        names = {r["i"]: r["output"] for r in B.output_names(df, "d", "s", ["i"], large).collect()}
+        assert len(set(n.lower() + rows[i][1] for i, n in names.items())) == 200 and names[0] == "clip" and names[3] == "Clip_0002"
+        shares = {r["i"]: r["share"] for r in B.round_robin(df, ["i"], 7, large=large).collect()}
+        assert [shares[i] for i in range(200)] == [i % 7 for i in range(200)]
