@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -248,24 +249,92 @@ def split_answer(text: str) -> tuple[str, str]:
     return inner.lstrip(), text[:opened]
 
 
+OPENS, CLOSES = "<think>", "</think>"
+
+
+def _begun_tag(text: str, tag: str) -> int:
+    """How many characters at a text's end begin a tag that isn't whole."""
+    return next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if text.endswith(tag[:n])), 0)
+
+
+@dataclass
+class Heard:
+    """What has to be known of an answer to go on with it: where it stands, and its last characters.
+
+    ``mode`` is before any tag, within reasoning, or behind it; ``hidden`` what
+    may begin a tag and isn't shown yet; ``tail`` the last characters, in which
+    a closing tag without an opening one may have begun; ``begun`` whether
+    anything but white space was shown of what is led by it.
+    """
+
+    mode: int = 0
+    hidden: str = ""
+    tail: str = ""
+    begun: bool = False
+
+    def add(self, delta: str, before: Callable[[], str]) -> tuple[str, str]:
+        """(what ``delta`` adds to the answer, and to the reasoning), as ``split_answer`` has them before and after it.
+
+        ``before`` gives the whole text so far; it is asked for once, where reasoning ends.
+        """
+        if self.mode == 2:
+            return self._led(delta), ""
+        seen = self.hidden + delta
+        if CLOSES in (self.tail + delta if self.mode == 0 else seen):
+            old = before()
+            (was_thought, was_said), (thought, said) = split_answer(old), split_answer(old + delta)
+            self.mode, self.hidden, self.tail, self.begun = 2, "", "", bool(said)
+            more = lambda now, was: now[len(was) :] if now.startswith(was) else now
+            return more(said, was_said), more(thought, was_thought)
+        self.tail = (self.tail + delta)[-len(CLOSES) + 1 :]
+        said = ""
+        if self.mode == 0:
+            at = seen.find(OPENS)
+            if at < 0:
+                n = _begun_tag(seen, OPENS)
+                self.hidden = seen[len(seen) - n :]
+                return seen[: len(seen) - n], ""
+            said, seen = seen[:at], seen[at + len(OPENS) :]
+            self.mode, self.begun = 1, False
+        n = _begun_tag(seen, CLOSES)
+        self.hidden = seen[len(seen) - n :]
+        return said, self._led(seen[: len(seen) - n])
+
+    def _led(self, text: str) -> str:
+        """Text without the white space that leads it."""
+        text = text if self.begun else text.lstrip()
+        self.begun = self.begun or bool(text)
+        return text
+
+
 class DeltaGatherer(StatefulProcessor):
-    """Gathers deltas of a conversation and gives out what each adds to the answer and the reasoning; an answer not added to for ``forget_s`` is forgotten."""
+    """Gathers deltas of a conversation and gives out what each adds to the answer and the reasoning; an answer not added to for ``forget_s`` is forgotten.
+
+    Deltas are appended to a list that is read once, where the reasoning ends,
+    and then dropped: each costs as much as it is long.
+    """
 
     def __init__(self, forget_s: float = 3600.0):
         self.forget_s = forget_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.text = handle.getValueState("text", "text string", ttlDurationMs=int(self.forget_s * 1000))
+        ttl = int(self.forget_s * 1000)
+        self.heard = handle.getValueState("heard", "mode int, hidden string, tail string, begun boolean", ttlDurationMs=ttl)
+        self.parts = handle.getListState("parts", "delta string", ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        text = self.text.get()[0] if self.text.exists() else ""
-        out, (reasoning, answer) = [], split_answer(text)
+        heard = Heard(*self.heard.get()) if self.heard.exists() else Heard()
+        out, new = [], []
+        whole = lambda: "".join([p[0] for p in self.parts.get()] + new)
         for seq, delta in pd.concat(list(rows)).sort_values("seq")[["seq", "delta"]].itertuples(index=False):
-            text += delta or ""
-            more, said = split_answer(text)
-            out.append((key[0], seq, said[len(answer) :] if said.startswith(answer) else said, more[len(reasoning) :] if more.startswith(reasoning) else more))
-            reasoning, answer = more, said
-        self.text.update((text,))
+            said, thought = heard.add(delta or "", whole)
+            out.append((key[0], seq, said, thought))
+            new.append(delta or "")
+        if heard.mode == 2:
+            self.parts.clear()
+        else:
+            self.parts.appendList([(d,) for d in new])
+        self.heard.update((heard.mode, heard.hidden, heard.tail, heard.begun))
         yield pd.DataFrame(out, columns=["conv_id", "seq", "answer_delta", "reasoning_delta"])
 
     def close(self) -> None:
