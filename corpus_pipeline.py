@@ -19,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     alike; other columns stay as they are.
     """
     C.ship_package(spark)
+    C.lean_workers(spark)
     return keep_good(docs)
 
 
@@ -96,6 +97,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    C.lean_workers(spark)
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = C.materialize(stage(spark, docs, sf_dir), "stage")

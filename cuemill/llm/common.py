@@ -15,23 +15,23 @@ from .. import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows and bytes of an Arrow batch, where the session has Spark's own numbers: texts may be long, and a batch is held several times over.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", 1000), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", 16 << 20)}
-#: What Python workers give back: freed memory goes to the system at once, from Arrow's buffers too.
-WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows of an Arrow batch, where the session has Spark's own number: texts may be long, and a batch is held several times over.
+BATCH_ROWS, SPARKS_BATCH_ROWS = 1000, "10000"
+#: What makes Python workers give freed memory back at once, Arrow's buffers too.
+LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, Arrow batches that long texts fit, and workers that hold no freed memory.
+    """Give the executors this package, and Arrow batches that long texts fit."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    ship.ship_package(spark)
 
-    What the session or its environment sets itself stays as it is.
-    """
-    for key, (sparks, ours) in BATCH.items():
-        if spark.conf.get(key) == sparks:
-            spark.conf.set(key, ours)
-    for key, value in WORKERS.items():
+
+def lean_workers(spark: SparkSession) -> None:
+    """Have Python workers of what is planned from now on hold no freed memory; what the environment sets itself stays."""
+    for key, value in LEAN.items():
         spark.sparkContext.environment.setdefault(key, value)
-    ship.ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,16 +65,39 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Spark's own setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage and survives the loss of executors; used where a costly
-    result feeds several later jobs.
+    result feeds several later jobs. With ``tidy`` the shuffle files that were
+    made for it go once it is written.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP, None) if tidy else None
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, rather than when the application ends."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+            df._scratch = None
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

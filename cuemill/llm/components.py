@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     changes nothing. Loops and repeated edges do no harm; no edges, no rows.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = C.materialize(now, "edges"), None
+    now, before = C.materialize(now, "edges", tidy=True), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        now = C.materialize(small.filter("u <> v").distinct(), "edges")
+        last, now = now, C.materialize(small.filter("u <> v").distinct(), "edges", tidy=True)
+        C.discard(last)
     pairs = now.groupBy("u").agg(F.min("v").alias("v"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())

@@ -285,7 +285,7 @@ def _index(docs: DataFrame) -> DataFrame:
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     dealt = keyed.mapInPandas(emit, "bucket int, kind int, blob binary").groupBy("bucket")
-    return C.materialize(dealt.applyInPandas(group, "kind int, a long, b long, c long, d long, sketch binary"), "jaccard-index")
+    return C.materialize(dealt.applyInPandas(group, "kind int, a long, b long, c long, d long, sketch binary"), "jaccard-index", tidy=True)
 
 
 def _rows(kind: int, a: list, b: list, c: list, d: list | None = None, made: list | None = None) -> pd.DataFrame:
@@ -427,41 +427,49 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """What ``near_duplicates`` gives, and ``component``: the component's number, which ids play no part in; null without words."""
+    C.lean_workers(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     index = _index(docs)
     rows = index.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("text_hash"), "sketch")
     nodes = rows.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.min("doc_id").alias("least"))
-    nodes = C.materialize(nodes, "jaccard-nodes")
+    nodes = C.materialize(nodes, "jaccard-nodes", tidy=True)
     pairs = index.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("shared"))
-    pairs = C.materialize(_by_sketch(pairs, nodes), "jaccard-pairs")
+    pairs = C.materialize(_by_sketch(pairs, nodes), "jaccard-pairs", tidy=True)
     members = index.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"))
 
     def texts_of(found: DataFrame) -> DataFrame:
         ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-        wanted = C.materialize(nodes.join(ends, "node").select("node", F.col("sample.doc_id").alias("_doc"), F.col("sample.text_hash").alias("_hash")), "jaccard-wanted")
+        wanted = C.materialize(nodes.join(ends, "node").select("node", F.col("sample.doc_id").alias("_doc"), F.col("sample.text_hash").alias("_hash")), "jaccard-wanted", tidy=True)
+        listed = wanted
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-        return C.materialize(docs.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+        texts = C.materialize(docs.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "jaccard-texts", tidy=True)
+        C.discard(listed)
+        return texts
 
     # First each set's likeliest partner, then what these links leave apart.
     texts = texts_of(pairs)
     each = pairs.select("a", "b", "shared").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     likeliest = each.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    links = C.materialize(_verify(likeliest, texts), "jaccard-links")
-    labels = C.materialize(connected_components(links), "jaccard-labels")
+    links = C.materialize(_verify(likeliest, texts), "jaccard-links", tidy=True)
+    labels = C.materialize(connected_components(links), "jaccard-labels", tidy=True)
     more = _verify(_across(pairs, labels).join(likeliest, ["a", "b"], "left_anti"), texts)
-    links = C.materialize(links.union(more), "jaccard-links")
-    labels = C.materialize(connected_components(links), "jaccard-labels")
+    first, links = links, C.materialize(links.union(more), "jaccard-links", tidy=True)
+    C.discard(first, texts, labels, pairs)
+    labels = C.materialize(connected_components(links), "jaccard-labels", tidy=True)
     if not members.isEmpty():
         for nearest in (True, True, False):
-            far = C.materialize(_large_groups(members, labels, nodes, nearest), "jaccard-far")
-            if far.isEmpty():
-                continue
-            new = C.materialize(_verify(far, texts_of(far)), "jaccard-links")
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = C.materialize(connected_components(links), "jaccard-labels")
+            far = C.materialize(_large_groups(members, labels, nodes, nearest), "jaccard-far", tidy=True)
+            if not far.isEmpty():
+                texts = texts_of(far)
+                new = C.materialize(_verify(far, texts), "jaccard-links", tidy=True)
+                C.discard(texts)
+                if not new.isEmpty():
+                    links, last = links.union(new), labels
+                    labels = C.materialize(connected_components(links), "jaccard-labels", tidy=True)
+                    C.discard(last)
+            C.discard(far)
 
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -490,12 +498,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns may have any name.
     """
     doc, of, copies, whole = C.unused(docs, "_doc", "_hash", "_copies", "_row")
-    found = C.materialize(_labelled(docs), "jaccard-found")
+    found = C.materialize(_labelled(docs), "jaccard-found", tidy=True)
     rows = found.filter("n_shingles > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     lead = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")).alias("m"))
     lead = lead.select(F.col("m.doc_id").alias(doc), F.col("m.text_hash").alias(of), F.col("m.copies").alias(copies))
     bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.lit(1).cast("long").alias(copies)).distinct()
-    lead = C.materialize(lead.union(bare), "jaccard-lead")
+    lead = C.materialize(lead.union(bare), "jaccard-lead", tidy=True)
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(of))
     once = docs.join(lead.filter(F.col(copies) == 1), same, "left_semi")
     repeated = lead.filter(F.col(copies) > 1)
