@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions import numeric as N, parsers as P, text as X, timecode as T
+from .functions import numeric as N, parsers as P, text as X
 from .operators import conversation as V, corpus as K, render as R, timeline as L
 from .plans import batch as B
 from .registry import QUERIES, SQL, query, table
