@@ -199,3 +199,17 @@ def test_very_long_texts(spark, tmp_path):
         got = {r["doc_id"]: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert set(got) == {0, 1, 2}
     assert got[0]["n_words"] == 600_000
+
+
+def test_pairs_are_verified_alike_without_broadcasts(spark, folder):
+    from cuemill.llm import jaccard_join
+
+    path, _ = folder
+    want = sorted(map(tuple, queries.op4_jaccard_join(spark, path).collect()), key=str)
+    kept, jaccard_join.BROADCAST_ROWS = jaccard_join.BROADCAST_ROWS, 0
+    try:
+        assert sorted(map(tuple, queries.op4_jaccard_join(spark, path).collect()), key=str) == want
+    finally:
+        jaccard_join.BROADCAST_ROWS = kept
+    linked = [r for r in want if r[0] is not None and r[2] != r[0]]
+    assert linked
