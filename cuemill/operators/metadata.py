@@ -68,21 +68,24 @@ def media_candidates(captions: DataFrame, entries: DataFrame, configured: DataFr
     Besides come the inputs that the document's settings name (``folder,
     source_path`` of ``configured``): 4 those of the caption's stem, 5 all of them if
     there is one alone, or the caption is named caption. Sources are media, each once, at its best rank.
+    Ranks are joins of their own, on folder and path or stem, so that no folder's captions meet all its entries.
     """
-    alone = entries.groupBy("folder").agg(F.countDistinct("entry").alias("_entries"))
-    e = entries.join(alone, "folder").select(F.col("folder"), "entry", "source_path", "_entries", identity("output_path").alias("_out"), X.fold(stem("source_path")).alias("_stem"))
-    met = captions.join(e, "folder")
-    rank = F.when(identity("caption_path") == F.col("_out"), 1).when(X.fold(stem("caption_path")) == F.col("_stem"), 2).when(F.col("_entries") == 1, 3)
-    ranked = met.withColumn("rank", rank).filter("rank IS NOT NULL")
-    best = ranked.groupBy("caption_path").agg(F.min("rank").alias("_best"))
-    kept = ranked.join(best, "caption_path").filter(F.col("rank") == F.col("_best")).select("caption_path", "source_path", "rank")
+    e = entries.select("folder", "source_path", identity("output_path").alias("_out"), X.fold(stem("source_path")).alias("_stem"))
+    c = captions.select("caption_path", "folder", identity("caption_path").alias("_id"), X.fold(stem("caption_path")).alias("_own"))
+    few = entries.groupBy("folder").agg(F.min("entry").alias("_least"), F.max("entry").alias("_most")).filter("_least = _most").select("folder")
+    met = lambda other, on, rank: c.join(other, on).select("caption_path", "source_path", F.lit(rank).alias("rank"))
+    wrote = met(e.withColumnRenamed("_out", "_id").drop("_stem"), ["folder", "_id"], 1)
+    named = met(e.withColumnRenamed("_stem", "_own").drop("_out"), ["folder", "_own"], 2)
+    only = met(e.drop("_out", "_stem").join(few, "folder"), ["folder"], 3)
+    ranked = wrote.unionByName(named).unionByName(only)
+    best = F.min("rank").over(Window.partitionBy("caption_path"))
+    kept = ranked.withColumn("_best", best).filter("rank = _best").drop("_best")
     if configured is not None:
-        named = configured.filter("source_path IS NOT NULL").select("folder", "source_path").distinct()
-        count = named.groupBy("folder").agg(F.count("*").alias("_n"))
-        own = X.fold(stem("caption_path"))
-        more = captions.join(named.join(count, "folder"), "folder")
-        later = F.when(own == X.fold(stem("source_path")), 4).when((F.col("_n") == 1) | (own == "caption"), 5)
-        kept = kept.unionByName(more.withColumn("rank", later).filter("rank IS NOT NULL").select("caption_path", "source_path", "rank"))
+        inputs = configured.filter("source_path IS NOT NULL").select("folder", "source_path").distinct().withColumn("_own", X.fold(stem("source_path")))
+        single = inputs.groupBy("folder").agg(F.count("*").alias("_n")).filter("_n = 1").select("folder")
+        plain = inputs.drop("_own")
+        kept = kept.unionByName(met(inputs, ["folder", "_own"], 4)).unionByName(met(plain.join(single, "folder"), ["folder"], 5))
+        kept = kept.unionByName(c.filter("_own = 'caption'").join(plain, "folder").select("caption_path", "source_path", F.lit(5).alias("rank")))
     kept = kept.filter(kind_of("source_path").isin("video", "audio", "image"))
     return kept.groupBy("caption_path", "source_path").agg(F.min("rank").alias("rank"))
 
