@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, timecode as T
-from .scans import repeated
+from .scans import stretches_of
 
 
 def valid(cues: Column) -> Column:
@@ -202,9 +203,10 @@ def cue_spans(texts: list[str], starts: list[float], ends: list[float], longest_
     ``least_words``.
     """
     soft = [k for k, t in enumerate(texts) if ends_clause(t)]
+    at_most = list(accumulate((len(t) + 1 for t in texts), initial=0))  # what is said is no longer than its words with a blank after each
     first = read = 0
     while first < len(texts):
-        full = lambda k: k - first + 1 >= longest_words or ends[k] - starts[first] >= longest_s or len(spoken(texts[first : k + 1])) >= longest_chars  # noqa: B023, E731
+        full = lambda k: k - first + 1 >= longest_words or ends[k] - starts[first] >= longest_s or (at_most[k + 1] - at_most[first] > longest_chars and len(spoken(texts[first : k + 1])) >= longest_chars)  # noqa: B023, E731
         last = through = next((k for k in range(read, len(texts)) if ends_sentence(texts[k]) or full(k)), len(texts) - 1)
         if read <= through and not ends_sentence(texts[through]) and full(through):
             at = bisect_right(soft, through) - 1
@@ -215,7 +217,11 @@ def cue_spans(texts: list[str], starts: list[float], ends: list[float], longest_
 
 def _cues(words: list[dict], longest_chars: int, longest_words: int, longest_s: float, least_words: int) -> list[dict]:
     heard = [w for w in words if w["text"].strip()]
-    texts, starts, ends = ([w[k] for w in heard] for k in ("text", "start_s", "end_s"))
+    return cues_of(*([w[k] for w in heard] for k in ("text", "start_s", "end_s")), longest_chars, longest_words, longest_s, least_words)
+
+
+def cues_of(texts: list[str], starts: list[float], ends: list[float], longest_chars: int, longest_words: int, longest_s: float, least_words: int) -> list[dict]:
+    """Cues of words, none of them blank."""
     spans = cue_spans(texts, starts, ends, longest_chars, longest_words, longest_s, least_words)
     return [{"start_s": starts[a], "end_s": max(starts[a], ends[b]), "text": spoken(texts[a : b + 1])} for a, b in spans]
 
@@ -238,12 +244,12 @@ def resegment_words(words: DataFrame, key: list[str], order: list[str], longest_
     before = F.coalesce(F.lag(sentence_end(F.col("text")).cast("int")).over(w), F.lit(0))
     parts = heard.withColumn("_before", before).withColumn("_part", F.sum("_before").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        cues = _cues(part[["start_s", "end_s", "text"]].to_dict("records"), longest_chars, longest_words, longest_s, least_words)
-        found = {c: pd.Series([x[c] for x in cues], dtype=object) for c in ("start_s", "end_s", "text")}
-        return pd.DataFrame({**{k: repeated(part[k].iat[0], len(cues)) for k in key}, **found})
+    @F.pandas_udf("start_s array<double>, end_s array<double>, text array<string>")
+    def cut(starts: pd.Series, ends: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        found = [cues_of(t.tolist(), s.tolist(), e.tolist(), longest_chars, longest_words, longest_s, least_words) for s, e, t in zip(starts, ends, texts, strict=True)]
+        return pd.DataFrame({c: [[x[c] for x in cues] for cues in found] for c in ("start_s", "end_s", "text")})
 
-    kinds = ", ".join(f"`{k}` {words.schema[k].dataType.simpleString()}" for k in key)
-    chosen = list(dict.fromkeys([*key, *order, "start_s", "end_s", "text", "_part"]))
-    return parts.select(*chosen).groupBy(*key, "_part").applyInPandas(cut, f"{kinds}, start_s double, end_s double, text string")
+    parts = parts.withColumns({c: F.col(c).cast("double") for c in ("start_s", "end_s") if c not in order})
+    lists = stretches_of(parts, [*key, "_part"], order, "start_s", "end_s", "text")
+    lists = lists.select(*key, cut(F.col("start_s").cast("array<double>"), F.col("end_s").cast("array<double>"), "text").alias("_c"))
+    return lists.select(*key, F.explode(F.arrays_zip("_c.start_s", "_c.end_s", "_c.text")).alias("_r")).select(*key, "_r.start_s", "_r.end_s", "_r.text")

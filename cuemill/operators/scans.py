@@ -21,6 +21,17 @@ def repeated(value: object, n: int) -> pd.Series:
     return pd.Series([value] * n, dtype=object)
 
 
+def stretches_of(rows: DataFrame, by: list[str], order: list[str], *rest: str) -> DataFrame:
+    """``by`` and an array of each other column: a row for each stretch of rows, in their order.
+
+    Python goes through such rows a batch at a time. A group of its own for
+    each stretch costs about a millisecond, which is far more than what a short one holds.
+    """
+    fields = list(dict.fromkeys([*order, *rest]))
+    lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"))
+    return lists.select(*by, *[F.col("_rows")[c].alias(c) for c in fields])
+
+
 def large_keys(rows: DataFrame, key: list[str], large: int | None = None) -> tuple[DataFrame | None, int, int]:
     """(keys with more rows than ``large``, or None without any; that bound; rows of the largest).
 

@@ -88,3 +88,20 @@ def test_sentence_ends_alike_in_columns(spark):
 def test_trainer_settings():
     assert S.trainer_seconds({"target_seconds": 0, "seconds": 3}) == 3.0 and S.trainer_seconds({"default_frames": (33, 49), "target_fps": 16}) == 33 / 16
     assert S.trainer_seconds({"frames": 81}) is None and S.trainer_seconds({}) is None and S.trainer_seconds(True) is None and S.trainer_seconds([1]) is None
+
+
+def test_sentences_are_no_groups_of_their_own(spark, capsys):
+    rows = [("a", i, float(i), i + 1.0, w) for i, w in enumerate("One two. Three --> four! Five".split())]
+    got = R.resegment_words(spark.createDataFrame(rows, "k string, i int, start_s double, end_s double, text string"), ["k"], ["i"])
+    assert [tuple(r) for r in got.orderBy("start_s").collect()] == [("a", 0.0, 2.0, "One two."), ("a", 2.0, 5.0, "Three -> four!"), ("a", 5.0, 6.0, "Five")]
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+
+
+def test_a_long_sentence_is_measured_once(monkeypatch):
+    calls = []
+    whole = R.spoken
+    monkeypatch.setattr(R, "spoken", lambda words: calls.append(len(words)) or whole(words))
+    words = ["word"] * 2000
+    assert list(R.cue_spans(words, [0.0] * 2000, [0.0] * 2000, 1 << 30, 1 << 30, 1e9, 4)) == [(0, 1999)] and not calls
+    assert list(R.cue_spans(words, [0.0] * 2000, [0.0] * 2000, 49, 1 << 30, 1e9, 4))[:2] == [(0, 9), (10, 19)]
