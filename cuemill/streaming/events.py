@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.scans import repeated, split_keys
+from ..operators.scans import repeated, split_keys, stretches_of
 
 
 def without_repeats(df: DataFrame, key: list[str], ts: str, seconds: float = 0.5) -> DataFrame:
@@ -138,14 +138,14 @@ def throttled_last(df: DataFrame, key: list[str], ts: str, value: str, seconds:
     rows = rows.withColumn("_new", F.when(F.col("us") - F.lag("us").over(order) < 2 * step, 0).otherwise(1))
     rows = rows.withColumn("_part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["us", value], na_position="first")
-        out, _, _ = _shown(part["us"].tolist(), part[value].tolist(), step)
-        found = {"us": [t for t, _, _ in out], value: pd.Series([v for _, v, _ in out], dtype=object), "held": [h for _, _, h in out]}
-        return pd.DataFrame({**{k: repeated(part[k].iat[0], len(out)) for k in key}, **found})
+    @F.pandas_udf("us array<long>, place array<int>, held array<boolean>")
+    def shown(times: pd.Series) -> pd.DataFrame:
+        found = [_shown(ts.tolist(), range(len(ts)), step)[0] for ts in times]
+        return pd.DataFrame({c: [[x[i] for x in out] for out in found] for i, c in enumerate(("us", "place", "held"))})
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
-    return rows.groupBy(*key, "_part").applyInPandas(one, f"{kinds}, us long, `{value}` {df.schema[value].dataType.simpleString()}, held boolean")
+    lists = stretches_of(rows, [*key, "_part"], ["us", value]).select(*key, F.col(value).alias("_values"), shown("us").alias("_s"))
+    each = lists.select(*key, "_values", F.explode(F.arrays_zip("_s.us", "_s.place", "_s.held")).alias("_e"))
+    return each.select(*key, "_e.us", F.get("_values", "_e.place").alias(value), "_e.held")
 
 
 class HeldThrottle(StatefulProcessor):

@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-
+from pyspark.sql import functions as F
 
 from cuemill.streaming import events as E
 
@@ -108,3 +108,12 @@ def test_events_let_through_on_a_dense_key(spark, large):
             zero = min(r["us"] for r in got)
             first = min(t for x, t in rows if t is not None)
             assert sorted((r["us"] - zero) for r in got if r["k"] == k) == [round((t - first).total_seconds() * 1e6) for t in want], (k, seconds)
+
+
+def test_stretches_are_no_groups_of_their_own(spark, capsys):
+    rows = [("a", 1, None), ("a", 1, "x"), ("a", 3, "y"), (None, 50, "z"), ("a", 100, "w")]
+    df = spark.createDataFrame(rows, "k string, t int, value string").select("k", F.timestamp_seconds("t").alias("ts"), "value")
+    got = E.throttled_last(df, ["k"], "ts", "value", 7.0)
+    assert sorted((r["us"] // 1_000_000, r["k"], r["value"], r["held"]) for r in got.collect()) == [(1, "a", None, False), (8, "a", "y", True), (50, None, "z", False), (100, "a", "w", False)]
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
