@@ -189,12 +189,13 @@ def merge_short(df: DataFrame, key: str, least: float) -> DataFrame:
     cut = F.when(long & F.coalesce(F.lag(long).over(w), F.lit(False)), 1).otherwise(0)
     parts = clean.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        rows = _merged_short(sorted(zip(part["start_s"].tolist(), part["end_s"].tolist(), strict=True)), least)
-        return pd.DataFrame({key: scans.repeated(part[key].iat[0], len(rows)), "start_s": [r[0] for r in rows], "end_s": [r[1] for r in rows]})
+    @F.pandas_udf("start_s array<double>, end_s array<double>")
+    def merged(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        found = [_merged_short(list(zip(s.tolist(), e.tolist(), strict=True)), least) for s, e in zip(starts, ends, strict=True)]
+        return pd.DataFrame({c: [[r[i] for r in rows] for rows in found] for i, c in enumerate(("start_s", "end_s"))})
 
-    kind = df.schema[key].dataType.simpleString()
-    return parts.drop("_cut").groupBy(key, "_part").applyInPandas(one, f"`{key}` {kind}, start_s double, end_s double")
+    lists = scans.stretches_of(parts, [key, "_part"], ["start_s", "end_s"]).select(key, merged("start_s", "end_s").alias("_m"))
+    return lists.select(key, F.explode(F.arrays_zip("_m.start_s", "_m.end_s")).alias("_r")).select(key, "_r.start_s", "_r.end_s")
 
 
 @dataclass
@@ -277,18 +278,22 @@ def speech_ranges(df: DataFrame, key: str, step_s: float, on: float = 0.5, off:
         cut = scans.handed_on(cut, [key], {"reset": F.max("_reset")}, {"reset": F.max("reset")})
         parts = parts.unionByName(cut.withColumn("_part", F.coalesce(last([key, "_bucket"]), F.col("_before_reset"))).select(key, "frame", "p", "_part"))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
+    def heard(frames: list[int], loudness: list[float]) -> list[tuple[float, float]]:
         ear = Hearing(on, off, least_speech_s, least_silence_s, limit, edge_s)
-        for f, p in zip(part["frame"].tolist(), part["p"].tolist(), strict=True):
+        for f, p in zip(frames, loudness, strict=True):
             ear.hear(f * step_s, p)
-        end = (int(part["frame"].iat[-1]) + 1) * step_s
+        end = (frames[-1] + 1) * step_s
         if ear.begun is not None and end - ear.begun > least_speech_s:
             ear.close(end)
-        return pd.DataFrame({key: scans.repeated(part[key].iat[0], len(ear.found)), "start_s": [s for s, _ in ear.found], "end_s": [e for _, e in ear.found]})
+        return ear.found
 
-    kind = df.schema[key].dataType.simpleString()
-    found = parts.groupBy(key, "_part").applyInPandas(one, f"`{key}` {kind}, start_s double, end_s double")
+    @F.pandas_udf("start_s array<double>, end_s array<double>")
+    def speech(frames: pd.Series, loudness: pd.Series) -> pd.DataFrame:
+        found = [heard(f.tolist(), p.tolist()) for f, p in zip(frames, loudness, strict=True)]
+        return pd.DataFrame({c: [[r[i] for r in ranges] for ranges in found] for i, c in enumerate(("start_s", "end_s"))})
+
+    lists = scans.stretches_of(parts, [key, "_part"], ["frame"], "p").select(key, speech("frame", "p").alias("_s"))
+    found = lists.select(key, F.explode(F.arrays_zip("_s.start_s", "_s.end_s")).alias("_r")).select(key, "_r.start_s", "_r.end_s")
     ends = rows.groupBy(F.col(key).alias("_key")).agg(((F.max("frame") + 1) * step_s).alias("_end"))
     found = found.join(ends, F.col(key).eqNullSafe(F.col("_key")))
     w = Window.partitionBy(key).orderBy("start_s")

@@ -166,3 +166,12 @@ def test_documents_above_captions(spark):
     settings = spark.createDataFrame([("old", "1"), ("new", "2"), ("odd", "3")], "key string, value string")
     mapped = G.map_keys(settings, spark.createDataFrame([("old", "new"), ("odd", "even")], "stored string, key string"), spark.createDataFrame([("new",), ("even",)], "key string"))
     assert sorted(tuple(r) for r in mapped.collect()) == [("even", "3"), ("new", "2")]
+
+
+def test_short_ranges_and_speech_are_no_groups_of_their_own(spark, capsys):
+    rows = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.0, 9.0), (1, 9.0, 18.0), (None, 3.0, 4.0)], "k int, start_s double, end_s double")
+    got = L.merge_short(rows, "k", 2.0)
+    assert sorted((r["k"] or 0, r["start_s"], r["end_s"]) for r in got.collect()) == [(0, 3.0, 4.0), (1, 0.0, 9.0), (1, 9.0, 18.0)]
+    got.explain()
+    L.speech_ranges(spark.createDataFrame([(1, 0, 0.9)], "k int, frame int, p double"), "k", 0.1).explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
