@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .text import ColumnOrName, col, let
+from .timecode import fixed
 
 #: Trainer targets. Frame counts are ``multiple * k + offset``.
 TRAINER_TARGETS = {
@@ -141,16 +142,16 @@ def memory_tier(gb: ColumnOrName) -> Column:
 def reject_reasons(duration: ColumnOrName, black: ColumnOrName, static: ColumnOrName, sharpness: ColumnOrName, silence: ColumnOrName, has_video: Column, has_audio: Column, *, min_duration: float = 1.0, max_black: float = 0.8, max_static: float = -1.0, min_sharpness: float = 0.0, require_audio: bool = False, max_silence: float = 1.0) -> Column:
     """Why a clip is rejected, with what was measured and the bound, in a fixed order; empty if it is not. Picture rules need a picture, the silence rule sound."""
     d, b, s, h, q = (col(c) for c in (duration, black, static, sharpness, silence))
-    measured = lambda said, value, bound: F.format_string(said, value.cast("double"), F.lit(float(bound)))
-    share = lambda said, value, bound: measured(said, value * 100, 100 * bound)
+    measured = lambda said, value, bound, digits=2: F.format_string(said, fixed(value, digits), F.lit(f"{float(bound):.{digits}f}"))
+    share = lambda said, value, bound: measured(said, value * 100, 100 * bound, 1)
     none = F.lit(None).cast("string")
     rules = [
-        F.when(d + 1e-9 < max(0.0, min_duration), measured("too short (%.2fs < %.2fs)", d, min_duration)),
-        F.when(has_video & (b > max_black), share("mostly black (%.1f%% > %.1f%%)", b, max_black)),
-        F.when(has_video & (s <= max_static), measured("too static (frame difference %.3f <= %.3f)", s, max_static)) if max_static >= 0 else none,
-        F.when(has_video & (h < max(0.0, min_sharpness)), measured("low sharpness (%.2f < %.2f)", h, min_sharpness)),
+        F.when(d + 1e-9 < max(0.0, min_duration), measured("too short (%ss < %ss)", d, min_duration)),
+        F.when(has_video & (b > max_black), share("mostly black (%s%% > %s%%)", b, max_black)),
+        F.when(has_video & (s <= max_static), measured("too static (frame difference %s <= %s)", s, max_static, 3)) if max_static >= 0 else none,
+        F.when(has_video & (h < max(0.0, min_sharpness)), measured("low sharpness (%s < %s)", h, min_sharpness)),
         F.when(~has_audio, "audio track required") if require_audio else none,
-        F.when(has_audio & (q > max_silence), share("mostly silent (%.1f%% > %.1f%%)", q, max_silence)),
+        F.when(has_audio & (q > max_silence), share("mostly silent (%s%% > %s%%)", q, max_silence)),
     ]
     return F.array_compact(F.array(*rules))
 

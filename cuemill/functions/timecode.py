@@ -58,12 +58,39 @@ def duration_text(seconds: ColumnOrName) -> Column:
     return F.when(s >= 3600, F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s / 60) % 60)).when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
 
 
+def fixed(value: ColumnOrName, digits: int) -> Column:
+    """A number with 1 to 3 decimals as C and Python print it: its binary value to the nearest, halves to even.
+
+    Spark's own formatting goes by the shortest decimal form and takes halves
+    up. Each step here is exact: a fraction in two halves of 26 bits, and how
+    far the lower one lies from the tie.
+    """
+    k = 10**digits
+
+    def split(v: Column) -> Column:
+        whole = F.floor(F.abs(v))
+        rest = F.abs(v) - whole
+        high = F.floor(rest * 2.0**26) / 2.0**26
+        return F.struct(whole.alias("whole"), high.alias("high"), (rest - high).alias("low"))
+
+    def rounded(x: Column) -> Column:
+        n = F.floor(x["high"] * k)
+        tie = (0.5 - (x["high"] * k - n)) / k
+        return x["whole"] * k + n + F.when((x["low"] > tie) | ((x["low"] == tie) & (n % 2 == 1)), 1).otherwise(0)
+
+    def text(v: Column) -> Column:
+        shown = F.regexp_replace(F.format_string(f"%0{digits + 1}d", let(split(v), rounded)), rf"(.{{{digits}}})$", ".$1")
+        return F.when(F.abs(v) < 2.0**53, F.concat(F.when(v.cast("string").startswith("-"), "-").otherwise(""), shown)).when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
+
+    return let(col(value).cast("double"), text)
+
+
 def bytes_text(size: ColumnOrName) -> Column:
     """Sizes in B, KB, MB, GB, TB of 1024 each, one decimal from KB on."""
     b = F.greatest(col(size).cast("double"), F.lit(0.0))
     out = F.format_string("%d B", b.cast("long"))
     for unit, k in (("KB", 1), ("MB", 2), ("GB", 3), ("TB", 4)):
-        out = F.when(b >= float(1024**k), F.format_string(f"%.1f {unit}", b / float(1024**k))).otherwise(out)
+        out = F.when(b >= float(1024**k), F.concat(fixed(b / float(1024**k), 1), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

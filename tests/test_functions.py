@@ -135,3 +135,13 @@ def test_answers(spark):
     assert apply(spark, [fenced], lambda c: P.process("timechat_flatten_wan", c)) == ["A cat. still."]
     with pytest.raises(KeyError):
         P.process("unknown", F.lit(""))
+
+
+def test_decimals_are_those_of_the_binary_value(spark):
+    rng = random.Random(5)
+    values = [0.25, 0.35, 0.75, 1.25, 2.675, 0.0005, 0.0015, 1.0005, 1023.96, -0.25, -0.04, 0.0, 9007199254740991.0, 1e15 + 0.25]
+    values += [rng.randrange(-40000, 40000) / 2 ** rng.randrange(12) for _ in range(500)] + [rng.randrange(100000) / 1000 for _ in range(500)]
+    for digits in (1, 2, 3):
+        assert apply(spark, values, lambda c: T.fixed(c, digits), "double") == [f"{v:.{digits}f}" for v in values]  # noqa: B023
+    assert apply(spark, [1280.0, 1.35 * 1024, 1023.96 * 1024**2, 2.25 * 1024**4], lambda c: T.bytes_text(c), "double") == ["1.2 KB", "1.4 KB", "1024.0 MB", "2.2 TB"]
+    assert apply(spark, [4.5e18, float("inf"), None], lambda c: T.fixed(c, 1), "double") == ["4500000000000000000.0", "Infinity", None]
