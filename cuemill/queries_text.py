@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import labels as B, parsers as P, text as X, timecode as T
 from .operators import corpus as K, render as R
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.lit('{"timestamp":"6 - 1:12","segment_detail_caption":"It stops!","camera_state":"","storyline":"The  end","speech_content":"bye","acoustics_content":""}')
     whole = F.concat(F.lit("["), one, F.lit(","), two, F.lit("]"))
     answer = F.when(k == 0, whole).when(k == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 2, F.concat(F.lit("["), one, F.lit(","), two, F.lit(",]"))).when(k == 3, F.concat(F.lit("Here: "), whole, F.lit(" done"))).otherwise(F.concat(F.lit("["), one, F.lit(',{"timestamp":"6-')))
-    return table(spark, sf_dir, "part").select("p_partkey", P.scenes(answer).alias("s"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", P.scenes(answer).alias("s"))
 
 
 _TWO = "p_partkey % 5 <> 4"

@@ -95,3 +95,9 @@ def test_streams(spark, tmp_path):
     logs.coalesce(1).write.parquet(str(tmp_path / "logs"))
     kept = run(E.gate_stream(spark.readStream.schema(logs.schema).parquet(str(tmp_path / "logs")), ["k"]), "gated", tmp_path)
     assert sorted(r["i"] for r in kept.collect()) == sorted(r["i"] for r in E.without_repeats(logs, ["k"], "ts").collect())
+
+
+@pytest.mark.parametrize("name", ["scene_texts", "scene_subtitles", "fitted_sizes"])
+def test_rows_of_a_small_file_go_to_all_tasks(spark, name):
+    found = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
