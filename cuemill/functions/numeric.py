@@ -15,6 +15,8 @@ TRAINER_TARGETS = {
     "minimax_h3": {"multiple": 17, "offset": 5, "frames": 124, "fps": 24.0, "min": 124, "max": 345, "recommended": list(range(124, 346, 17)), "buckets": {"480p": (832, 480), "720p": (1280, 736), "1080p": (1920, 1088)}, "pixels": 32},
     "custom": {"multiple": 1, "offset": 0, "frames": 1, "fps": 24.0, "min": 1, "max": 100_000, "recommended": [1], "buckets": {"480p": (854, 480), "720p": (1280, 720), "1080p": (1920, 1080)}, "pixels": 2},
 }
+#: Heights in tiles that are all tried, at most.
+FEW_TILES = 100
 #: Memory tiers in GB.
 MEMORY_TIERS = (6, 8, 10, 12, 16, 24, 32, 48, 80, 96)
 
@@ -183,7 +185,8 @@ def best_tiles(least: Column, most: Column, ratio: Column, area: Column) -> Colu
     rises beyond it, and no more than the root of ``most`` heights or widths are
     small. So the heights up to that root are tried, and for each width up to it
     the heights around the ideal one and at the ends of those at which a bound
-    gives that width; besides those where the bounds begin to hold. That is a few times the root, not all heights.
+    gives that width; besides those where the bounds begin to hold. That is a few times the root, not all heights;
+    where these are no more than FEW_TILES, all are tried. Drifts are rounded where they may tie.
     """
     root = F.ceil(F.sqrt(most)).cast("int") + 1
     one_to = F.transform(F.sequence(F.lit(1), root), lambda i: i.cast("double"))
@@ -195,14 +198,18 @@ def best_tiles(least: Column, most: Column, ratio: Column, area: Column) -> Colu
         return F.array(*near, *ends)
 
     turning = F.array(*[F.floor(F.sqrt(a / ratio)).cast("double") + d for a in (least, most) for d in range(-3, 5)])
-    heights = F.array_distinct(F.concat(one_to, F.flatten(F.transform(one_to, around)), turning))
+    every = F.transform(F.sequence(F.lit(1), most.cast("int")), lambda i: i.cast("double"))
+    heights = F.when(most <= FEW_TILES, every).otherwise(F.array_distinct(F.concat(one_to, F.flatten(F.transform(one_to, around)), turning)))
 
-    def drift(h: Column) -> Column:
-        w = _tiles_at(h, least, most, ratio)
+    def drift(h: Column, w: Column) -> Column:
         score = F.abs(F.log(w / h / ratio)) * 10.0 + F.abs(F.log(h * w / area))
-        return F.when(w.isNotNull(), F.struct(F.round(score, 10).alias("s"), h.cast("int").alias("h"), w.cast("int").alias("w")))
+        return F.when(w.isNotNull(), F.struct(score.alias("s"), h.cast("int").alias("h"), w.cast("int").alias("w")))
 
-    return F.array_min(F.array_compact(F.transform(F.filter(heights, lambda h: (h >= 1) & (h <= most)), drift)))
+    def least_drift(found: Column) -> Column:
+        near = let(F.array_min(found)["s"] + 2e-10, lambda bound: F.filter(found, lambda x: x["s"] <= bound))
+        return F.array_min(F.transform(near, lambda x: F.struct(F.round(x["s"], 10).alias("s"), x["h"].alias("h"), x["w"].alias("w"))))
+
+    return let(F.array_compact(F.transform(F.filter(heights, lambda h: (h >= 1) & (h <= most)), lambda h: let(_tiles_at(h, least, most, ratio), lambda w: drift(h, w)))), least_drift)
 
 
 def fitted_size(height: ColumnOrName, width: ColumnOrName, factor: int, min_pixels: int | None, max_pixels: int | None) -> Column:
@@ -234,8 +241,8 @@ def fitted_size(height: ColumnOrName, width: ColumnOrName, factor: int, min_pixe
         wanted = F.greatest(h * w, F.lit(float(min_pixels or 1)))
         wanted = F.least(wanted, F.lit(float(max_pixels))) if max_pixels is not None else F.least(wanted, h * w)
         best = best_tiles(least, most, w / F.greatest(h, F.lit(1.0)), wanted / tile)
-        tiles = F.struct((best["h"] * factor).cast("int").alias("height"), (best["w"] * factor).cast("int").alias("width"))
-        return F.when(fine, F.struct(s["h"].cast("int").alias("height"), s["w"].cast("int").alias("width"))).otherwise(F.when(best.isNotNull(), tiles))
+        tiles = lambda x: F.when(x.isNotNull(), F.struct((x["h"] * factor).cast("int").alias("height"), (x["w"] * factor).cast("int").alias("width")))
+        return F.when(fine, F.struct(s["h"].cast("int").alias("height"), s["w"].cast("int").alias("width"))).otherwise(let(best, tiles))
 
     start = F.struct(whole(h, F.bround).alias("h"), whole(w, F.bround).alias("w"))
     return F.when((h > 0) & (w > 0), let(start, lambda a: let(bounded(a), lambda b: let(raised(b), chosen))))

@@ -8,7 +8,7 @@ from .functions import numeric as N
 from .operators import sidecars as C
 from .plans import merging as G, settings as P
 from .queries import _STAMP
-from .registry import query, table
+from .registry import query, spread, table
 
 _RULES = G.CaptionRules(json=False, clear=True)
 
@@ -141,5 +141,5 @@ SELECT o_orderkey, CASE WHEN h3 * w3 BETWEEN 28000 AND 30000 THEN h3 ELSE m.h *
 def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures between 28000 and 30000 pixels in tiles of 28, wide ones among them, against a scan of all heights."""
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", N.fitted_size(20 + k * 7 % 300, 200 + k % 1900, 28, 28_000, 30_000).alias("s"))
+    o = spread(table(spark, sf_dir, "orders")).select("o_orderkey", N.fitted_size(20 + k * 7 % 300, 200 + k % 1900, 28, 28_000, 30_000).alias("s"))
     return o.select("o_orderkey", "s.height", "s.width")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,11 @@ def test_sizes_within_bounds(spark):
             assert got[i] == (full(h, w, factor, least, most) if h else None), (h, w, factor, least, most)
     with pytest.raises(ValueError):
         N.fitted_size("h", "w", 28, 500, 400)
+
+
+def test_the_best_tiles_are_looked_for_once(spark):
+    df = spark.createDataFrame([(i, 20 + i * 7 % 300, 200 + i * 13 % 1900) for i in range(400)], "i int, h int, w int").select("i", "h", "w", N.fitted_size("h", "w", 28, 28_000, 30_000).alias("s"))
+    for r in df.collect():
+        assert (r["s"]["height"], r["s"]["width"]) == full(r["h"], r["w"], 28, 28_000, 30_000)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?<![a-z])round\(", plan)) == 1
