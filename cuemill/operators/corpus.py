@@ -29,9 +29,13 @@ def summary(df: DataFrame, text: str, trigger: str = "", failed: Column | None =
     return out.withColumn("trigger_coverage_pct", F.when(F.col("captioned") > 0, 100.0 * F.col("trigger_hits") / F.col("captioned")).otherwise(0.0))
 
 
+def _hashed(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_hash``, never null, of a text but for case and spacing."""
+    return df.withColumn("_hash", F.coalesce(F.sha2(X.fold(X.collapse(text)), 256), F.lit("")))
+
+
 def _keyed(df: DataFrame, text: str) -> DataFrame:
-    keyed = df.withColumn("_key", X.fold(X.collapse(text))).filter("_key <> ''")
-    return keyed.withColumn("_hash", F.sha2("_key", 256)).drop("_key")
+    return _hashed(df.filter(F.col(text).rlike(r"(?U)\S")), text)
 
 
 def duplicate_groups(df: DataFrame, text: str, order: str, limit: int | None = None) -> DataFrame:
@@ -39,10 +43,12 @@ def duplicate_groups(df: DataFrame, text: str, order: str, limit: int | None = N
 
     Groups by a hash of the key; a group shows its first text in ``order``, of
     several rows with that one the least. ``duplicate_members`` gives the rows.
+    Texts are folded once to be grouped, and then those alone that a group may begin with.
     """
     keyed = _keyed(df, text)
     groups = keyed.groupBy("_hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
-    texts = keyed.select(F.col("_hash"), F.col(order).alias("first"), F.trim(F.col(text)).alias("caption"))
+    begun = df.select(F.col(order).alias("first"), F.col(text).alias("_text")).join(groups.select("first").distinct(), "first", "left_semi")
+    texts = _hashed(begun, "_text").select("_hash", "first", F.trim("_text").alias("caption"))
     out = groups.join(texts, ["_hash", "first"]).groupBy("_hash", "n", "first").agg(F.min("caption").alias("caption")).select("caption", "n", "first")
     return out if limit is None else out.orderBy(F.desc("n"), X.fold("caption")).limit(limit)
 
