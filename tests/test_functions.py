@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuemill.functions import numeric as N, parsers as P, text as X, timecode as T
+from cuemill.operators import corpus as K
 
 
 def column(spark, values, kind="string"):
@@ -145,3 +146,16 @@ def test_decimals_are_those_of_the_binary_value(spark):
         assert apply(spark, values, lambda c: T.fixed(c, digits), "double") == [f"{v:.{digits}f}" for v in values]  # noqa: B023
     assert apply(spark, [1280.0, 1.35 * 1024, 1023.96 * 1024**2, 2.25 * 1024**4], lambda c: T.bytes_text(c), "double") == ["1.2 KB", "1.4 KB", "1024.0 MB", "2.2 TB"]
     assert apply(spark, [4.5e18, float("inf"), None], lambda c: T.fixed(c, 1), "double") == ["4500000000000000000.0", "Infinity", None]
+
+
+def test_captions_are_cut_and_bound_once(spark):
+    df = column(spark, ["One.  Two\n\ntwo.\nOne.   \n Three \t\n" + " " * 60 + "\nEnd… One!", None, ""])
+    found = [r["t"] for r in df.select("i", X.sentence_chunks("v").alias("t")).orderBy("i").collect()]
+    assert found[0] == re.split(r"(?<=[.!?…])(?=\s)|(?=[\r\n])" + "(?:" + "|".join(rf"(?<=[^\s.!?…][ \t]{{{n}}})" for n in range(51)) + ")", "One.  Two\n\ntwo.\nOne.   \n Three \t\n" + " " * 60 + "\nEnd… One!")
+    done = df.select(X.finalize_caption("v", prefix="A", replace=("x", "y"), collapse_whitespace=True, max_length=40).alias("t"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("sort_array") <= 2
+    dup = df.select(F.lit("a A").alias("t"), "i").unionByName(df.select(F.lit(" A  a").alias("t"), (F.col("i") + 10).alias("i")))
+    out = K.duplicate_groups(dup, "t", "i")
+    assert [tuple(r) for r in out.collect()] == [("a A", 6, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "lower(" in line]
