@@ -26,10 +26,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt over all tasks: a small file is read by one or a few, however much is done with each row."""
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all tasks, by columns if any are given: a small file is read by one or a few, however much is done with each row."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,13 +7,14 @@ Both are Python data sources. Paths are URIs that pyarrow knows (``file:``,
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import pandas as pd
 from pyarrow import fs as pafs
@@ -22,15 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..registry import spread
 from ..ship import ship_package
 
 #: Where files stand until their job commits; Spark's readers pass over names that begin so.
 PENDING = "_pending"
-#: Files that the driver moves at once.
-MOVERS = 16
+#: Files that the driver moves at once, and files of one list, which a task moves.
+MOVERS, LISTED = 16, 2000
+#: Rows and bytes or so of a batch that a task gives out.
+ROWS, BYTES = 10_000, 8 << 20
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
+def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in folder and not folder.startswith("file:"):
         return pafs.LocalFileSystem(), folder
     return pafs.FileSystem.from_uri("file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder)
@@ -58,10 +62,12 @@ class FileWriter(DataSourceWriter):
 
     A task writes into a folder of its own attempt, and at its end a list of
     its files. Only when all tasks have ended does the driver move the files of
-    the attempts that count to their places, each by one rename; so neither a
+    the attempts that count to their places, each at once; so neither a
     task that is killed nor a job that fails leaves a half file, or any. With
-    ``commit=task`` a task moves its own files when it ends, which suits very
-    many files; a job that fails may then leave whole files, never half ones.
+    ``commit=task`` a task moves its own files when it ends; a job that fails
+    may then leave whole files, never half ones. With ``commit=held`` and a
+    ``job`` of the caller's the files stay pending until ``place`` has the
+    tasks of a second Spark job move them, as ``write_files`` does.
     """
 
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
@@ -69,15 +75,15 @@ class FileWriter(DataSourceWriter):
             raise ValueError("give the folder as path")
         if not {"path", "content"} <= set(schema.names):
             raise ValueError("a row needs path and content")
-        self.folder, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
-        self.by_task = options.get("commit", "job") == "task"
+        self.folder, self.overwrite, self.job = options["path"], overwrite, options.get("job") or uuid.uuid4().hex
+        self.by_task, self.held = (options.get("commit", "job") == x for x in ("task", "held"))
         if self.by_task and overwrite:
             raise ValueError("commit=task can't overwrite a folder")
         store, _, job = self._places()
         store.create_dir(job, recursive=True)
 
     def _places(self) -> tuple[pafs.FileSystem, str, str]:
-        store, root = _open(self.folder)
+        store, root = open_folder(self.folder)
         return store, root, f"{root}/{PENDING}/{self.job}"
 
     def write(self, iterator: Iterator) -> Written:
@@ -96,31 +102,81 @@ class FileWriter(DataSourceWriter):
             with store.open_output_stream(f"{job}/{attempt}/{held}") as out:
                 out.write(data)
             files[path] = held, len(data)
+        moves, made = ([held, path] for path, (held, _) in files.items()), set()
         if self.by_task:
-            for path, (held, _) in files.items():
-                self._move(store, f"{job}/{attempt}/{held}", f"{root}/{path}")
+            for held, path in moves:
+                self._move(store, f"{job}/{attempt}/{held}", f"{root}/{path}", made)
         else:
-            with store.open_output_stream(f"{job}/{attempt}/files.jsonl") as out:
-                for path, (held, _) in files.items():
-                    out.write((json.dumps([held, path]) + "\n").encode())
+            for k in range(0, len(files), LISTED):
+                with store.open_output_stream(f"{job}/{attempt}/files-{k // LISTED}.jsonl") as out:
+                    out.write("".join(json.dumps(x) + "\n" for x in islice(moves, LISTED)).encode())
         return Written(attempt, len(files), sum(n for _, n in files.values()))
 
     @staticmethod
-    def _move(store: pafs.FileSystem, held: str, place: str) -> None:
-        store.create_dir(posixpath.dirname(place), recursive=True)
+    def _move(store: pafs.FileSystem, held: str, place: str, made: set[str]) -> None:
+        folder = posixpath.dirname(place)
+        if folder not in made:
+            store.create_dir(folder, recursive=True)
+            made.add(folder)
+        if isinstance(store, pafs.LocalFileSystem):
+            # Renames between folders wait for one another on a Linux disk; new names for a file don't.
+            try:
+                os.link(held, place)
+                os.unlink(held)
+                return
+            except FileNotFoundError:
+                raise
+            except OSError:  # the place is taken, or the disk has no links
+                pass
         store.move(held, place)
 
+    @staticmethod
+    def _listed(store: pafs.FileSystem, attempt: str, number: int) -> list[list[str]]:
+        with store.open_input_stream(f"{attempt}/files-{number}.jsonl") as listed:
+            return [json.loads(line) for line in listed.read().splitlines()]
+
     def commit(self, messages: list[Written | None]) -> None:
         store, root, job = self._places()
+        if self.held:
+            with store.open_output_stream(f"{job}/attempts.json") as out:
+                out.write(json.dumps([[m.attempt, m.files] for m in messages if m is not None]).encode())
+            return
         if self.overwrite:
             self._set_aside(store, root, f"{job}/old")
+        made: set[str] = set()
         with ThreadPoolExecutor(MOVERS) as pool:
             for m in messages:
                 if m is None or self.by_task:
                     continue
-                with store.open_input_stream(f"{job}/{m.attempt}/files.jsonl") as listed:
-                    moves = [json.loads(line) for line in listed.read().splitlines()]
-                list(pool.map(lambda x, m=m: self._move(store, f"{job}/{m.attempt}/{x[0]}", f"{root}/{x[1]}"), moves))
+                for k in range(-(-m.files // LISTED)):
+                    moves = self._listed(store, f"{job}/{m.attempt}", k)
+                    list(pool.map(lambda x, m=m: self._move(store, f"{job}/{m.attempt}/{x[0]}", f"{root}/{x[1]}", made), moves))
+        self._clean(store, root, job)
+
+    def place(self, spark: SparkSession) -> None:
+        """Move the files of a job written with ``commit=held`` to their places, a list of LISTED files at a time, by tasks."""
+        store, root, job = self._places()
+        if self.overwrite:
+            self._set_aside(store, root, f"{job}/old")
+        with store.open_input_stream(f"{job}/attempts.json") as listed:
+            attempts = [x for x in json.loads(listed.read()) if x[1]]
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            store, root, job = self._places()
+            made: set[str] = set()
+            for batch in batches:
+                for attempt, number in zip(batch["attempt"], batch["number"], strict=True):
+                    for held, path in self._listed(store, f"{job}/{attempt}", number):
+                        try:
+                            self._move(store, f"{job}/{attempt}/{held}", f"{root}/{path}", made)
+                        except FileNotFoundError:  # an attempt of this task that was lost has moved it
+                            if store.get_file_info(f"{root}/{path}").type != pafs.FileType.File:
+                                raise
+                yield pd.DataFrame({"lists": [len(batch)]})
+
+        if attempts:
+            lists = spark.createDataFrame(attempts, "attempt string, files long").select("attempt", F.explode(F.sequence(F.lit(0), F.expr(f"(files - 1) div {LISTED}"))).alias("number"))
+            spread(lists).mapInPandas(task, "lists long").agg(F.sum("lists")).collect()
         self._clean(store, root, job)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -197,7 +253,7 @@ class FileReader(DataSourceReader):
         return out
 
     def read(self, partition: Whole) -> Iterator[tuple[str, bytes]]:
-        store, root = _open(self.folder)
+        store, root = open_folder(self.folder)
         for file in partition.files:
             with store.open_input_stream(f"{root}/{file}") as f:
                 yield file, f.read()
@@ -210,18 +266,90 @@ def last_of_path(files: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str, mode: str = "append", order: str | None = None, commit: str = "job") -> None:
-    """Write rows of ``path, content`` as files of a folder, each whole or not at all; of rows with one path the last by ``order`` counts."""
+    """Write rows of ``path, content`` as files of a folder, each whole or not at all; of rows with one path the last by ``order`` counts.
+
+    With ``commit="job"`` no file is in its place before all are written; then
+    the tasks of a second job move them.
+    """
     spark = files.sparkSession
     ship_package(spark)
     spark.dataSource.register(FileSink)
-    last_of_path(files, order).write.format("row_files").mode(mode).option("commit", commit).save(folder)
+    # The work is by files, however few bytes these have: they are dealt to a set number of tasks.
+    rows = last_of_path(spread(files, "path"), order)
+    if commit != "job":
+        rows.write.format("row_files").mode(mode).option("commit", commit).save(folder)
+        return
+    job = uuid.uuid4().hex
+    rows.write.format("row_files").mode(mode).option("commit", "held").option("job", job).save(folder)
+    writer = FileWriter({"path": folder, "job": job}, rows.schema, mode == "overwrite")
+    try:
+        writer.place(spark)
+    except BaseException:
+        writer.abort([])
+        raise
+
+
+def hidden(name: str) -> bool:
+    """Whether a file or folder is pending or hidden."""
+    return name.startswith(("_", "."))
+
+
+#: Levels of folders that are listed one by one, each dealt to all tasks; what lies deeper is listed with its folder.
+LEVELS = 2
+
+
+def found_files(spark: SparkSession, folder: str, hidden: Callable[[str], bool] = hidden) -> DataFrame:
+    """``file, size, modified`` (milliseconds) of every file of a folder, at any depth, listed by tasks when the rows are asked for.
+
+    A folder's own entries are listed in one task.
+    """
+    ship_package(spark)
+    schema = "file string, size long, modified long, folder boolean"
+
+    def task(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
+        store, root = open_folder(folder)
+        root = root.rstrip("/")
+        for batch in batches:
+            yield batch[~batch["folder"]]
+            for parent in batch["file"][batch["folder"]]:
+                found = store.get_file_info(pafs.FileSelector(f"{root}/{parent}", recursive=deep, allow_not_found=not parent))
+                for lo in range(0, len(found), ROWS):
+                    rows = [(x.path[len(root) + 1 :], x.size or 0, (x.mtime_ns or 0) // 1_000_000, x.type == pafs.FileType.Directory) for x in found[lo : lo + ROWS]]
+                    below = len(parent) + 1 if parent else 0
+                    yield pd.DataFrame([r for r in rows if not any(map(hidden, r[0][below:].split("/")))], columns=["file", "size", "modified", "folder"])
+
+    found = spark.createDataFrame([("", 0, 0, True)], schema)
+    for _ in range(LEVELS):
+        found = spread(found.mapInPandas(lambda batches: task(batches, deep=False), schema))
+    return found.mapInPandas(lambda batches: task(batches, deep=True), schema).filter("NOT folder").drop("folder")
+
+
+def _batches(rows: Iterable[tuple], columns: list[str], size: Callable[[tuple], int]) -> Iterator[pd.DataFrame]:
+    """Rows in batches of ROWS and BYTES or so."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) >= ROWS or total >= BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, total = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path`` within the folder and ``content`` (bytes) of every file in it, empty ones too; what is pending or hidden is left out."""
-    ship_package(spark)
-    spark.dataSource.register(FileSink)
-    return spark.read.format("row_files").load(folder)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = open_folder(folder)
+
+        def read(file: str) -> tuple[str, bytes]:
+            with store.open_input_stream(f"{root}/{file}") as f:
+                return file, f.read()
+
+        yield from _batches(map(read, chain.from_iterable(b["file"] for b in batches)), ["path", "content"], lambda x: len(x[1]))
+
+    return spread(found_files(spark, folder).select("file")).mapInPandas(task, "path string, content binary")
 
 
 def json_text(document: str | Column, pretty: bool = True) -> Column:
@@ -299,7 +427,7 @@ SPLIT, LOOK = 32 << 20, 64 << 10
 
 
 def _files(folder: str, suffix: str) -> dict[str, int]:
-    store, root = _open(folder)
+    store, root = open_folder(folder)
     found = store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
     return {x.path[len(root.rstrip("/")) + 1 :]: x.size for x in found if x.type == pafs.FileType.File and x.path.endswith(suffix) and not any(p.startswith(("_", ".")) for p in x.path[len(root) :].split("/"))}
 
@@ -331,7 +459,7 @@ def _splits(start: dict[str, int], end: dict[str, int], size: int) -> list[Lines
 
 def _read_lines(folder: str, part: Bytes, until: int | None) -> Iterator[tuple[str, int, str]]:
     """(file, offset, line) of the lines that begin in a split. A split that begins within a line leaves it to the one before."""
-    store, root = _open(folder)
+    store, root = open_folder(folder)
     with store.open_input_file(f"{root}/{part.file}") as f:
         at = part.start
         if at > 0:
@@ -395,7 +523,7 @@ class LineStreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        store, root = _open(self.folder)
+        store, root = open_folder(self.folder)
         for file, size in _files(self.folder, self.suffix).items():
             known = self.seen.get(file, 0)
             if size > known:
@@ -435,10 +563,16 @@ class FileLines(DataSource):
 
 
 def file_lines(spark: SparkSession, folder: str, suffix: str = "", split_bytes: int = SPLIT) -> DataFrame:
-    """``file, offset, line`` of all files of a folder whose names end with ``suffix``."""
-    ship_package(spark)
-    spark.dataSource.register(FileLines)
-    return spark.read.format("file_lines").option("suffix", suffix).option("splitBytes", split_bytes).load(folder)
+    """``file, offset, line`` of all files of a folder whose names end with ``suffix``; tasks list the folder and read its splits."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spans = chain.from_iterable(zip(b["file"], b["start"], b["size"], strict=True) for b in batches)
+        lines = chain.from_iterable(_read_lines(folder, Bytes(file, start, min(start + split_bytes, size)), None) for file, start, size in spans)
+        yield from _batches(lines, ["file", "offset", "line"], lambda x: len(x[2]))
+
+    files = found_files(spark, folder).filter(F.endswith("file", F.lit(suffix)) & (F.col("size") > 0))
+    spans = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "size")
+    return spread(spans).mapInPandas(task, "file string, offset long, line string")
 
 
 def stream_lines(spark: SparkSession, folder: str, suffix: str = "", split_bytes: int = SPLIT) -> DataFrame:

@@ -163,3 +163,26 @@ def test_files_that_became_shorter_are_an_error(tmp_path):
     (tmp_path / "a").write_text("one\n")
     with pytest.raises(ValueError, match="shorter"):
         reader.partitions({}, end)
+
+
+def test_tasks_move_what_is_held(spark, tmp_path):
+    folder = tmp_path / "out"
+    (folder / "d").mkdir(parents=True)
+    (folder / "d" / "f0").write_text("old")
+    writer = S.FileWriter({"path": str(folder), "commit": "held", "job": "j"}, SCHEMA, overwrite=False)
+    done = writer.write(iter([{"path": f"d/f{i}", "content": f"new {i}"} for i in range(S.LISTED + 5)]))
+    writer.commit([done, None])
+    assert on_disk(folder / "d") == {"f0": b"old"}  # nothing is in its place before the second job
+    os.rename(folder / S.PENDING / "j" / done.attempt / "1.tmp", folder / "d" / "f1")  # by an attempt that was lost
+    writer.place(spark)
+    assert on_disk(folder) == {f"d/f{i}": f"new {i}".encode() for i in range(S.LISTED + 5)}
+
+
+def test_folders_are_listed_at_any_depth(spark, tmp_path):
+    texts = {"top": "1", "a/b": "22", "a/b.d/c": "", "a/b.d/e/f/g": "4444", "a/b.d/e/_h/i": "x", "_pending/j": "x", "a/.k": "x"}
+    for f, t in texts.items():
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text(t)
+    shown = {f: t for f, t in texts.items() if t != "x"}
+    assert {r["file"]: r["size"] for r in S.found_files(spark, str(tmp_path)).collect()} == {f: len(t) for f, t in shown.items()}
+    assert {r["path"]: bytes(r["content"]).decode() for r in S.read_files(spark, f"file://{tmp_path}").collect()} == shown
