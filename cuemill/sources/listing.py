@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..functions.text import ColumnOrName, col
+from .files import found_files, open_folder
 
 #: File suffixes by kind.
 SUFFIXES = {
@@ -22,9 +24,30 @@ PART_FOLDERS = ("video_caption", "audio_caption")
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """``path, dir, name, stem, suffix, kind, modified, size`` of files that are not hidden; their contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return describe_paths(files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")), "path").filter(~F.col("name").startswith("."))
+    """``path, dir, name, stem, suffix, kind, modified, size`` of files that are not hidden or empty; their contents are never read. Tasks list the folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if recursive and _known(folder):
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        top = store.makeQualified(place).toString().rstrip("/")
+        files = found_files(spark, folder, _passed_over).filter("size > 0")
+        files = files.select(F.concat(F.lit(f"{top}/"), "file").alias("path"), F.timestamp_millis("modified").alias("modified"), "size")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+        files = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    return describe_paths(files, "path").filter(~F.col("name").startswith("."))
+
+
+def _known(folder: str) -> bool:
+    """Whether this is one folder of a store that pyarrow opens, as Spark names it; other stores and patterns are left to Spark's reader."""
+    if re.search(r"[*?\[{]", folder) or not (folder.startswith(("file:", "hdfs:")) or "://" not in folder):
+        return False
+    store, root = open_folder(folder)
+    return store.get_file_info(root).type == FileType.Directory
+
+
+def _passed_over(name: str) -> bool:
+    """Whether Spark's readers pass over files and folders of this name."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
 
 def describe_paths(df: DataFrame, path: str) -> DataFrame:
