@@ -33,7 +33,9 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that appear twice go, from every text that has them.
+    """Passages of 400 bytes and more, or of over 50 words, that appear twice go, from every text that has them.
+
+    Words are compared one by one; the white space between them doesn't count.
 
     A character that is cut in part goes too, and no other one; a text of which
     nothing is left goes with its document. Null and empty texts stay; of rows
@@ -42,7 +44,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     C.ship_package(spark)
     added = ("_kept", "_n_bytes", "_n_removed", "_n_spans")
     clash = {c: free for c, free in zip(added, C.unused(docs, *[f"{c}_given" for c in added]), strict=True) if c in docs.columns}
-    done = remove_repeats(docs.withColumnsRenamed(clash), characters=True)
+    done = remove_repeats(docs.withColumnsRenamed(clash), characters=True, passages=True)
     done = done.filter("_n_removed = 0 OR _n_removed < _n_bytes")
     whole = F.col("_n_removed") == 0
     text = F.when(whole, F.col("text")).otherwise(F.col("_kept").cast("string"))

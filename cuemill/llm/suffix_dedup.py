@@ -18,8 +18,9 @@ last o bytes to the left, which is told exactly by refining ranks byte by byte.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,10 @@ from . import common as C
 
 #: Bytes of a window, and of the strings whose hashes choose anchors.
 LENGTH, GRAM = 400, 32
+#: Words of a passage, and bytes that stand for a word: of two passages that differ in a word, one in 2^40 would be taken for alike.
+PASSAGE, CODE = 51, 5
+#: Words whose codes a process keeps.
+KEEP_WORDS = 200_000
 #: Bytes that are hashed at once (24 bits hold a place), and items of a run.
 PIECE, RUN_ITEMS = 4 << 20, 40_000
 #: Rows drawn to place the range borders, and bytes of a border. They set the balance of tasks, never a result.
@@ -261,25 +266,46 @@ def _spans(doc: np.ndarray, place: np.ndarray, flags: np.ndarray, length: int) -
     return doc[row], place[row] - (stop - 1), place[row] - first + length
 
 
-def _borders(docs: DataFrame, ranges: int, share: float) -> list[bytes]:
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+class _Codes(dict):
+    """CODE bytes for each word."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEEP_WORDS:
+            self.clear()
+        self[word] = code = hashlib.blake2b(word, digest_size=CODE).digest()
+        return code
+
+
+_codes = _Codes()
+
+
+def _word_codes(text: str | None) -> bytes:
+    return b"".join(map(_codes.__getitem__, _utf8(text).split()))
+
+
+def _borders(docs: DataFrame, ranges: int, share: float, length: int, code: Callable[[str | None], bytes]) -> list[bytes]:
     """Suffix prefixes that cut the items of a sample of the rows into even ranges."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for piece in _pieces(batch["text"]):
-                yield pd.DataFrame({"prefix": [s[:BORDER] for s in find_items(piece).right]})
+            for piece in _pieces(batch["text"], length, code):
+                yield pd.DataFrame({"prefix": [s[:BORDER] for s in find_items(piece, length).right]})
 
     drawn = docs.filter(F.pmod(C.doc_hash("suffixes", "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     got = sorted(bytes(r[0]) for r in drawn.select("text").mapInPandas(task, "prefix binary").collect())
     return sorted({got[len(got) * i // ranges] for i in range(1, ranges)}) if got else []
 
 
-def _pieces(texts: pd.Series) -> Iterator[list[tuple[int, int, bytes]]]:
+def _pieces(texts: pd.Series, length: int = LENGTH, code: Callable[[str | None], bytes] = _utf8) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (row, place, bytes) of PIECE bytes or so; pieces of a longer text overlap so that no window is lost."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        for lo in range(0, max(1, len(data) - LENGTH + 1), PIECE - LENGTH + 1):
+        data = code(text)
+        for lo in range(0, max(1, len(data) - length + 1), PIECE - length + 1):
             part = data[lo : lo + PIECE]
             if held and size + len(part) > PIECE:
                 yield held
@@ -290,17 +316,30 @@ def _pieces(texts: pd.Series) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, first, stop``: byte ranges covered by windows that start anywhere else too.
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, first, stop``: ranges of words covered by PASSAGE words that stand anywhere else too, white space aside.
 
-    Ranges of a document may overlap. ``text_hash`` is xxhash64 of the text, by
-    which rows of one ``doc_id`` with different texts are told apart.
+    The windows of ``repeated_spans`` over the codes of words, CODE bytes each.
+    A range there may begin or end within a code; the whole ones in it count.
+    """
+    spans = repeated_spans(docs, PASSAGE * CODE, _word_codes, 2 * PASSAGE - 1)
+    words = spans.withColumns({"first": F.expr(f"(first + {CODE - 1}) div {CODE}"), "stop": F.expr(f"stop div {CODE}")})
+    return words.filter(F.col("stop") - F.col("first") >= PASSAGE)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, code: Callable[[str | None], bytes] = _utf8, least: int = LENGTH) -> DataFrame:
+    """``doc_id, text_hash, first, stop``: ranges of bytes covered by windows of ``length`` that start anywhere else too.
+
+    The bytes are those that ``code`` makes of a text; texts of fewer bytes
+    than ``least`` have no window. Ranges of a document may overlap.
+    ``text_hash`` is xxhash64 of the text, by which rows of one ``doc_id`` with
+    different texts are told apart.
     """
     rows = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     sampled = docs.filter(F.pmod(C.doc_hash("suffixes", "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(C.shuffle_partitions(docs.sparkSession), int(sampled / share) // RANGE_BYTES, 1)
-    borders = _borders(docs, ranges, share)
+    borders = _borders(docs, ranges, share, length, code)
 
     def sort_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, keys = no_items(), []
@@ -321,15 +360,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             part = np.searchsorted(np.array(borders, object), np.array([held.right[i][:BORDER] for i in order], object), side="right") if borders else np.zeros(len(order), np.int64)
             cut = np.flatnonzero(np.diff(np.concatenate([[-1], part])))
             for lo, hi in zip(cut, np.append(cut[1:], len(order)), strict=True):
-                out.append((int(part[lo]), 1, front_code(doc, held, order[lo:hi])))
+                out.append((int(part[lo]), 1, front_code(doc, held, order[lo:hi], length)))
             held, keys = no_items(), []
             if out:
                 yield pd.DataFrame(out, columns=["part", "kind", "blob"])
 
         for batch in batches:
             pairs = list(zip(batch["doc_id"].tolist(), batch["text_hash"].tolist(), strict=True))
-            for piece in _pieces(batch["text"]):
-                found = find_items(piece)
+            for piece in _pieces(batch["text"], length, code):
+                found = find_items(piece, length)
                 found.doc = [d + len(keys) for d in found.doc]
                 held.extend(found)
                 if len(held) >= RUN_ITEMS:
@@ -348,14 +387,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             base = np.cumsum([0] + [len(r.right) for r in runs])[:-1]
             at = base[run_of] + np.array(number)
             left = [runs[r].left[i] for r, i in zip(run_of, number, strict=True)]
-            doc, place, least = (np.concatenate([getattr(r, c) for r in runs])[at] for c in ("doc", "place", "least"))
-            some, flags = repeated_offsets(np.array(lcp, np.int64), left, least)
-            d, first, stop = _spans(doc[some], place[some], flags, LENGTH)
+            doc, place, offsets = (np.concatenate([getattr(r, c) for r in runs])[at] for c in ("doc", "place", "least"))
+            some, flags = repeated_offsets(np.array(lcp, np.int64), left, offsets, length)
+            d, first, stop = _spans(doc[some], place[some], flags, length)
             found.append(np.column_stack([d, first, stop]).astype(np.int64))
         every = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         return pd.DataFrame(every, columns=["doc_id", "text_hash", "first", "stop"])
 
-    keyed = docs.filter(F.octet_length("text") >= LENGTH).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    keyed = docs.filter(F.octet_length("text") >= least).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return keyed.mapInPandas(sort_runs, "part int, kind int, blob binary").groupBy("part").applyInPandas(merge, "doc_id long, text_hash long, first long, stop long")
 
 
@@ -371,19 +410,31 @@ def _whole(gone: np.ndarray, data: bytes) -> np.ndarray:
     return hit[of]
 
 
-def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
+def _bytes_of(words: np.ndarray, data: bytes) -> np.ndarray:
+    """Byte ranges of ranges of words."""
+    at = np.array([m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)], np.int64)
+    return np.column_stack([at[words[:, 0], 0], at[words[:, 1] - 1, 1]])
+
+
+def remove_repeats(docs: DataFrame, characters: bool = False, passages: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``_kept`` (the bytes that stay) and ``_n_bytes, _n_removed, _n_spans``.
 
     A byte goes if it is covered by a LENGTH-byte string that also starts
     anywhere else in the input, in the same text or another; every copy goes.
-    With ``characters``, a character goes whole if a byte of it goes. A null
+    With ``characters``, a character goes whole if a byte of it goes. With
+    ``passages``, so do PASSAGE words that stand anywhere else too, whatever
+    white space and however few bytes they have, with what is between them. A null
     text counts as empty; texts shorter than LENGTH stay whole; repeated rows
     are copies of each other; other columns are kept as they are, and may have
     any name but the four that are added.
     """
     id_name, hash_name, spans_name = C.unused(docs, "_id", "_hash", "_spans")
-    spans = repeated_spans(docs.select("doc_id", "text")).distinct()
-    spans = spans.groupBy(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).agg(F.collect_list(F.array("first", "stop")).alias(spans_name))
+    spans = repeated_spans(docs.select("doc_id", "text")).distinct().withColumn("words", F.lit(0).cast("long"))
+    if passages:
+        words = repeated_passages(docs.select("doc_id", "text")).distinct().withColumn("words", F.lit(1).cast("long"))
+        # One after the other, so that the items of one alone are on disk.
+        spans = C.materialize(spans, "spans", tidy=True).unionByName(C.materialize(words, "passages", tidy=True))
+    spans = spans.groupBy(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).agg(F.collect_list(F.array("first", "stop", "words")).alias(spans_name))
     id_of = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     joined = docs.join(spans, (id_of == F.col(id_name)) & (F.xxhash64("text") == F.col(hash_name)), "left")
     joined = joined.select(*[C.column(c) for c in docs.columns], spans_name)
@@ -401,6 +452,8 @@ def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
                     n_spans.append(0)
                     continue
                 both = np.array([list(s) for s in spans], np.int64)
+                if passages and both[:, 2].any():
+                    both = np.concatenate([both[both[:, 2] == 0, :2], _bytes_of(both[both[:, 2] == 1], data)])
                 edges = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edges, both[:, 0], 1)
                 np.add.at(edges, both[:, 1], -1)

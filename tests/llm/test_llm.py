@@ -306,6 +306,25 @@ def test_suffix_dedup(spark, empty):
     assert suffix_dedup.digest(empty).count() == 0
 
 
+def test_passages_of_over_50_words_go(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcé", k=rng.randint(1, 4)))
+    own = lambda k: " ".join(word() for _ in range(k))
+    passage, many = [word() for _ in range(51)], [word() for _ in range(90)]
+    texts = [own(70) + " " + " ".join(passage) + " " + own(9), " ".join(passage[:50]) + " " + own(80), own(5) + "\n" + "\t ".join(passage), " ".join(many[:60]), own(3) + " " + "\n".join(many[5:90]), " ".join(many[40:]) + " " + own(60), own(50), None, " ", "x " * 52, "y " * 51]
+    lists, seen = [(t or "").encode().split() for t in texts], Counter()
+    for w in lists:
+        seen.update(tuple(w[i : i + 51]) for i in range(len(w) - 50))
+    want = []
+    for w in lists:
+        gone = {k for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for k in range(i, i + 51)}
+        want.append([x for k, x in enumerate(w) if k not in gone])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["_kept"]).split() for r in suffix_dedup.remove_repeats(df, characters=True, passages=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert [len(lists[i]) - len(want[i]) for i in (0, 1, 2, 3, 4, 5, 9, 10)] == [51, 0, 51, 55, 55, 0, 52, 0]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(order)}
