@@ -37,8 +37,8 @@ LENGTH, GRAM = 400, 32
 PASSAGE, CODE = 51, 5
 #: Words whose codes a process keeps.
 KEEP_WORDS = 200_000
-#: Bytes that are hashed at once (24 bits hold a place), and items of a run.
-PIECE, RUN_ITEMS = 4 << 20, 40_000
+#: Bytes that are hashed at once (24 bits hold a place; about 40 bytes of memory each), items of a run, and items whose flags are read at once.
+PIECE, RUN_ITEMS, FLAGGED = 1 << 19, 40_000, 8192
 #: Rows drawn to place the range borders, and bytes of a border. They set the balance of tasks, never a result.
 SAMPLE_ROWS, BORDER = 2000, 12
 #: Bytes of text whose items one range is meant to hold.
@@ -260,9 +260,14 @@ def repeated_offsets(lcp: np.ndarray, left: list[bytes], least: np.ndarray, leng
 
 def _spans(doc: np.ndarray, place: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first byte, end) of each run of flagged offsets."""
-    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, first = np.nonzero(edge == 1)
-    _, stop = np.nonzero(edge == -1)
+    rows, firsts, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(flags), FLAGGED):
+        edge = np.diff(np.pad(flags[at : at + FLAGGED].view(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, first = np.nonzero(edge == 1)
+        rows.append(row + at)
+        firsts.append(first)
+        stops.append(np.nonzero(edge == -1)[1])
+    row, first, stop = (np.concatenate(x) for x in (rows, firsts, stops))
     return doc[row], place[row] - (stop - 1), place[row] - first + length
 
 
@@ -283,6 +288,12 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def _forget() -> None:
+    """Let go of the words' codes at the end of a task: its worker may be idle for long."""
+    _codes.clear()
+    C.give_back()
+
+
 def _word_codes(text: str | None) -> bytes:
     return b"".join(map(_codes.__getitem__, _utf8(text).split()))
 
@@ -378,13 +389,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, code: Callable[[str |
                 keys += pairs
         if len(held):
             yield from emit()
+        _forget()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         found = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64).reshape(-1, 4) for b in group["blob"][group["kind"] == 0]]
         runs = [Run.of(b) for b in group["blob"][group["kind"] == 1]]
         if runs:
             run_of, number, lcp = merge_runs(runs)
-            base = np.cumsum([0] + [len(r.right) for r in runs])[:-1]
+            for r in runs:
+                r.right = []
+            base = np.cumsum([0] + [len(r.left) for r in runs])[:-1]
             at = base[run_of] + np.array(number)
             left = [runs[r].left[i] for r, i in zip(run_of, number, strict=True)]
             doc, place, offsets = (np.concatenate([getattr(r, c) for r in runs])[at] for c in ("doc", "place", "least"))

@@ -5,6 +5,7 @@ import io
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -306,6 +307,28 @@ def test_suffix_dedup(spark, empty):
     assert suffix_dedup.digest(empty).count() == 0
 
 
+def test_suffixes_take_little_memory(monkeypatch):
+    def peak(f, *args):
+        tracemalloc.start()
+        out = f(*args)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 5 << 20, np.uint8).tobytes().decode()
+    pieces = list(suffix_dedup._pieces([text]))
+    assert peak(suffix_dedup.find_items, pieces[0])[1] < 50e6
+    doc, place = rng.integers(0, 9, (60_000, 2)), rng.integers(400, 10_000, 60_000)
+    flags = np.zeros((60_000, 300), bool)
+    flags[::7, 20:90] = flags[::5, 250:] = True
+    (whole, first, stop), most = peak(suffix_dedup._spans, doc, place, flags, 400)
+    assert most < 30e6
+    monkeypatch.setattr(suffix_dedup, "FLAGGED", 1 << 20)
+    again = suffix_dedup._spans(doc, place, flags, 400)
+    assert all((a == b).all() for a, b in zip((whole, first, stop), again, strict=True)) and len(first) == len(flags[::7]) + len(flags[::5])
+
+
 def test_passages_of_over_50_words_go(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcé", k=rng.randint(1, 4)))
