@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -61,11 +61,11 @@ def split_chunk(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
 
 @dataclass
 class Chunk:
-    """What is kept of a chunk with white space: fragments of words at its ends, the whole words next to them, and the piece between the fragments."""
+    """What is kept of a chunk with white space: fragments of words at its ends, the whole words next to them, and the packed ids between the fragments."""
 
     head: bytes
     first: list[bytes]
-    piece: Piece
+    piece: bytes
     last: list[bytes]
     tail: bytes
 
@@ -79,31 +79,35 @@ class ChunkCoder:
     whole words on either side. The join is mended when the new ids begin and
     end with the very ids that both chunks have for these words; until they do,
     the stretch is widened word by word, at most to ANCHORS words a side.
+    Ids are packed in bytes until a whole text has its own; then they are spelled, once.
     """
 
     def __init__(self, tokenizer: str = DEFAULT):
         self.ids = word_ids(tokenizer)
         self.chunks: dict[bytes, Chunk | None] = {}
-        self.words: dict[bytes, Piece] = {}
-        self.joints: dict[tuple[bytes, bytes, bytes], Piece] = {}
+        self.code_of = self.ids.dtype.char
+        self.words: dict[bytes, bytes] = {}
+        self.joints: dict[tuple[bytes, bytes, bytes], tuple[bytes, bytes]] = {}  # packed, and as a string
         self.encoded = self.reused = self.widened = 0
         # What each id adds to the strings of a stretch: the decoder joins tokens with a space.
         decode = self.ids.tokenizer.decode_batch([[i] for i in range(self.ids.size)], skip_special_tokens=False)
         self.numbers = [f" {i}".encode() for i in range(self.ids.size)]
         self.tokens = [f" {t}".encode() for t in decode]
 
-    def _piece(self, ids: list[int]) -> Piece:
+    def _piece(self, ids: list[int]) -> bytes:
+        return array(self.code_of, ids).tobytes()
+
+    def _spell(self, packed: bytes) -> Piece:
+        ids = memoryview(packed).cast(self.code_of).tolist()
         return len(ids), b"".join(map(self.numbers.__getitem__, ids)), b"".join(map(self.tokens.__getitem__, ids))
 
     def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = words.difference(self.words)
         if len(self.words) + len(new) > KEEP_WORDS:
-            self.words, new = {}, list(words)
+            self.words, new = {}, words
         if new:
-            self.ids.learn(set(new))
-            known, code = self.ids.known, self.ids.dtype.char
-            for w in new:
-                self.words[w] = self._piece(memoryview(known[w]).cast(code).tolist())
+            self.ids.learn(new)
+            self.words.update(self.ids.known)
             self.ids.known = {}
             if len(self.ids.cores) > KEEP_WORDS:
                 self.ids.cores = {}
@@ -114,9 +118,6 @@ class ChunkCoder:
         self.ids.forget()
         C.give_back()
 
-    def _join(self, pieces: list[Piece]) -> Piece:
-        return sum(map(itemgetter(0), pieces)), b"".join(map(itemgetter(1), pieces)), b"".join(map(itemgetter(2), pieces))
-
     def _mend(self, joints: dict[tuple[bytes, bytes, bytes], tuple[list[bytes], list[bytes]]]) -> None:
         """Makes the pieces of words at joins, given with the words before (nearest last) and after (nearest first)."""
         wide, left = 1, dict(joints)
@@ -126,16 +127,16 @@ class ChunkCoder:
             texts = [b" ".join([*before, k[1], *after]).decode("utf-8", "replace") for k, (before, after) in zip(keys, sides, strict=True)]
             again = {}
             for k, (before, after), e in zip(keys, sides, self.ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                begin, end = (self._join([self.words[w] for w in ws]) for ws in (before, after))
+                begin, end = (b"".join([self.words[w] for w in ws]) for ws in (before, after))
                 got = self._piece(e.ids)
-                led = got[1].startswith(begin[1]) and got[1][len(begin[1]) : len(begin[1]) + 1] in (b"", b" ")
-                agree = got[0] >= begin[0] + end[0] and led and got[1].endswith(end[1])
+                agree = len(got) >= len(begin) + len(end) and got.startswith(begin) and got.endswith(end)
                 if not agree and wide < max(len(left[k][0]), len(left[k][1])):
                     again[k] = left[k]
                     continue
                 if not agree:
                     raise ValueError("ids at a join agree with neither chunk; this tokenizer's pieces go beyond words")
-                self.joints[k] = self._piece(e.ids[begin[0] : got[0] - end[0]])
+                own, width = got[len(begin) : len(got) - len(end)], self.ids.dtype.itemsize
+                self.joints[k] = own, b"".join(map(self.numbers.__getitem__, e.ids[len(begin) // width : len(got) // width - len(end) // width]))
             self.widened += len(again)
             left, wide = again, wide + 1
 
@@ -156,7 +157,7 @@ class ChunkCoder:
         look = self.words.__getitem__
         for c, s in new.items():
             words = inner.get(c, [])
-            self.chunks[c] = None if s is None else Chunk(s[0], words[:ANCHORS], self._join(list(map(look, words))), words[-ANCHORS:], s[2])
+            self.chunks[c] = None if s is None else Chunk(s[0], words[:ANCHORS], b"".join(map(look, words)), words[-ANCHORS:], s[2])
 
         first = np.searchsorted(cuts, begin)
         plans: list[list] = []  # for each text: chunks, and between them the words that their joins make, with what stands around
@@ -180,7 +181,7 @@ class ChunkCoder:
                     carry, before = [kept.tail], kept.last
             plans.append(plan)
         self._mend(wanted)
-        return [self._join([self.joints[x] if isinstance(x[0], bytes) else x for x in plan]) for plan in plans]
+        return [self._spell(b"".join([x if isinstance(x, bytes) else self.joints[x][0] for x in plan])) for plan in plans]
 
 
 _coders: dict[str, ChunkCoder] = {}

@@ -169,6 +169,15 @@ def test_joins_are_mended_until_both_chunks_agree():
     assert coder.joints[b"four", b"word", b"five"][1].decode().split() == list(map(str, t.encode("word", add_special_tokens=False).ids))
 
 
+def test_words_are_kept_as_packed_ids():
+    coder, t = bpe.ChunkCoder(), subwords.load()
+    (n, ids, _), = coder.code([b"the quick brown fox, unbelievably quick. " * 40])
+    assert coder.words[b"quick."] == np.array(t.encode("quick.", add_special_tokens=False).ids, coder.ids.dtype).tobytes()
+    pieces = [c.piece for c in coder.chunks.values() if c is not None]
+    assert pieces and all(isinstance(p, bytes) for p in pieces)
+    assert n == len(ids.split()) and n * coder.ids.dtype.itemsize >= max(map(len, pieces))
+
+
 def test_text_without_white_space(spark):
     rng = random.Random(2)
     text = "".join(rng.choices("abcdefghijklmnop", k=400_000))
