@@ -425,8 +425,11 @@ def _large_groups(members: DataFrame, labels: DataFrame, nodes: DataFrame, neare
     return _by_sketch(found.withColumn("shared", F.lit(1).cast("long")), nodes)
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """What ``near_duplicates`` gives, and ``component``: the component's number, which ids play no part in; null without words."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``near_duplicates`` gives, and ``component``: the component's number, which ids play no part in; null without words.
+
+    Beside it the written tables that it is read from.
+    """
     C.lean_workers(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     index = _index(docs)
@@ -475,7 +478,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component", "component_id")
     out = rows.join(named, "node", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+    return out, [index, nodes, labels, links]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -487,7 +491,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never the least; repeated rows stay; other columns are ignored; an empty
     table gives an empty result.
     """
-    return _labelled(docs).drop("component")
+    return _labelled(docs)[0].drop("component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -498,12 +502,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns may have any name.
     """
     doc, of, copies, whole = C.unused(docs, "_doc", "_hash", "_copies", "_row")
-    found = C.materialize(_labelled(docs), "jaccard-found", tidy=True)
+    found, made = _labelled(docs)
+    found = C.materialize(found, "jaccard-found", tidy=True)
+    C.discard(*made)
     rows = found.filter("n_shingles > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     lead = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "copies")).alias("m"))
     lead = lead.select(F.col("m.doc_id").alias(doc), F.col("m.text_hash").alias(of), F.col("m.copies").alias(copies))
     bare = found.filter("n_shingles = 0").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(of), F.lit(1).cast("long").alias(copies)).distinct()
-    lead = C.materialize(lead.union(bare), "jaccard-lead", tidy=True)
+    lead, last = C.materialize(lead.union(bare), "jaccard-lead", tidy=True), found
+    C.discard(last)
+    C.sweep(docs.sparkSession)
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(of))
     once = docs.join(lead.filter(F.col(copies) == 1), same, "left_semi")
     repeated = lead.filter(F.col(copies) > 1)

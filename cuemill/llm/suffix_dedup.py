@@ -6,6 +6,10 @@ anchors at equal places. Suffixes are sorted at anchors alone (a sparse suffix
 array, about one byte in 185): an item is an anchor with the windows it serves,
 cut to the bytes that these cover.
 
+An item that shares no mark (a hash of about half a window beside its anchor)
+with any other has no window that repeats; marks are counted first, and the
+other items are not sorted.
+
 Each task sorts its items into runs, front-codes them (the length of the prefix
 shared with the item before, and the rest) and deals them out by ranges of the
 suffix. A loser tree merges the runs of a range; every string in it carries its
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
@@ -35,12 +40,12 @@ from . import common as C
 LENGTH, GRAM = 400, 32
 #: Words of a passage, and bytes that stand for a word: of two passages that differ in a word, one in 2^40 would be taken for alike.
 PASSAGE, CODE = 51, 5
-#: Words whose codes a process keeps.
-KEEP_WORDS = 200_000
-#: Bytes that are hashed at once (24 bits hold a place; about 40 bytes of memory each), items of a run, and items whose flags are read at once.
-PIECE, RUN_ITEMS, FLAGGED = 1 << 19, 40_000, 8192
+#: Bytes that are hashed at once (24 bits hold a place; 8 bytes each, in arrays that stay in a core's cache), items of a run, and items whose flags are read at once.
+PIECE, RUN_ITEMS, FLAGGED = 24 << 10, 40_000, 8192
 #: Rows drawn to place the range borders, and bytes of a border. They set the balance of tasks, never a result.
 SAMPLE_ROWS, BORDER = 2000, 12
+#: Marks that a task holds before it deals them out.
+MARKS = 200_000
 #: Bytes of text whose items one range is meant to hold.
 RANGE_BYTES = 10 << 20
 
@@ -67,17 +72,45 @@ def no_items() -> Items:
     return Items([], [], [], [], [])
 
 
-def find_items(texts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> Items:
-    """Items of pieces of documents, given as (document, place of the piece in it, bytes); PIECE bytes or so in all."""
-    texts = [t for t in texts if len(t[2]) >= length]
-    if not texts:
-        return no_items()
+@dataclass
+class Anchors:
+    """Anchors in ``data``, pieces of documents end to end; places and lengths are in units.
+
+    ``piece``: the piece of each, ``at``: its place, ``low, high``: the first and last window served. Windows whose anchor is at an
+    offset of ``half`` at most share ``near`` (a hash of what they all hold from the anchor on), the others ``far`` (of what they
+    all hold up to the end of the anchor's gram); 0 where there is no such window.
+    """
+
+    data: bytes
+    piece: np.ndarray
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    half: int
+    near: np.ndarray
+    far: np.ndarray
+
+
+def _units(data: bytes, unit: int) -> np.ndarray:
+    if unit == 1:
+        return np.frombuffer(data, np.uint8).astype(np.uint64)
+    wide = np.zeros((len(data) // unit, 8), np.uint8)
+    wide[:, :unit] = np.frombuffer(data, np.uint8).reshape(-1, unit)
+    return wide.reshape(-1).view("<u8").astype(np.uint64, copy=False)
+
+
+def find_anchors(texts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> Anchors:
+    """Anchors of pieces of documents, given as (document, place of the piece in it, bytes) with a window at least; PIECE bytes or so in all.
+
+    ``length`` and ``gram`` are in units of ``unit`` bytes, and a window begins at a unit.
+    """
     data = b"".join([t[2] for t in texts])
-    h, size, mult = np.frombuffer(data, np.uint8).astype(np.uint64), 1, 0x9E3779B97F4A7C15
-    while size < gram:  # the hash of 2 * size bytes from those of size
+    h, size, mult = _units(data, unit), 1, 0x9E3779B97F4A7C15
+    while size < gram:  # the hash of 2 * size units from those of size
         h = (h[:-size] ^ (h[:-size] >> np.uint64(29))) * np.uint64(mult) + h[size:]
         size *= 2
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    grams = h
+    h = h * np.uint64(0xD6E8FEB86659FD93)
     h = ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
     span, reach = length - gram + 1, 1
     while 2 * reach <= span:
@@ -85,22 +118,49 @@ def find_items(texts: list[tuple[int, int, bytes]], length: int = LENGTH, gram:
         reach *= 2
     if reach < span:
         h = np.minimum(h[: len(h) - (span - reach)], h[span - reach :])
-    anchor = (h & np.uint64(0xFFFFFF)).astype(np.int64)  # of the window that begins at each byte
-    begin = np.cumsum([0] + [len(t[2]) for t in texts])
+    anchor = (h & np.uint64(0xFFFFFF)).astype(np.int64)  # of the window that begins at each unit
+    begin = np.cumsum([0] + [len(t[2]) // unit for t in texts])
     sizes = np.diff(begin) - length + 1
     first = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
     text = np.repeat(np.arange(len(texts)), sizes)
     anchor = anchor[first]
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
-    low, high, text, anchor = first[new], first[np.append(new[1:] - 1, len(first) - 1)], text[new].tolist(), anchor[new]
-    shift = [texts[t][1] - int(begin[t]) for t in text]
-    a, lo, hi = anchor.tolist(), low.tolist(), high.tolist()
+    low, high, text, anchor = first[new], first[np.append(new[1:] - 1, len(first) - 1)], text[new], anchor[new]
+    half = (length - gram) // 2
+
+    def mark(some: np.ndarray, offsets: list[int], seed: int) -> np.ndarray:
+        out, got = np.zeros(len(anchor), np.uint64), np.full(int(some.sum()), seed, np.uint64)
+        for o in offsets:
+            got = (got ^ (got >> np.uint64(29))) * np.uint64(mult) + grams[anchor[some] + o]
+        out[some] = (got ^ (got >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+        return out
+
+    near = mark(anchor - high <= half, [*range(0, length - half - gram, gram), length - half - gram], 3)
+    far = mark(anchor - low > half, [*range(-half - 1, 0, gram), 0], 5)
+    return Anchors(data, text, anchor, low, high, half, near, far)
+
+
+def find_items(texts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM, unit: int = 1, wanted: np.ndarray | None = None) -> Items:
+    """Items of pieces of documents, for windows whose marks are in ``wanted`` (sorted, if given); places are in bytes."""
+    texts = [t for t in texts if len(t[2]) >= length * unit]
+    if not texts:
+        return no_items()
+    x = find_anchors(texts, length, gram, unit)
+    if wanted is not None:
+        near, far = (wanted[np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)] == m for m in (x.near, x.far))
+        low, high = np.where(near & ~far, np.maximum(x.low, x.at - x.half), x.low), np.where(far & ~near, np.minimum(x.high, x.at - x.half - 1), x.high)
+        some = near | far
+        x = Anchors(x.data, x.piece[some], x.at[some], low[some], high[some], x.half, x.near[some], x.far[some])
+    data, begin = x.data, np.cumsum([0] + [len(t[2]) for t in texts])
+    piece = x.piece.tolist()
+    shift = [texts[t][1] - int(begin[t]) for t in piece]
+    a, lo, hi = (x.at * unit).tolist(), (x.low * unit).tolist(), (x.high * unit).tolist()
     return Items(
-        [texts[t][0] for t in text],
-        [x + s for x, s in zip(a, shift, strict=True)],
-        (anchor - high).tolist(),
-        [data[x:y] for x, y in zip(lo, a, strict=True)],
-        [data[y : z + length] for y, z in zip(a, hi, strict=True)],
+        [texts[t][0] for t in piece],
+        [y + s for y, s in zip(a, shift, strict=True)],
+        ((x.at - x.high) * unit).tolist(),
+        [data[y:z] for y, z in zip(lo, a, strict=True)],
+        [data[y : z + length * unit] for y, z in zip(a, hi, strict=True)],
     )
 
 
@@ -275,49 +335,48 @@ def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-class _Codes(dict):
-    """CODE bytes for each word."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        self[word] = code = hashlib.blake2b(word, digest_size=CODE).digest()
-        return code
-
+def _word_codes(text: str | None) -> bytes:
+    words = _utf8(text).split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
 
-_codes = _Codes()
 
+@dataclass(frozen=True)
+class Kind:
+    """What windows are made of: ``length`` and ``gram`` in units of ``unit`` bytes that ``code`` makes of a text; texts of fewer bytes than ``least`` have none."""
 
-def _forget() -> None:
-    """Let go of the words' codes at the end of a task: its worker may be idle for long."""
-    _codes.clear()
-    C.give_back()
+    length: int
+    gram: int
+    unit: int
+    code: Callable[[str | None], bytes]
+    least: int
 
 
-def _word_codes(text: str | None) -> bytes:
-    return b"".join(map(_codes.__getitem__, _utf8(text).split()))
+BYTES = Kind(LENGTH, GRAM, 1, _utf8, LENGTH)
+#: Words, CODE bytes each. A passage has a byte a word and one between two at least.
+WORDS = Kind(PASSAGE, 8, CODE, _word_codes, 2 * PASSAGE - 1)
 
 
-def _borders(docs: DataFrame, ranges: int, share: float, length: int, code: Callable[[str | None], bytes]) -> list[bytes]:
+def _borders(docs: DataFrame, ranges: int, share: float, kind: Kind) -> list[bytes]:
     """Suffix prefixes that cut the items of a sample of the rows into even ranges."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for piece in _pieces(batch["text"], length, code):
-                yield pd.DataFrame({"prefix": [s[:BORDER] for s in find_items(piece, length).right]})
+            for piece in _pieces(batch["text"], kind.length * kind.unit, kind.code, kind.unit):
+                yield pd.DataFrame({"prefix": [s[:BORDER] for s in find_items(piece, kind.length, kind.gram, kind.unit).right]})
 
     drawn = docs.filter(F.pmod(C.doc_hash("suffixes", "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     got = sorted(bytes(r[0]) for r in drawn.select("text").mapInPandas(task, "prefix binary").collect())
     return sorted({got[len(got) * i // ranges] for i in range(1, ranges)}) if got else []
 
 
-def _pieces(texts: pd.Series, length: int = LENGTH, code: Callable[[str | None], bytes] = _utf8) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (row, place, bytes) of PIECE bytes or so; pieces of a longer text overlap so that no window is lost."""
-    held, size = [], 0
+def _pieces(texts: pd.Series, length: int = LENGTH, code: Callable[[str | None], bytes] = _utf8, unit: int = 1) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (row, place, bytes) of PIECE bytes or so; pieces of a longer text overlap so that no window (of ``length`` bytes) is lost."""
+    held, size, most = [], 0, PIECE - PIECE % unit
     for i, text in enumerate(texts):
         data = code(text)
-        for lo in range(0, max(1, len(data) - length + 1), PIECE - length + 1):
-            part = data[lo : lo + PIECE]
+        for lo in range(0, max(1, len(data) - length + 1), most - length + unit):
+            part = data[lo : lo + most]
             if held and size + len(part) > PIECE:
                 yield held
                 held, size = [], 0
@@ -330,27 +389,84 @@ def _pieces(texts: pd.Series, length: int = LENGTH, code: Callable[[str | None],
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, first, stop``: ranges of words covered by PASSAGE words that stand anywhere else too, white space aside.
 
-    The windows of ``repeated_spans`` over the codes of words, CODE bytes each.
-    A range there may begin or end within a code; the whole ones in it count.
+    The windows of ``repeated_spans`` over the codes of words. A range there
+    may begin or end within a code; the whole ones in it count.
     """
-    spans = repeated_spans(docs, PASSAGE * CODE, _word_codes, 2 * PASSAGE - 1)
+    spans = repeated_spans(docs, WORDS)
     words = spans.withColumns({"first": F.expr(f"(first + {CODE - 1}) div {CODE}"), "stop": F.expr(f"stop div {CODE}")})
     return words.filter(F.col("stop") - F.col("first") >= PASSAGE)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, code: Callable[[str | None], bytes] = _utf8, least: int = LENGTH) -> DataFrame:
-    """``doc_id, text_hash, first, stop``: ranges of bytes covered by windows of ``length`` that start anywhere else too.
+def repeated_marks(keyed: DataFrame, kind: Kind, buckets: int) -> DataFrame:
+    """``owner, marks``: for rows of ``owner, text`` the marks of their anchors (see ``Anchors``) that occur anywhere else too.
+
+    Equal windows have equal marks, so that what has none of these marks has no
+    window that repeats: a few bytes an anchor tell which items need to be sorted.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, owners, size = [], [], 0
 
-    The bytes are those that ``code`` makes of a text; texts of fewer bytes
-    than ``least`` have no window. Ranges of a document may overlap.
-    ``text_hash`` is xxhash64 of the text, by which rows of one ``doc_id`` with
-    different texts are told apart.
+        def emit() -> pd.DataFrame:
+            mark, owner = np.concatenate(marks), np.concatenate(owners)
+            bucket = ((mark >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            mark, owner, cut = mark[order], owner[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            return pd.DataFrame([(int(b), mark[cut[b] : cut[b + 1]].tobytes() + owner[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut))], columns=["bucket", "blob"])
+
+        for batch in batches:
+            own = batch["owner"].to_numpy(np.int64)
+            for piece in _pieces(batch["text"], kind.length * kind.unit, kind.code, kind.unit):
+                piece = [t for t in piece if len(t[2]) >= kind.length * kind.unit]
+                if not piece:
+                    continue
+                x = find_anchors(piece, kind.length, kind.gram, kind.unit)
+                of = own[np.array([t[0] for t in piece])[x.piece]]
+                for m in (x.near, x.far):
+                    marks.append(m[m > 0])
+                    owners.append(of[m > 0])
+                    size += len(marks[-1])
+                if size >= MARKS:
+                    yield emit()
+                    marks, owners, size = [], [], 0
+        if size:
+            yield emit()
+        C.give_back()
+
+    def repeated(group: pd.DataFrame) -> pd.DataFrame:
+        mark = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 16) for b in group["blob"]])
+        owner = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in group["blob"]])
+        order = np.argsort(mark, kind="stable")
+        mark, owner = mark[order], owner[order]
+        same = mark[1:] == mark[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        mark, owner = mark[keep], owner[keep]
+        order = np.lexsort((mark, owner))
+        mark, owner = mark[order], owner[order]
+        new = np.append(True, (mark[1:] != mark[:-1]) | (owner[1:] != owner[:-1]))[: len(mark)]
+        mark, owner = mark[new], owner[new]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+        cut = np.append(first, len(owner))
+        return pd.DataFrame({"owner": owner[first], "marks": [mark[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+
+    found = keyed.select("owner", "text").mapInPandas(deal, "bucket int, blob binary").groupBy("bucket").applyInPandas(repeated, "owner long, marks binary")
+    return found.groupBy("owner").agg(F.collect_list("marks").alias("marks"))
+
+
+def repeated_spans(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
+    """``doc_id, text_hash, first, stop``: ranges of bytes covered by windows of ``kind`` that start anywhere else too; written.
+
+    The bytes are those that the kind's code makes of a text. Ranges of a
+    document may overlap. ``text_hash`` is xxhash64 of the text, by which rows
+    of one ``doc_id`` with different texts are told apart. Items are sorted
+    where a mark of theirs occurs twice; the others have no window that repeats.
     """
+    length, code, unit = kind.length * kind.unit, kind.code, kind.unit
     rows = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     sampled = docs.filter(F.pmod(C.doc_hash("suffixes", "doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(C.shuffle_partitions(docs.sparkSession), int(sampled / share) // RANGE_BYTES, 1)
-    borders = _borders(docs, ranges, share, length, code)
+    borders = _borders(docs, ranges, share, kind)
 
     def sort_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, keys = no_items(), []
@@ -378,8 +494,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, code: Callable[[str |
 
         for batch in batches:
             pairs = list(zip(batch["doc_id"].tolist(), batch["text_hash"].tolist(), strict=True))
-            for piece in _pieces(batch["text"], length, code):
-                found = find_items(piece, length)
+            wanted = np.unique(np.frombuffer(b"".join([m for each in batch["marks"] for m in each]), np.uint64))
+            for piece in _pieces(batch["text"], length, code, unit):
+                found = find_items(piece, kind.length, kind.gram, unit, wanted)
                 found.doc = [d + len(keys) for d in found.doc]
                 held.extend(found)
                 if len(held) >= RUN_ITEMS:
@@ -389,7 +506,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, code: Callable[[str |
                 keys += pairs
         if len(held):
             yield from emit()
-        _forget()
+        C.give_back()
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         found = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64).reshape(-1, 4) for b in group["blob"][group["kind"] == 0]]
@@ -408,8 +525,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, code: Callable[[str |
         every = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         return pd.DataFrame(every, columns=["doc_id", "text_hash", "first", "stop"])
 
-    keyed = docs.filter(F.octet_length("text") >= least).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInPandas(sort_runs, "part int, kind int, blob binary").groupBy("part").applyInPandas(merge, "doc_id long, text_hash long, first long, stop long")
+    keyed = docs.filter(F.octet_length("text") >= kind.least).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    keyed = keyed.withColumn("owner", F.xxhash64("doc_id", "text_hash"))
+    # One after the other, so that the files of one shuffle are gone before the next is made.
+    marks = C.materialize(repeated_marks(keyed, kind, ranges), "marks", tidy=True)
+    C.sweep(docs.sparkSession)
+    dealt = keyed.join(marks, "owner").select("doc_id", "text_hash", "text", "marks").mapInPandas(sort_runs, "part int, kind int, blob binary")
+    spans = dealt.groupBy("part").applyInPandas(merge, "doc_id long, text_hash long, first long, stop long").distinct()
+    spans = C.materialize(spans, "spans", tidy=True)
+    C.discard(marks)
+    C.sweep(docs.sparkSession)
+    return spans
 
 
 #: Stands for a null id while spans are joined to their rows.
@@ -443,11 +569,9 @@ def remove_repeats(docs: DataFrame, characters: bool = False, passages: bool = F
     any name but the four that are added.
     """
     id_name, hash_name, spans_name = C.unused(docs, "_id", "_hash", "_spans")
-    spans = repeated_spans(docs.select("doc_id", "text")).distinct().withColumn("words", F.lit(0).cast("long"))
+    spans = repeated_spans(docs.select("doc_id", "text")).withColumn("words", F.lit(0).cast("long"))
     if passages:
-        words = repeated_passages(docs.select("doc_id", "text")).distinct().withColumn("words", F.lit(1).cast("long"))
-        # One after the other, so that the items of one alone are on disk.
-        spans = C.materialize(spans, "spans", tidy=True).unionByName(C.materialize(words, "passages", tidy=True))
+        spans = spans.unionByName(repeated_passages(docs.select("doc_id", "text")).withColumn("words", F.lit(1).cast("long")))
     spans = spans.groupBy(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).agg(F.collect_list(F.array("first", "stop", "words")).alias(spans_name))
     id_of = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     joined = docs.join(spans, (id_of == F.col(id_name)) & (F.xxhash64("text") == F.col(hash_name)), "left")

@@ -338,6 +338,22 @@ def test_suffixes_take_little_memory(monkeypatch):
     assert all((a == b).all() for a, b in zip((whole, first, stop), again, strict=True)) and len(first) == len(flags[::7]) + len(flags[::5])
 
 
+def test_only_items_that_share_a_mark_are_sorted(spark):
+    rng = random.Random(13)
+    own = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    part = own(430)
+    texts = [own(5000) for _ in range(6)] + [own(700) + part + own(900), own(30) + part, part[:399] + own(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "owner long, text string").repartition(3)
+    marks = {r["owner"]: np.sort(np.frombuffer(b"".join(r["marks"]), np.uint64)) for r in suffix_dedup.repeated_marks(df, suffix_dedup.BYTES, 5).collect()}
+    assert {6, 7} <= set(marks) <= {6, 7, 8}
+    whole = [suffix_dedup.find_items([(0, 0, t.encode())]) for t in texts]
+    some = [suffix_dedup.find_items([(0, 0, texts[i].encode())], wanted=marks[i]) for i in (6, 7)]
+    assert sum(map(len, whole)) > 150 and all(0 < len(x) <= 8 for x in some)
+    for x, begin in zip(some, (700, 30), strict=True):  # every window of the part is served
+        served = {p - o for p, o, left in zip(x.place, x.least, x.left, strict=True) for o in range(o, len(left) + 1)}
+        assert set(range(begin, begin + 31)) <= served
+
+
 def test_passages_of_over_50_words_go(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcé", k=rng.randint(1, 4)))
