@@ -42,7 +42,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     that are repeated, every one is a copy of another.
     """
     C.ship_package(spark)
-    added = ("_kept", "_n_bytes", "_n_removed", "_n_spans")
+    added = ("_kept", "_n_bytes", "_n_removed", "_n_spans", "_n_repeated")
     clash = {c: free for c, free in zip(added, C.unused(docs, *[f"{c}_given" for c in added]), strict=True) if c in docs.columns}
     done = remove_repeats(docs.withColumnsRenamed(clash), characters=True, passages=True)
     done = done.filter("_n_removed = 0 OR _n_removed < _n_bytes")

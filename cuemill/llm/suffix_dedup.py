@@ -550,27 +550,37 @@ def _whole(gone: np.ndarray, data: bytes) -> np.ndarray:
     return hit[of]
 
 
+def _covered(ranges: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places any of the ranges covers."""
+    edges = np.zeros(size + 1, np.int64)
+    np.add.at(edges, ranges[:, 0], 1)
+    np.add.at(edges, ranges[:, 1], -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
 def _bytes_of(words: np.ndarray, data: bytes) -> np.ndarray:
     """Byte ranges of ranges of words."""
     at = np.array([m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)], np.int64)
     return np.column_stack([at[words[:, 0], 0], at[words[:, 1] - 1, 1]])
 
 
-def remove_repeats(docs: DataFrame, characters: bool = False, passages: bool = False) -> DataFrame:
-    """Every row of ``docs`` with ``_kept`` (the bytes that stay) and ``_n_bytes, _n_removed, _n_spans``.
+def remove_repeats(docs: DataFrame, characters: bool = False, passages: bool = False, count: bool = False) -> DataFrame:
+    """Every row of ``docs`` with ``_kept`` (the bytes that stay) and ``_n_bytes, _n_removed, _n_spans, _n_repeated``.
 
     A byte goes if it is covered by a LENGTH-byte string that also starts
     anywhere else in the input, in the same text or another; every copy goes.
     With ``characters``, a character goes whole if a byte of it goes. With
     ``passages``, so do PASSAGE words that stand anywhere else too, whatever
-    white space and however few bytes they have, with what is between them. A null
+    white space and however few bytes they have, with what is between them. With
+    ``count`` these stay, and ``_n_repeated`` is the number of words in them
+    (null without either). A null
     text counts as empty; texts shorter than LENGTH stay whole; repeated rows
     are copies of each other; other columns are kept as they are, and may have
-    any name but the four that are added.
+    any name but the five that are added.
     """
     id_name, hash_name, spans_name = C.unused(docs, "_id", "_hash", "_spans")
     spans = repeated_spans(docs.select("doc_id", "text")).withColumn("words", F.lit(0).cast("long"))
-    if passages:
+    if passages or count:
         spans = spans.unionByName(repeated_passages(docs.select("doc_id", "text")).withColumn("words", F.lit(1).cast("long")))
     spans = spans.groupBy(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).agg(F.collect_list(F.array("first", "stop", "words")).alias(spans_name))
     id_of = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
@@ -580,7 +590,7 @@ def remove_repeats(docs: DataFrame, characters: bool = False, passages: bool = F
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept, n_removed, n_spans, n_bytes = [], [], [], []
+            kept, n_removed, n_spans, n_bytes, n_repeated = [], [], [], [], []
             for text, spans in zip(batch["text"], batch[spans_name], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 n_bytes.append(len(data))
@@ -588,29 +598,34 @@ def remove_repeats(docs: DataFrame, characters: bool = False, passages: bool = F
                     kept.append(data)
                     n_removed.append(0)
                     n_spans.append(0)
+                    n_repeated.append(0)
                     continue
                 both = np.array([list(s) for s in spans], np.int64)
-                if passages and both[:, 2].any():
-                    both = np.concatenate([both[both[:, 2] == 0, :2], _bytes_of(both[both[:, 2] == 1], data)])
-                edges = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edges, both[:, 0], 1)
-                np.add.at(edges, both[:, 1], -1)
-                gone = np.cumsum(edges)[:-1] > 0
+                both, words = both[both[:, 2] == 0, :2], both[both[:, 2] == 1, :2]
+                n_repeated.append(int(_covered(words, int(words.max(initial=0))).sum()))
+                if passages and len(words):
+                    both = np.concatenate([both, _bytes_of(words, data)])
+                gone = _covered(both, len(data))
                 if characters:
                     gone = _whole(gone, data)
                 kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
                 n_removed.append(int(gone.sum()))
-                n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            yield batch[names].assign(_kept=kept, _n_bytes=n_bytes, _n_removed=n_removed, _n_spans=n_spans)
+                n_spans.append(int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()))
+            yield batch[names].assign(_kept=kept, _n_bytes=n_bytes, _n_removed=n_removed, _n_spans=n_spans, _n_repeated=pd.array(n_repeated if passages or count else [None] * len(batch), "Int64"))
 
-    added = "_kept binary, _n_bytes long, _n_removed long, _n_spans long"
+    added = "_kept binary, _n_bytes long, _n_removed long, _n_spans long, _n_repeated long"
     return joined.mapInPandas(task, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    done = remove_repeats(docs.select("doc_id", "text"))
-    return done.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+def digest(docs: DataFrame, count: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, with ``count`` also ``n_repeated``.
+
+    ``n_repeated``: words in passages of over 50 words that stand anywhere else
+    too. Those of less than LENGTH bytes are kept, as the bytes decide what goes.
+    """
+    done = remove_repeats(docs.select("doc_id", "text"), count=count)
+    out = done.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"), F.col("_n_repeated").alias("n_repeated"))
+    return out if count else out.drop("n_repeated")
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -373,6 +373,17 @@ def test_passages_of_over_50_words_go(spark):
     assert [len(lists[i]) - len(want[i]) for i in (0, 1, 2, 3, 4, 5, 9, 10)] == [51, 0, 51, 55, 55, 0, 52, 0]
 
 
+def test_short_passages_are_counted_and_kept(spark):
+    rng = random.Random(14)
+    own = lambda k: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(k))
+    passage = own(55)  # 274 bytes
+    texts = [own(60) + " " + passage + " " + own(9), passage.replace(" ", "\n"), passage[:249] + " " + own(20), own(120), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_dedup.digest(df, count=True).collect()}
+    assert [got[i]["n_repeated"] for i in range(6)] == [55, 55, 0, 0, 0, 0]
+    assert [tuple(got[i])[1:5] for i in range(6)] == suffix_dedup.brute_force(texts)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), epochs=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(order)}
